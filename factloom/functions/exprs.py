@@ -121,8 +121,8 @@ def importance(now, trust_col: Column, rel_count: Column) -> Column:
     return fixed(F.least(score, F.lit(1.0)), 4)
 
 
-def impact(new: str = "new", old: str = "old") -> Column:
-    """How much is at stake when ``new`` replaces ``old`` (struct columns)."""
+def impact(new: str = "n", old: str = "o") -> Column:
+    """How much is at stake when ``new`` replaces ``old`` (column prefixes)."""
     def internal(side: str, high: float, medium: float) -> Column:
         kind = F.col(f"{side}_internal_type")
         return F.when(kind.isin(HIGH_IMPACT), F.lit(high)).when(kind.isin(MEDIUM_IMPACT), F.lit(medium)).otherwise(F.lit(0.0))
@@ -138,7 +138,7 @@ def impact(new: str = "new", old: str = "old") -> Column:
     return F.least(total, F.lit(1.0))
 
 
-def requires_confirmation(new: str = "new", old: str = "old", threshold: float = 0.7, min_confidence: float = 0.9) -> Column:
+def requires_confirmation(new: str = "n", old: str = "o", threshold: float = 0.7, min_confidence: float = 0.9) -> Column:
     confidence = F.coalesce(F.col(f"{new}_confidence"), F.lit(0.8))
     return (impact(new, old) >= threshold) & (confidence >= min_confidence)
 

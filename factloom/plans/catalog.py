@@ -6,7 +6,7 @@ import importlib
 
 from factloom.plans import registry
 
-MODULES = ["catalog_tables"]
+MODULES = ["catalog_tables", "catalog_relate", "catalog_search"]
 
 for _name in MODULES:
     importlib.import_module(f"factloom.plans.{_name}")

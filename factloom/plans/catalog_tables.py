@@ -395,8 +395,8 @@ def x4(spark, d):
     return e.join(nxt, ["doc_id", "source"]).select("doc_id", X.fixed(X.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
 
 
-@query("x5_bigrams", """SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(s), 1)), lambda i: substr(s, i, 2)))) AS bigrams FROM (
- SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS s FROM documents)""")
+@query("x5_bigrams", """SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(c), 1)), lambda i: c[i] || c[i + 1]))) AS bigrams FROM (
+ SELECT doc_id, string_split(regexp_replace(text, '\\s+', '', 'g'), '') AS c FROM documents)""")
 def x5(spark, d):
     """Distinct character bigrams per text."""
     return seed.read(spark, d, "documents").select("doc_id", F.size(X.bigram_codes(F.col("text"))).cast("bigint").alias("bigrams"))
