@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.operators import graph, mentions, search, vectors
-from factloom.operators.scans import top_per
+from factloom.operators.scans import latest_memories, newest
 from factloom.plans.catalog_tables import SQL_TRUST, WITH_MEM, r6, stamp
 from factloom.plans.registry import query
 from factloom.sources import seed
@@ -148,12 +148,12 @@ def r3(spark, d):
 
 
 @query("l1_vector_top_k", f"""WITH e AS (SELECT label::varchar AS entity_id, vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS q_id, e.vec_id, {NINE.format("coalesce(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 0.0)")} AS score
- FROM e q JOIN e USING (entity_id) WHERE q.vec_id % 5 = 0)
+ FROM e q JOIN e USING (entity_id))
 SELECT 'v' || q_id::varchar AS query_id, 'v' || vec_id::varchar AS chunk_id, {r6('score')} AS score FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, 'v' || vec_id::varchar) <= 10""")
 def l1(spark, d):
-    """L1: ten nearest vectors of the same label for every fifth vector."""
-    e = seed.read(spark, d, "embeddings").select(F.col("label").cast("string").alias("entity_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding", "vec_id")
-    q = e.filter("vec_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "entity_id", "embedding")
+    """L1: ten nearest vectors of the same label for every vector."""
+    e = seed.read(spark, d, "embeddings").select(F.col("label").cast("string").alias("entity_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding")
+    q = e.select(F.col("chunk_id").alias("query_id"), "entity_id", "embedding")
     return vectors.vector_top_k(q, e, 10).select("query_id", "chunk_id", X.fixed(F.col("score"), 6).alias("score"))
 
 
@@ -265,15 +265,16 @@ def sql_walk(base: str, order: str) -> str:
  {level(1, 'SELECT query_id, id FROM w0')}, {level(2, 'SELECT query_id, id FROM w0 UNION ALL SELECT query_id, id FROM w1')}"""
 
 
-SQL_SEEDS = """seeds AS (SELECT source AS query_id, source AS entity_id, 'm' || lpad(doc_id::varchar, 12, '0') AS id FROM documents WHERE doc_id // 20 < 2)"""
+SQL_SEEDS = """seeds AS (SELECT entity_id AS query_id, entity_id, id, created_at FROM mem WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01')
+  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 2)"""
 
 
-@query("g12_multihop_walk", SQL_BASE + f", {SQL_FOUND}, {SQL_NB}, {SQL_SEEDS}, {sql_walk('seeds', 'id')} SELECT query_id, id, depth, path, historical FROM w1 UNION ALL SELECT query_id, id, depth, path, historical FROM w2")
+@query("g12_multihop_walk", SQL_BASE + f", {SQL_FOUND}, {SQL_NB}, {SQL_SEEDS}, {sql_walk('seeds', 'created_at DESC, id')} SELECT query_id, id, depth, path, historical FROM w1 UNION ALL SELECT query_id, id, depth, path, historical FROM w2")
 def g12(spark, d):
-    """Two hops from the first two memories of every source."""
+    """Two hops from the two newest memories of every source."""
     t = Tables(spark, d)
-    seeds = t.docs.filter("floor(doc_id / 20) < 2").select(F.col("source").alias("query_id"), F.col("source").alias("entity_id"), F.concat(F.lit("m"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"))
-    seeds = seeds.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    order = Window.partitionBy("entity_id").orderBy(*newest())
+    seeds = latest_memories(t.memories, NOW, 2).select(F.col("entity_id").alias("query_id"), "entity_id", "id", F.row_number().over(order).alias("position"))
     return graph.walk(seeds, t.memories, t.edges, t.mention_edges, 2).select("query_id", "id", "depth", graph.path_text().alias("path"), "historical")
 
 
