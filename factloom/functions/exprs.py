@@ -62,6 +62,15 @@ DAY_MICROS = 86_400_000_000
 CODE_BASE = 2_097_152  # above the largest code point
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    An expression named inside a lambda is computed again for each element;
+    bound as the element of a one-item array it is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def at(now) -> Column:
     """The moment a job runs for, as a timestamp column."""
     return now if isinstance(now, Column) else F.lit(str(now)).cast("timestamp")
@@ -164,11 +173,13 @@ def squeezed(text: Column) -> Column:
 def bigram_codes(text: Column) -> Column:
     """Distinct character bigrams of the text without white space, as numbers."""
     codes = F.transform(F.split(squeezed(text), ""), lambda ch: F.ascii(ch).cast("bigint"))
-    n = F.length(squeezed(text))
-    pairs = F.zip_with(
-        F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * F.lit(CODE_BASE) + b
-    )
-    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.array_distinct(pairs))
+
+    def pairs(c: Column) -> Column:
+        n = F.size(c)
+        zipped = F.zip_with(F.slice(c, F.lit(1), n - 1), F.slice(c, F.lit(2), n - 1), lambda a, b: a * F.lit(CODE_BASE) + b)
+        return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.array_distinct(zipped))
+
+    return let(codes, pairs)
 
 
 def subject_words(text: Column) -> Column:
@@ -245,8 +256,7 @@ def tokens(text: Column) -> Column:
 
 def keyword_score(content: Column, terms: Column) -> Column:
     """Share of the terms the content contains; repeated terms count again."""
-    lowered = F.lower(content)
-    hits = F.size(F.filter(terms, lambda t: F.contains(lowered, t)))
+    hits = let(F.lower(content), lambda lowered: F.size(F.filter(terms, lambda t: F.contains(lowered, t))))
     return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(hits / F.size(terms))
 
 
@@ -294,13 +304,14 @@ def hash_embedding(text: Column, dims: int) -> Column:
 
     The digest has 16 byte pairs, so the vector repeats with period 16.
     """
-    digest = F.sha2(text.cast("binary"), 256)
-    period = [
-        F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("double") / F.lit(65535.0) * F.lit(2.0) - F.lit(1.0)
-        for j in range(16)
-    ]
-    repeated = F.flatten(F.array_repeat(F.array(*period), -(-dims // 16)))
-    return F.slice(repeated, 1, dims).cast("array<float>")
+    def vector(digest: Column) -> Column:
+        period = [
+            F.conv(F.substring(digest, 4 * j + 1, 4), 16, 10).cast("double") / F.lit(65535.0) * F.lit(2.0) - F.lit(1.0)
+            for j in range(16)
+        ]
+        return F.slice(F.flatten(F.array_repeat(F.array(*period), -(-dims // 16))), 1, dims).cast("array<float>")
+
+    return let(F.sha2(text.cast("binary"), 256), vector)
 
 
 # ---------------------------------------------------------------- deadlines
@@ -364,9 +375,12 @@ def _count(text: Column, needle: str) -> Column:
 
 def pii_hits(text: Column) -> Column:
     """Map from kind of personal data to how often masking replaced it."""
-    masked = mask_pii(text)
     kinds = list(dict.fromkeys(kind for kind, _ in PII_PATTERNS))
-    entries = []
-    for kind in kinds:
-        entries += [F.lit(kind), _count(masked, f"[{kind}]") - _count(text, f"[{kind}]")]
-    return F.create_map(*entries)
+
+    def counted(masked: Column) -> Column:
+        entries = []
+        for kind in kinds:
+            entries += [F.lit(kind), _count(masked, f"[{kind}]") - _count(text, f"[{kind}]")]
+        return F.create_map(*entries)
+
+    return let(mask_pii(text), counted)

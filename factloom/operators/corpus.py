@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
+from factloom.functions.exprs import let
 
 TARGET_CHARS = 2048
 MIN_CHARS = 400
@@ -187,16 +188,19 @@ def code_blocks(text: Column) -> Column:
 
 def csv_batches(text: Column, budget: int = TARGET_CHARS) -> Column:
     """Rows packed under a repeated header; text chunks where fields differ."""
-    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda ln: strip(ln) != "")
     unquoted = F.filter(F.split(F.regexp_replace(text, r'"(?:[^"]|"")*"', "q"), r"\r\n|\r|\n"), lambda ln: ln != "")
     widths = F.array_distinct(F.transform(unquoted, lambda ln: F.size(F.split(ln, ","))))
-    header = F.element_at(lines, 1)
-    rows = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    batches = greedy_pack(
-        rows, lambda buf, r: F.length(header) + 1 + F.length(buf) + 1 + F.length(r) <= budget, lambda buf, r: F.concat(buf, F.lit("\n"), r)
-    )
-    packed = F.when(F.size(lines) == 1, F.array(header)).otherwise(F.transform(batches, lambda b: F.concat(header, F.lit("\n"), b)))
-    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).when(F.size(widths) > 1, text_chunks(text)).otherwise(packed)
+
+    def packed(lines: Column) -> Column:
+        def under(header: Column) -> Column:
+            room = lambda buf, r: F.length(header) + F.length(buf) + F.length(r) + 2 <= budget
+            batches = greedy_pack(F.slice(lines, F.lit(2), F.size(lines)), room, lambda buf, r: F.concat(buf, F.lit("\n"), r))
+            return F.when(F.size(lines) == 1, F.array(header)).otherwise(F.transform(batches, lambda b: F.concat(header, F.lit("\n"), b)))
+
+        return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(let(F.get(lines, F.lit(0)), under))
+
+    rows = let(F.filter(F.split(text, r"\r\n|\r|\n"), lambda ln: strip(ln) != ""), packed)
+    return F.when(F.size(widths) > 1, text_chunks(text)).otherwise(rows)
 
 
 def _spaced(json: Column) -> Column:
@@ -215,20 +219,27 @@ def _element(raw: Column, value: Column) -> Column:
 def json_batches(text: Column, budget: int = TARGET_CHARS) -> Column:
     """Array records in bounded batches, objects one chunk per key, else text chunks."""
     body = strip(text)
-    parsed = F.try_parse_json(body)
-    items = F.zip_with(F.from_json(body, "array<string>"), parsed.cast("array<variant>"), _element)
-    listed = F.transform(
-        greedy_pack(items, lambda buf, x: F.length(buf) + 2 + F.length(x) + 2 <= budget, lambda buf, x: F.concat(buf, F.lit(", "), x)),
-        lambda b: F.concat(F.lit("["), b, F.lit("]")),
-    )
-    pairs = F.map_entries(F.from_json(body, "map<string,string>"))
-    values = parsed.cast("map<string,variant>")
-    keyed = F.transform(pairs, lambda e: F.concat(F.lit('{"'), e["key"], F.lit('": '), _element(e["value"], F.element_at(values, e["key"])), F.lit("}")))
-    return (
-        F.when(parsed.isNotNull() & body.startswith("["), listed)
-        .when(parsed.isNotNull() & body.startswith("{"), keyed)
-        .otherwise(text_chunks(text))
-    )
+
+    def listed(parsed: Column) -> Column:
+        items = F.zip_with(F.from_json(body, "array<string>"), parsed.cast("array<variant>"), _element)
+        packed = greedy_pack(items, lambda buf, x: F.length(buf) + 2 + F.length(x) + 2 <= budget, lambda buf, x: F.concat(buf, F.lit(", "), x))
+        return F.transform(packed, lambda b: F.concat(F.lit("["), b, F.lit("]")))
+
+    def keyed(parsed: Column) -> Column:
+        pairs = F.map_entries(F.from_json(body, "map<string,string>"))
+        chunk = lambda values: F.transform(
+            pairs, lambda e: F.concat(F.lit('{"'), e["key"], F.lit('": '), _element(e["value"], F.element_at(values, e["key"])), F.lit("}"))
+        )
+        return let(parsed.cast("map<string,variant>"), chunk)
+
+    def split(parsed: Column) -> Column:
+        return (
+            F.when(parsed.isNotNull() & body.startswith("["), listed(parsed))
+            .when(parsed.isNotNull() & body.startswith("{"), keyed(parsed))
+            .otherwise(text_chunks(text))
+        )
+
+    return let(F.try_parse_json(body), split)
 
 
 # ---------------------------------------------------------------- fast lane
@@ -246,13 +257,16 @@ def fast_lane_pieces(text: Column, most: int = FAST_LANE_CHARS) -> Column:
     def cut_once(acc: Column, _: Column) -> Column:
         rest = acc["rest"]
         head = F.substring(rest, 1, most)
-        at = F.coalesce(last_stop(head, "。"), last_stop(head, "."), F.lit(most))
-        piece = strip(F.substring(rest, F.lit(1), at))
-        long = F.length(rest) > most
-        return F.struct(
-            F.when(long & (piece != ""), F.concat(acc["done"], F.array(piece))).otherwise(acc["done"]).alias("done"),
-            F.when(long, strip(F.substring(rest, at + 1, F.length(rest)))).otherwise(rest).alias("rest"),
-        )
+        place = F.coalesce(last_stop(head, "。"), last_stop(head, "."), F.lit(most))
+
+        def taken(at: Column) -> Column:
+            piece = strip(F.substring(rest, F.lit(1), at))
+            return F.struct(
+                F.when(piece != "", F.concat(acc["done"], F.array(piece))).otherwise(acc["done"]).alias("done"),
+                strip(F.substring(rest, at + 1, F.length(rest))).alias("rest"),
+            )
+
+        return F.when(F.length(rest) > most, let(place, taken)).otherwise(acc)
 
     def pieces(part: Column) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("done"), part.alias("rest"))

@@ -6,7 +6,7 @@ import importlib
 
 from factloom.plans import registry
 
-MODULES = ["catalog_tables", "catalog_relate", "catalog_search", "catalog_lifecycle", "catalog_corpus"]
+MODULES = ["catalog_tables", "catalog_relate", "catalog_search", "catalog_lifecycle", "catalog_corpus", "catalog_other"]
 
 for _name in MODULES:
     importlib.import_module(f"factloom.plans.{_name}")

@@ -216,8 +216,8 @@ def t9h(spark, d):
 
 @query("t10_fast_lane_split", f"""WITH RECURSIVE p AS (SELECT doc_id, text FROM documents), q AS (SELECT doc_id, unnest(ps) AS part, unnest(range(len(ps))) AS pi FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM p)),
  r AS (SELECT doc_id, pi, 0 AS n, '' AS piece, part AS rest FROM q UNION ALL
-  SELECT doc_id, pi, n + 1, CASE WHEN length(rest) <= 1024 THEN rest ELSE {_strip('substr(rest, 1, at)')} END, CASE WHEN length(rest) <= 1024 THEN '' ELSE {_strip('substr(rest, at + 1)')} END FROM (
-   SELECT *, CASE WHEN z1 >= 512 AND z1 < 1024 THEN z1 WHEN z2 >= 512 AND z2 < 1024 THEN z2 ELSE 1024 END AS at FROM (SELECT *, CASE WHEN contains(h, '。') THEN 1024 - instr(reverse(h), '。') ELSE -1 END AS z1, CASE WHEN contains(h, '.') THEN 1024 - instr(reverse(h), '.') ELSE -1 END AS z2 FROM (SELECT *, substr(rest, 1, 1024) AS h FROM r WHERE rest <> ''))))
+  SELECT doc_id, pi, n + 1, CASE WHEN length(rest) <= 1024 THEN rest ELSE {_strip('substr(rest, 1, cutoff)')} END, CASE WHEN length(rest) <= 1024 THEN '' ELSE {_strip('substr(rest, cutoff + 1)')} END FROM (
+   SELECT *, CASE WHEN z1 >= 512 AND z1 < 1024 THEN z1 WHEN z2 >= 512 AND z2 < 1024 THEN z2 ELSE 1024 END AS cutoff FROM (SELECT *, CASE WHEN contains(h, '。') THEN 1024 - instr(reverse(h), '。') ELSE -1 END AS z1, CASE WHEN contains(h, '.') THEN 1024 - instr(reverse(h), '.') ELSE -1 END AS z2 FROM (SELECT *, substr(rest, 1, 1024) AS h FROM r WHERE rest <> ''))))
 SELECT doc_id, piece AS text FROM r WHERE n > 0 AND piece <> ''""")
 def t10(spark, d):
     """Coarse pieces for the fast lane."""
