@@ -100,6 +100,9 @@ def walk(seeds: DataFrame, memories: DataFrame, edges: DataFrame, mention_edges:
         links.select("entity_id", "id", "mention_id").join(latest, ["entity_id", "id"]), ["entity_id", "mention_id"], newest(), SIBLINGS
     ).select("entity_id", "mention_id", F.col("id").alias("other"), "created_at")
     near = neighbours(edges, memories).filter(F.col("other_latest") | (F.col("rel_type") == "UPDATES"))
+    if depth > 1:
+        # Every level looks into the same three tables; rank siblings once.
+        siblings, near = cut(siblings), cut(near)
     far_first = F.lpad((F.lit(9_000_000_000_000_000) - F.unix_micros("created_at")).cast("string"), 20, "0")
 
     frontier = seeds.select(

@@ -137,18 +137,26 @@ def prepare_features(memories: DataFrame) -> DataFrame:
     return cut(text_features(base).drop("content").join(seq, ["entity_id", "id"]))
 
 
-def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = False) -> Relations:
+def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = False, arrivals: DataFrame | None = None) -> Relations:
     """Infer UPDATES, EXTENDS and DERIVES_FROM among the live memories.
 
     With ``confirm_high_impact`` updates at stake are set aside as pending
-    conflicts and supersede nothing.
+    conflicts and supersede nothing. ``arrivals`` (entity_id, id) limits the
+    run to newly stored memories, which are compared with all older ones.
     """
     window = limit - 1
     features = prepare_features(memories)
-    columns = _SIDE + _CONFLICT + ["until", "created_at"]
+    if arrivals is None:
+        features = features.withColumn("fresh", F.lit(True))
+    else:
+        marked = arrivals.select("entity_id", "id").distinct().withColumn("_new", F.lit(True))
+        features = features.join(marked, ["entity_id", "id"], "left").withColumn("fresh", F.coalesce("_new", F.lit(False))).drop("_new")
+        features = cut(features)
+    fresh_seq = features.filter("fresh").select("entity_id", "seq")
+    columns = _SIDE + _CONFLICT + ["until", "created_at", "fresh"]
 
     def updates_in(pairs: DataFrame) -> DataFrame:
-        valid = F.col("o_until").isNull() | (F.col("n_seq") <= F.col("o_until"))
+        valid = F.col("n_fresh") & (F.col("o_until").isNull() | (F.col("n_seq") <= F.col("o_until")))
         hits = classify(pairs.filter(valid)).filter("relation = 'UPDATES'")
         aside = X.requires_confirmation("n", "o") if confirm_high_impact else F.lit(False)
         return hits.select("entity_id", "n_seq", "o_seq", aside.alias("aside"), X.impact("n", "o").alias("impact"))
@@ -161,6 +169,8 @@ def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = Fals
         affected = _affected(ends, window)
         if extra is not None:
             affected = affected.unionByName(extra.select("entity_id", F.col("n_seq").alias("seq"))).distinct()
+        if arrivals is not None:
+            affected = affected.join(fresh_seq, ["entity_id", "seq"], "left_semi")
         reached = cut(newest_alive(ends, affected, window))
         far = reached.filter(F.col("o_seq") < F.col("n_seq") - window)
         fresh = far if extra is None else far.join(extra, ["entity_id", "n_seq", "o_seq"], "left_anti")
@@ -175,10 +185,10 @@ def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = Fals
     # arrival window holds retired ones the older memories that move up.
     aged = features.drop("until").join(ends.select("entity_id", "seq", F.col("end")), ["entity_id", "seq"])
     alive = F.col("o_end").isNull() | (F.col("n_seq") <= F.col("o_end"))
-    final_columns = _SIDE + _CONFLICT + ["end", "created_at"]
+    final_columns = _SIDE + _CONFLICT + ["end", "created_at", "fresh"]
     near = arrival_pairs(aged, window, final_columns).filter(alive)
     moved = listed_pairs(aged, reached.filter(F.col("o_seq") < F.col("n_seq") - window), final_columns)
-    judged = classify(near.unionByName(moved, allowMissingColumns=True))
+    judged = classify(near.unionByName(moved, allowMissingColumns=True).filter("n_fresh"))
     aside = F.lit(False)
     if confirm_high_impact:
         aside = (F.col("relation") == "UPDATES") & X.requires_confirmation("n", "o")

@@ -288,11 +288,6 @@ class ByLanguage(Tables):
     def __init__(self, spark, d):
         super().__init__(spark, d)
         self.docs = self.docs.withColumn("source", F.col("lang"))
-        self.memories = seed.memories(self.docs)
-        self.edges = seed.edges(self.docs)
-        self.embeddings = seed.embeddings(self.docs)
-        found = mentions.extract_mentions(self.memories.select("entity_id", F.col("id").alias("memory_id"), "content", "created_at"), seed.gazetteer(spark))
-        self.mention_edges = mentions.attach_mentions(found)
 
 
 def _lang_sql(sql: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from factloom.operators import graph, mentions, search, vectors
 from factloom.operators.scans import latest_memories, newest
 from factloom.plans.catalog_tables import SQL_TRUST, WITH_MEM, r6, stamp
 from factloom.plans.registry import query
+from factloom.session import cut
 from factloom.sources import seed
 from factloom.sources.seed import NOW, SQL_EDGE, SQL_EMB, SQL_FAST, SQL_GAZ, SQL_QUERY
 
@@ -20,24 +23,50 @@ NINE = "floor(({}) * 1000000000.0::double + 0.5) / 1000000000.0::double"
 
 
 class Tables:
-    """Lazily derived tables of one data folder."""
+    """Derived tables of one data folder, each built when first asked for.
+
+    Mention edges stand for a stored table, so they are written once.
+    """
 
     def __init__(self, spark, d):
+        self.spark, self.d = spark, d
         self.docs = seed.read(spark, d, "documents")
-        self.memories = seed.memories(self.docs)
-        self.edges = seed.edges(self.docs)
-        self.embeddings = seed.embeddings(self.docs)
-        self.fast_lane = seed.fast_lane(seed.read(spark, d, "conversations"))
-        q = search.clamp_top_k(seed.queries(seed.read(spark, d, "benchmark")))
-        self.queries = q.withColumn("embedding", X.hash_embedding(F.col("q"), seed.DIMS))
+
+    @cached_property
+    def memories(self):
+        return seed.memories(self.docs)
+
+    @cached_property
+    def edges(self):
+        return seed.edges(self.docs)
+
+    @cached_property
+    def embeddings(self):
+        return seed.embeddings(self.docs)
+
+    @cached_property
+    def fast_lane(self):
+        return seed.fast_lane(seed.read(self.spark, self.d, "conversations"))
+
+    @cached_property
+    def queries(self):
+        q = search.clamp_top_k(seed.queries(seed.read(self.spark, self.d, "benchmark")))
+        return q.withColumn("embedding", X.hash_embedding(F.col("q"), seed.DIMS))
+
+    @cached_property
+    def found(self):
         texts = self.memories.select("entity_id", F.col("id").alias("memory_id"), "content", "created_at")
-        self.found = mentions.extract_mentions(texts, seed.gazetteer(spark))
-        self.mention_edges = mentions.attach_mentions(self.found)
+        return mentions.extract_mentions(texts, seed.gazetteer(self.spark))
+
+    @cached_property
+    def mention_edges(self):
+        return cut(mentions.attach_mentions(self.found))
+
+    @cached_property
+    def asks(self):
         forms = sorted({c for _, c, _ in seed.GAZETTEER})
-        self.asks = self.docs.select(F.col("source").alias("entity_id")).distinct().select(
-            "entity_id", F.explode(F.array(*[F.lit(f) for f in forms])).alias("about")
-        ).select(F.concat_ws(":", "entity_id", "about").alias("query_id"), "entity_id", "about", F.lit(None).cast("int").alias("top_k"))
-        self.asks = search.clamp_top_k(self.asks)
+        rows = self.docs.select(F.col("source").alias("entity_id")).distinct().select("entity_id", F.explode(F.array(*[F.lit(f) for f in forms])).alias("about"))
+        return search.clamp_top_k(rows.select(F.concat_ws(":", "entity_id", "about").alias("query_id"), "entity_id", "about", F.lit(None).cast("int").alias("top_k")))
 
 
 SQL_FOUND = f"""gaz AS ({SQL_GAZ}), found AS (SELECT m.entity_id, m.id AS memory_id, m.created_at, g.ord, g.canonical AS canonical_form, g.type,
@@ -206,7 +235,7 @@ def r5(spark, d):
 def g13(spark, d):
     """One-hop expansion of vector results."""
     t = Tables(spark, d)
-    base = search.cut(search.vector_search(t.queries, t.memories, t.embeddings, NOW))
+    base = cut(search.vector_search(t.queries, t.memories, t.embeddings, NOW))
     return search.expand_relations(base, t.memories, t.edges, t.queries, NOW).select("query_id", "id", "source", X.fixed(F.col("score"), 6).alias("score"))
 
 

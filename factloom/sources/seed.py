@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
+from factloom.session import spread
 
 NOW = "2024-02-01 00:00:00"
 DIMS = 32
@@ -29,7 +30,8 @@ FIRMS = ["Google", "Stripe", "Apple", "腾讯", "Meta"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def _pick(index: Column, values: list) -> Column:
