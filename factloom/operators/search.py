@@ -201,9 +201,10 @@ def merge_results(results: DataFrame, queries: DataFrame, truncate: bool = True)
     floor of rows is kept, and in any case after k rows.
     """
     order = [F.desc("score"), F.asc("depth"), F.asc("id"), F.asc("source")]
-    ranked = results.withColumn("_key", F.xxhash64(F.lower(F.trim("content")))).withColumn("_len", F.length("content"))
+    text = F.lower(F.regexp_replace("content", r"(?U)\A\s+|\s+\z", ""))
+    ranked = results.withColumn("_key", F.sha2(text, 256))
     ranked = top_per(ranked, ["query_id", "id"], order, 1)
-    by_text = Window.partitionBy("query_id", "_key", "_len").orderBy(*order)
+    by_text = Window.partitionBy("query_id", "_key").orderBy(*order)
     ranked = ranked.withColumn("_owner", F.first("source").over(by_text)).filter("source = _owner")
     ranked = ranked.join(queries.select("query_id", "k"), "query_id")
     by_rank = Window.partitionBy("query_id").orderBy(*order)
