@@ -11,7 +11,7 @@ the result of processing memories one by one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,15 +115,63 @@ def listed_pairs(features: DataFrame, pairs: DataFrame, columns: list[str]) -> D
     return pairs.join(_sided(features, "n", keep), ["entity_id", "n_seq"]).join(_sided(features, "o", keep), ["entity_id", "o_seq"])
 
 
-@dataclass
 class Relations:
-    """Result tables of one inference run."""
+    """Result tables of one inference run.
 
-    features: DataFrame
-    candidates: DataFrame
-    superseded: DataFrame
-    pending: DataFrame
-    edges: DataFrame
+    Supersession is known when the rounds end; the final candidate pairs are
+    written on first use, by edges and pending conflicts alike.
+    """
+
+    def __init__(self, features: DataFrame, found: DataFrame, judged: DataFrame, confirm: bool):
+        self.features, self._found, self._judged, self._confirm = features, found, judged, confirm
+
+    @cached_property
+    def superseded(self) -> DataFrame:
+        """(entity_id, id, replaced_by): each retired memory and its first superseder."""
+        return self._replaced.drop("created_at")
+
+    @cached_property
+    def _replaced(self) -> DataFrame:
+        first = self._found.filter("NOT aside").groupBy("entity_id", "o_seq").agg(F.min("n_seq").alias("n_seq"))
+        who = self.features.select("entity_id", "seq", "id", "created_at")
+        old = who.select("entity_id", F.col("seq").alias("o_seq"), "id")
+        new = who.select("entity_id", F.col("seq").alias("n_seq"), F.col("id").alias("replaced_by"), "created_at")
+        return first.join(old, ["entity_id", "o_seq"]).join(new, ["entity_id", "n_seq"]).select("entity_id", "id", "replaced_by", "created_at")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Every final candidate pair with its class."""
+        aside = F.lit(False)
+        if self._confirm:
+            aside = (F.col("relation") == "UPDATES") & X.requires_confirmation("n", "o")
+        return cut(self._judged.select(
+            "entity_id", "n_seq", "n_id", "n_created_at", "o_seq", "o_id", "relation", F.size("shared").alias("shared_bigrams"), "overlap",
+            aside.alias("aside"), X.impact("n", "o").alias("impact"),
+        ))
+
+    @cached_property
+    def extends(self) -> DataFrame:
+        rows = self.candidates.filter("relation = 'EXTENDS'")
+        return rows.select("entity_id", F.col("n_id").alias("from_id"), F.col("o_id").alias("to_id"), F.lit("EXTENDS").alias("rel_type"), F.col("n_created_at").alias("created_at"))
+
+    @cached_property
+    def derives(self) -> DataFrame:
+        return _derives(self._judged)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        updates = self._replaced.select(
+            "entity_id", F.col("replaced_by").alias("from_id"), F.col("id").alias("to_id"), F.lit("UPDATES").alias("rel_type"), "created_at"
+        )
+        return updates.unionByName(self.extends).unionByName(self.derives)
+
+    @cached_property
+    def pending(self) -> DataFrame:
+        """Updates set aside for confirmation."""
+        return self.candidates.filter("aside").select(
+            "entity_id", F.sha2(F.concat_ws("\x1f", "entity_id", "n_id", "o_id"), 256).alias("conflict_id"),
+            F.col("n_id").alias("new_id"), F.col("o_id").alias("old_id"), "impact",
+        )
 
 
 _CONFLICT = ["internal_type", "memory_type", "confidence"]
@@ -189,28 +237,7 @@ def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = Fals
     near = arrival_pairs(aged, window, final_columns).filter(alive)
     moved = listed_pairs(aged, reached.filter(F.col("o_seq") < F.col("n_seq") - window), final_columns)
     judged = classify(near.unionByName(moved, allowMissingColumns=True).filter("n_fresh"))
-    aside = F.lit(False)
-    if confirm_high_impact:
-        aside = (F.col("relation") == "UPDATES") & X.requires_confirmation("n", "o")
-    candidates = cut(judged.select(
-        "entity_id", "n_seq", "n_id", "n_created_at", "o_seq", "o_id", "relation", F.size("shared").alias("shared_bigrams"), "overlap",
-        aside.alias("aside"), X.impact("n", "o").alias("impact"),
-    ))
-    derives = _derives(judged)
-    replaced = candidates.filter("relation = 'UPDATES' AND NOT aside").select(
-        "entity_id", F.col("o_id").alias("id"), F.col("n_id").alias("replaced_by"), "n_created_at"
-    )
-    edges = (
-        replaced.select("entity_id", F.col("replaced_by").alias("from_id"), F.col("id").alias("to_id"), F.lit("UPDATES").alias("rel_type"), F.col("n_created_at").alias("created_at"))
-        .unionByName(candidates.filter("relation = 'EXTENDS'").select(
-            "entity_id", F.col("n_id").alias("from_id"), F.col("o_id").alias("to_id"), F.lit("EXTENDS").alias("rel_type"), F.col("n_created_at").alias("created_at")))
-        .unionByName(derives)
-    )
-    pending = candidates.filter("aside").select(
-        "entity_id", F.sha2(F.concat_ws("\x1f", "entity_id", "n_id", "o_id"), 256).alias("conflict_id"),
-        F.col("n_id").alias("new_id"), F.col("o_id").alias("old_id"), "impact",
-    )
-    return Relations(features, candidates, replaced.drop("n_created_at"), pending, edges)
+    return Relations(features, found, judged, confirm_high_impact)
 
 
 def _ends(life: DataFrame, found: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def g4(spark, d):
 @query("g5_extends_edges", sql_replay() + "SELECT entity_id, n_id AS from_id, o_id AS to_id FROM cand WHERE relation = 'EXTENDS'")
 def g5(spark, d):
     """EXTENDS edges."""
-    return relate.infer(_statements(spark, d)).edges.filter("rel_type = 'EXTENDS'").select("entity_id", "from_id", "to_id")
+    return relate.infer(_statements(spark, d)).extends.select("entity_id", "from_id", "to_id")
 
 
 @query("g6_derives_edges", sql_replay() + """, g AS (SELECT entity_id, n_id, any_value(n_big) AS n_big, len(list_distinct(flatten(list(sh)))) AS covered,
@@ -117,7 +117,7 @@ def g5(spark, d):
 SELECT entity_id, n_id AS from_id, unnest(olds[1:3]) AS to_id FROM g WHERE len(olds) >= 2 AND covered <> n_big""")
 def g6(spark, d):
     """DERIVES_FROM edges."""
-    return relate.infer(_statements(spark, d)).edges.filter("rel_type = 'DERIVES_FROM'").select("entity_id", "from_id", "to_id")
+    return relate.infer(_statements(spark, d)).derives.select("entity_id", "from_id", "to_id")
 
 
 @query("g7_pending_conflicts", sql_replay(CONFIRM) + """SELECT entity_id, n_id AS new_id, o_id AS old_id, floor(impact * 1000000.0::double + 0.5) / 1000000.0::double AS impact FROM cand WHERE aside""")
