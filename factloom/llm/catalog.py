@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, packing, simhash, token_counts
+from factloom.llm import decontaminate, langid, packing, piecewise, quality, secret_scan, simhash, suffix_dedup, token_counts, warc_zip
 from factloom.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,30 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_language")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.fit(docs.filter(F.coalesce(~held_out, F.lit(True))).select("text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
+
+
+@query("op4_piecewise_hash")
+def op4(spark, sf_dir):
+    return piecewise.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -58,12 +82,29 @@ def op6(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_secret_scan")
+def op7(spark, sf_dir):
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return token_counts.section_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op9_warc")
+def op9(spark, sf_dir):
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op10_simhash")
 def op10(spark, sf_dir):
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
