@@ -22,14 +22,17 @@ from factloom.session import cut
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each class that the document classifier is fitted on, on average.
 SAMPLE = 10_000
-#: A lexicon word stands in this share of the toxic sample at least, so the
-#: lexicon has at most (distinct words of a document) / share entries.
-SHARE, LOG_ODDS = 0.004, 2.0
+#: A lexicon entry stands in this share of the toxic sample at least, so the
+#: lexicon has at most (distinct words and prefixes of a document) / share
+#: entries; its log odds are this high even two deviations below the estimate.
+SHARE, LOG_ODDS = 0.004, 1.0
+#: Words that share a stem count together by their first letters.
+PREFIXES = (4, 5)
 BINS = 12
 TARGETS = ("low", "toxic")
 #: Log odds that the sites may add or take at most.
 SITE_WEIGHT = 1.0
-FEATURES = ("lexicon", "lexicon_share", "distinct", "punctuation", "upper", "digits", "spaces", "word_length", "top_word", "lines", "log_words", "other")
+FEATURES = ("lexicon", "strongest", "lexicon_share", "distinct", "punctuation", "upper", "digits", "spaces", "word_length", "top_word", "lines", "log_words", "other")
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
@@ -40,6 +43,9 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     n = max(len(data), 1)
     own = Counter(ws)
     hit = own.keys() & lexicon.keys()
+    if lexicon:
+        for k in PREFIXES:
+            hit |= {w[:k] + "*" for w in own if len(w) > k} & lexicon.keys()
     weight = sum(lexicon[w] for w in hit)
     m = max(len(ws), 1)
     top = max(own.values(), default=0) / m
@@ -48,7 +54,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     spaces = count[[9, 10, 11, 12, 13, 32]].sum()
     punctuation = count[33:127].sum() - digits - upper - lower
     return [
-        weight, weight / m, len(own) / m, punctuation / n, upper / max(upper + lower, 1), digits / n, spaces / n,
+        weight, sum(sorted((lexicon[w] for w in hit), reverse=True)[:3]), weight / m, len(own) / m, punctuation / n, upper / max(upper + lower, 1), digits / n, spaces / n,
         sum(map(len, ws)) / m, top, len(set(lines)) / max(len(lines), 1), float(np.log1p(len(ws))), count[:32].sum() / n,
     ]
 
@@ -84,15 +90,26 @@ class Classifier:
         return self
 
 
+def _longer(n: int):
+    return lambda w: F.length(w) > n
+
+
+def _stem(n: int):
+    return lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))
+
+
 def toxic_lexicon(sample: DataFrame, share: float = SHARE, least: float = LOG_ODDS) -> dict[str, float]:
     """Words that stand in toxic texts far more often than in others, with log odds."""
-    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
+    distinct = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    stems = [F.transform(F.filter(distinct, _longer(n)), _stem(n)) for n in PREFIXES]
+    words = sample.select("toxic", F.explode(F.array_distinct(F.concat(distinct, *stems))).alias("word")).filter("word <> ''")
     totals = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     t, c = totals.t or 0, totals.c or 0
     if not t or not c:
         return {}
-    found = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter(F.col("t") >= max(3, share * t))
-    odds = F.log((F.col("t") + 0.5) / (t + 1.0)) - F.log((F.col("c") + 0.5) / (c + 1.0))
+    found = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter(F.col("t") >= max(5, share * t))
+    own, others = F.col("t") + 0.5, F.col("c") + 0.5
+    odds = F.log(own / (t + 1.0)) - F.log(others / (c + 1.0)) - 2 * F.sqrt(1 / own + 1 / others)
     return {r.word: r.odds for r in found.select("word", odds.alias("odds")).filter(F.col("odds") >= least).collect()}
 
 

@@ -28,6 +28,8 @@ SEED = 42
 PACK = 1024
 #: Hashes that are unpacked into bits at once.
 BLOCK = 1 << 16
+#: Largest threshold of a part; its flip patterns are literals of the plan.
+MOST_FLIPS = 3
 #: Cost model in microseconds: a probe row through the shuffles, a comparison.
 ROW_COST, PAIR_COST = 2.0, 0.01
 
@@ -147,7 +149,7 @@ def allot(n: int, both: np.ndarray, parts: list[list[int]], distance: int) -> tu
         for b in bits:  # chance that a random pair differs in exactly d bits of the part
             near = near * agree[b] + np.concatenate(([0.0], near[:-1])) * (1 - agree[b])
         cost = [0.0]
-        for t in range(min(need, len(bits) + 1)):
+        for t in range(min(need, MOST_FLIPS + 1)):
             probes = n * (1 + sum(comb(len(bits), i) for i in range(t + 1)))
             cost.append(ROW_COST * probes + PAIR_COST * n * n * float(near[: t + 1].sum()))
         nxt: dict[int, tuple[float, list[int]]] = {}
@@ -163,11 +165,11 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[int, list[int]]]:
     """(mask of a part, flip patterns to probe) of the cheapest division."""
     n, both = bit_statistics(fps)
     choices = []
-    for count in range(2, 9):
+    # Fewer parts cannot hold the distance, more would leave some out anyway.
+    for count in range(-(-(distance + 1) // (MOST_FLIPS + 1)), max(2, distance + 1) + 1):
         parts = group_bits(n, both, count)
         cost, ts = allot(n, both, parts, distance)
-        if max(ts) <= 3:  # ball sizes that still make a plan of literals
-            choices.append((cost, parts, ts))
+        choices.append((cost, parts, ts))
     _, parts, ts = min(choices, key=lambda x: x[0])
     signed = lambda bits: int(np.array([sum(1 << b for b in bits)], dtype=np.uint64).view(np.int64)[0])
     return [(signed(bits), [signed(f) for r in range(t + 1) for f in combinations(bits, r)]) for bits, t in zip(parts, ts, strict=True) if t >= 0]
