@@ -321,10 +321,18 @@ def _end_of_day(day: Column) -> Column:
     return F.to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 23:59:59")))
 
 
+#: More days or months than the calendar holds.
+BEYOND = 3_000_000
+
+
 def _number(text: Column, pattern: str) -> Column:
+    # Numbers beyond the calendar stand for its end.
     found = F.regexp_extract(text, pattern, 1)
-    value = found.try_cast("int")
-    return F.when(value <= 100_000, value)
+    return F.when(found != "", F.least(F.coalesce(found.try_cast("bigint"), F.lit(BEYOND)), F.lit(BEYOND)).cast("int"))
+
+
+def _within_calendar(day: Column) -> Column:
+    return F.least(day, F.lit("9999-12-31").cast("date"))
 
 
 def deadline(text: Column, reference: Column) -> Column:
@@ -343,13 +351,13 @@ def deadline(text: Column, reference: Column) -> Column:
         F.when(text.contains("大后天"), F.date_add(day, 3)),
         F.when(text.contains("后天"), F.date_add(day, 2)),
         F.when(text.rlike("明天|明日"), F.date_add(day, 1)),
-        F.when(days_zh > 0, F.date_add(day, days_zh)),
+        F.when(days_zh > 0, _within_calendar(F.date_add(day, days_zh))),
         F.when(text.contains("tomorrow"), F.date_add(day, 1)),
-        F.when(days_en > 0, F.date_add(day, days_en)),
+        F.when(days_en > 0, _within_calendar(F.date_add(day, days_en))),
         F.when(text.rlike("下周|next week"), F.date_add(day, F.lit(14) - monday_based)),
         F.when(text.rlike("下个月|next month"), F.last_day(F.add_months(day, 1))),
-        F.when(months_zh.isNotNull(), F.add_months(day, months_zh)),
-        F.when(months_en.isNotNull(), F.add_months(day, months_en)),
+        F.when(months_zh.isNotNull(), _within_calendar(F.add_months(day, months_zh))),
+        F.when(months_en.isNotNull(), _within_calendar(F.add_months(day, months_en))),
         F.when(text.rlike("明年|next year"), F.make_date(F.year(day) + 1, F.lit(12), F.lit(31))),
     )
     return _end_of_day(found)

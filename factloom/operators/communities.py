@@ -1,127 +1,161 @@
-"""Communities of linked memories: detection, activity, verdicts."""
+"""Communities of linked memories: detection, activity, verdicts.
+
+Memories that share a mention are neighbours. Mentions stay bipartite, so a
+common one costs its memberships and not the pairs among its members; only
+distinct sets of mentions are compared with each other, to count a neighbour
+once that shares several.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.operators.graph import RELATIONS
+from factloom.operators.ordering import running_count
 from factloom.operators.scans import maintenance_candidates
+from factloom.session import cut
 
-MAX_MEMORIES = 1000
-SWEEPS = 20
+SWEEPS = 50
 ACTIVITY_THRESHOLD = 0.5
 IMPORTANCE_THRESHOLD = 0.7
 
 
-def participants(memories: DataFrame, limit: int = MAX_MEMORIES) -> DataFrame:
-    """The newest live memories of each entity, expired ones included.
-
-    The bound is that of the method itself: older memories take no part and
-    are never forgotten by it.
-    """
+def participants(memories: DataFrame, limit: int | None = None) -> DataFrame:
+    """The live memories of each entity, expired ones included; the newest ``limit`` if one is given."""
     return maintenance_candidates(memories, limit)
 
 
-def links(nodes: DataFrame, edges: DataFrame, mention_edges: DataFrame, label: str | None = None) -> DataFrame:
-    """Nodes, relation edges and mention memberships as (entity_id, kind, a, b).
+@dataclass
+class Links:
+    """Nodes (entity_id, id[, label]), relation neighbours (a, b) in both directions, memberships (id, mention_id)."""
 
-    Memories that share a mention are neighbours, but they are handed over as
-    members of the mention; pairs are never listed.
-    """
+    nodes: DataFrame
+    related: DataFrame
+    members: DataFrame
+
+
+def links(nodes: DataFrame, edges: DataFrame, mention_edges: DataFrame, label: str | None = None) -> Links:
+    """Neighbourhood of the nodes; ``label`` names a column with given communities."""
     ids = nodes.select("entity_id", "id")
-    own = nodes.select("entity_id", F.lit("node").alias("kind"), F.col("id").alias("a"), (F.col(label) if label else F.lit(None)).cast("string").alias("b"))
-    wanted = edges.filter(F.col("rel_type").isin(RELATIONS)).select("entity_id", "from_id", "to_id").distinct()
-    related = (
-        wanted.join(ids.withColumnRenamed("id", "from_id"), ["entity_id", "from_id"], "left_semi")
-        .join(ids.withColumnRenamed("id", "to_id"), ["entity_id", "to_id"], "left_semi")
-        .select("entity_id", F.lit("edge").alias("kind"), F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    )
-    member = (
-        mention_edges.select("entity_id", F.col("memory_id").alias("id"), "mention_id").distinct()
-        .join(ids, ["entity_id", "id"], "left_semi")
-        .select("entity_id", F.lit("mention").alias("kind"), F.col("id").alias("a"), F.col("mention_id").alias("b"))
-    )
-    return own.unionByName(related).unionByName(member)
-
-
-def _neighbour_matrix(ids: np.ndarray, part: pd.DataFrame) -> np.ndarray:
-    place = {ident: i for i, ident in enumerate(ids)}
-    near = np.zeros((len(ids), len(ids)), dtype=bool)
-    edge = part[part["kind"] == "edge"]
-    a, b = edge["a"].map(place).to_numpy(dtype=int), edge["b"].map(place).to_numpy(dtype=int)
-    near[a, b] = True
-    near[b, a] = True
-    for _, group in part[part["kind"] == "mention"].groupby("b")["a"]:
-        members = group.map(place).to_numpy(dtype=int)
-        near[np.ix_(members, members)] = True
-    np.fill_diagonal(near, False)
-    return near
-
-
-def _propagate(near: np.ndarray, sweeps: int) -> np.ndarray:
-    """Majority labels in id order, seen at once within a sweep."""
-    labels = np.arange(len(near))
-    degree = near.sum(axis=1)
-    around = [np.flatnonzero(row) for row in near]
+    own = nodes.select("entity_id", "id", *([F.col(label).alias("label")] if label else []))
+    one_way = edges.filter(F.col("rel_type").isin(RELATIONS) & (F.col("from_id") != F.col("to_id"))).select("entity_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    both = one_way.unionByName(one_way.select("entity_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    related = both.join(ids.withColumnRenamed("id", "a"), ["entity_id", "a"], "left_semi").join(ids.withColumnRenamed("id", "b"), ["entity_id", "b"], "left_semi")
+    members = mention_edges.select("entity_id", F.col("memory_id").alias("id"), "mention_id").distinct().join(ids, ["entity_id", "id"], "left_semi")
+    return Links(own, related, members)
+
+
+def _winner(votes: DataFrame, key: str) -> DataFrame:
+    """Label with the most votes per key, the smallest at a tie."""
+    counted = votes.groupBy("entity_id", key, "label").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy("entity_id", key).agg(F.min(F.struct((-F.col("_n")).alias("n"), "label"))["label"].alias("label"))
+
+
+def first_half(ident: Column) -> Column:
+    """Nodes that move in the first half of a sweep; the others move in the second."""
+    return F.substring(F.md5(ident), 1, 1) < "8"
+
+
+def propagate(linked: Links, sweeps: int = SWEEPS) -> tuple[DataFrame, bool]:
+    """(entity_id, id, label) after label propagation, and whether it settled.
+
+    A node takes the label with most votes among its own, its relation
+    neighbours' and its mentions', a mention speaking for most of its members;
+    ties go to the smallest label. Two halves of the nodes, by hash of id, move
+    in turn, so that pairs do not swap for ever. It ends when a sweep changes
+    nothing, when a state comes back, or after ``sweeps``.
+
+    The reference moves nodes one by one in a fixed order and counts every
+    neighbour of a shared mention; that order has no parallel form, and results
+    may differ on graphs other than clear clusters.
+    """
+    nodes, related, members = cut(linked.nodes.select("entity_id", "id")), cut(linked.related), cut(linked.members)
+    labels = nodes.withColumn("label", F.col("id"))
+    seen: set[int] = set()
+    settled = False
     for _ in range(sweeps):
-        changed = False
-        for i, others in enumerate(around):
-            if not len(others):
-                continue
-            said = labels[others]
-            values, counts = np.unique(said, return_counts=True)
-            best = values[counts == counts.max()]
-            if len(best) > 1:
-                tied = others[np.isin(said, best)]
-                best = labels[tied[np.lexsort((tied, -degree[tied]))[:1]]]
-            if best[0] != labels[i]:
-                labels[i] = best[0]
-                changed = True
-        if not changed:
+        before = labels
+        for half in (True, False):
+            spoken = _winner(members.join(labels, ["entity_id", "id"]).select("entity_id", "mention_id", "label"), "mention_id")
+            votes = (
+                labels.select("entity_id", "id", "label")
+                .unionByName(related.join(labels.withColumnRenamed("id", "b"), ["entity_id", "b"]).select("entity_id", F.col("a").alias("id"), "label"))
+                .unionByName(members.join(spoken, ["entity_id", "mention_id"]).select("entity_id", "id", "label"))
+                .filter(first_half(F.col("id")) == half)
+            )
+            heard = _winner(votes, "id").withColumnRenamed("label", "_new")
+            labels = cut(labels.join(heard, ["entity_id", "id"], "left").select("entity_id", "id", F.coalesce("_new", "label").alias("label")))
+        joined = labels.join(before.withColumnRenamed("label", "_old"), ["entity_id", "id"])
+        state = joined.agg(F.count(F.when(F.col("label") != F.col("_old"), 1)).alias("moved"), F.sum(F.xxhash64("entity_id", "id", "label").cast("decimal(38,0)")).alias("mark")).first()
+        if not state.moved or state.mark in seen:
+            settled = not state.moved
             break
-    return labels
-
-
-def _analyse(sweeps: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = part[part["kind"] == "node"].sort_values("a")
-        ids = nodes["a"].to_numpy(dtype=object)
-        near = _neighbour_matrix(ids, part)
-        given = nodes["b"].notna().all()
-        labels = pd.factorize(nodes["b"])[0] if given else _propagate(near, sweeps)
-        # A community is named after its smallest member.
-        first = pd.Series(ids).groupby(labels).min()
-        same = labels[:, None] == labels[None, :]
-        return pd.DataFrame({
-            "entity_id": part["entity_id"].iloc[0], "id": ids,
-            "community": nodes["b"].to_numpy(dtype=object) if given else first.loc[labels].to_numpy(dtype=object),
-            "degree": near.sum(axis=1).astype("int64"), "inner": (near & same).sum(axis=1).astype("int64"),
-            "reached": [len(np.unique(labels[row])) for row in near],
-        })
-
-    return run
-
-
-def analyse(linked: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+        seen.add(state.mark)
+    return labels, settled
+
+
+def _around(linked: Links, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mention sets: (entity_id, id, set_id, mentions) of nodes, and (entity_id, set_id, label, n)
+    members of each label among all nodes that share a mention with the set."""
+    sets = linked.members.groupBy("entity_id", "id").agg(F.sort_array(F.collect_set("mention_id")).alias("mentions"))
+    sets = sets.withColumn("set_id", F.sha2(F.array_join("mentions", ","), 256))
+    sizes = sets.join(labels, ["entity_id", "id"]).groupBy("entity_id", "set_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    opened = sets.select("entity_id", "set_id", "mentions").distinct().select("entity_id", "set_id", F.explode("mentions").alias("mention_id"))
+    other = opened.select("entity_id", "mention_id", F.col("set_id").alias("near_id"))
+    near = opened.join(other, ["entity_id", "mention_id"]).select("entity_id", "set_id", "near_id").distinct()
+    around = near.join(sizes.withColumnRenamed("set_id", "near_id"), ["entity_id", "near_id"]).groupBy("entity_id", "set_id", "label").agg(F.sum("n").alias("n"))
+    return sets, around
+
+
+def analyse(linked: Links, sweeps: int = SWEEPS) -> DataFrame:
     """(entity_id, id, community, degree, inner, reached) per participant.
 
-    Communities come from the given node labels, or from label propagation
-    where there are none. Propagation depends on order, so an entity is one
-    group; it holds at most the bounded participants, kept as a bit matrix.
+    Communities are the given node labels, or come from label propagation and
+    are named after their smallest member. A neighbour counts once however it
+    is reached; ``inner`` counts those of the own community, ``reached`` the
+    communities among all of them.
     """
-    schema = "entity_id string, id string, community string, degree bigint, inner bigint, reached bigint"
-    return linked.groupBy("entity_id").applyInPandas(_analyse(sweeps), schema)
+    if "label" in linked.nodes.columns:
+        labels = linked.nodes.select("entity_id", "id", "label")
+    else:
+        raw = propagate(linked, sweeps)[0]
+        smallest = raw.groupBy("entity_id", "label").agg(F.min("id").alias("_name"))
+        labels = cut(raw.join(smallest, ["entity_id", "label"]).select("entity_id", "id", F.col("_name").alias("label")))
+    sets, around = _around(linked, labels)
+    around = cut(around)
+    whole = around.groupBy("entity_id", "set_id").agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_labels"))
+    nodes = cut(
+        labels.join(sets, ["entity_id", "id"], "left").join(whole, ["entity_id", "set_id"], "left")
+        .join(around.withColumnRenamed("n", "_own"), ["entity_id", "set_id", "label"], "left")
+    )
+    # Relation neighbours that share no mention come on top.
+    side = lambda p: nodes.select("entity_id", F.col("id").alias(p), F.col("label").alias(f"_{p}"), F.col("mentions").alias(f"_m{p}"), F.col("set_id").alias(f"_s{p}"))
+    extra = linked.related.join(side("a"), ["entity_id", "a"]).join(side("b"), ["entity_id", "b"]).filter(~F.coalesce(F.arrays_overlap("_ma", "_mb"), F.lit(False)))
+    known = around.select("entity_id", F.col("set_id").alias("_sa"), F.col("label").alias("_b"), "n")
+    extra = extra.join(known, ["entity_id", "_sa", "_b"], "left")
+    # The own label is reached by mentions only if another member holds it.
+    fresh = F.when(F.coalesce(F.col("n"), F.lit(0)) <= F.when(F.col("_a") == F.col("_b"), 1).otherwise(0), F.col("_b"))
+    more = extra.groupBy("entity_id", F.col("a").alias("id")).agg(
+        F.count(F.lit(1)).alias("_more"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("_more_inner"), F.count_distinct(fresh).alias("_more_reached")
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    shares = F.when(F.col("set_id").isNotNull(), 1).otherwise(0)
+    return nodes.join(more, ["entity_id", "id"], "left").select(
+        "entity_id", "id", F.col("label").alias("community"), (zero("_all") - shares + zero("_more")).alias("degree"),
+        (zero("_own") - shares + zero("_more_inner")).alias("inner"),
+        (zero("_labels") - F.when(F.col("_own") == 1, 1).otherwise(0) + zero("_more_reached")).alias("reached"),
+    )
 
 
 def relabel(found: DataFrame) -> DataFrame:
     """Rename communities c0, c1, … by their smallest member."""
     smallest = found.groupBy("entity_id", "community").agg(F.min("id").alias("_min"))
-    order = F.dense_rank().over(Window.partitionBy("entity_id").orderBy("_min"))
-    names = smallest.withColumn("name", F.concat(F.lit("c"), (order - 1).cast("string"))).drop("_min")
+    numbered = running_count(smallest, ["entity_id"], ["_min"], F.lit(1), "_n")
+    names = numbered.select("entity_id", "community", F.concat(F.lit("c"), (F.col("_n") - 1).cast("string")).alias("name"))
     return found.join(names, ["entity_id", "community"]).withColumn("community", F.col("name")).drop("name")
 
 
@@ -164,7 +198,7 @@ def forgotten_members(members: DataFrame, decided: DataFrame) -> DataFrame:
     return joined.filter(gone).select("entity_id", "id")
 
 
-def community_members(memories: DataFrame, edges: DataFrame, mention_edges: DataFrame, facts: DataFrame, limit: int = MAX_MEMORIES) -> DataFrame:
+def community_members(memories: DataFrame, edges: DataFrame, mention_edges: DataFrame, facts: DataFrame, limit: int | None = None) -> DataFrame:
     """Participants with community, link counts and protection."""
     pool = participants(memories, limit).select("entity_id", "id", "confidence", "created_at", "last_accessed_at")
     found = relabel(analyse(links(pool, edges, mention_edges)))

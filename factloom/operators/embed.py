@@ -12,13 +12,10 @@ def embed_distinct(df: DataFrame, text: str, embed: Callable[[Column], Column],
     """Add ``embedding``; ``embed`` may be a SQL expression or a pandas UDF.
 
     Keys are hashes of model and text. Copies collapse before the shuffle, so
-    a text that makes up a third of the table is still embedded once. Join
-    keys of copies are spread by a salt on the way back.
+    a text that makes up a third of the table is still embedded once. On the
+    way back every key has one vector, so Spark may split the rows of a key
+    that many copies share.
     """
-    salts = 16
-    key = F.sha2(F.concat_ws("\x1f", F.lit(model), F.col(text)), 256)
-    keyed = df.withColumn("_key", key)
-    once = keyed.groupBy("_key").agg(F.first(text).alias("_text")).withColumn("embedding", embed(F.col("_text"))).drop("_text")
-    spread = once.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    back = keyed.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
-    return back.join(spread, ["_key", "_salt"]).drop("_key", "_salt")
+    keyed = df.withColumn("_key", F.sha2(F.concat_ws("\x1f", F.lit(model), F.col(text)), 256))
+    once = keyed.groupBy("_key").agg(F.first(text).alias("_text")).select("_key", embed(F.col("_text")).alias("embedding"))
+    return keyed.join(once, "_key").drop("_key")

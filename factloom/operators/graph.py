@@ -10,7 +10,6 @@ from factloom.session import cut
 
 RELATIONS = ["UPDATES", "EXTENDS", "DERIVES_FROM"]
 MAX_DEPTH = 4
-SIBLINGS = 1000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -37,20 +36,25 @@ def update_lineage(edges: DataFrame) -> DataFrame:
     """Newest version of every memory on an UPDATES chain and the steps to it.
 
     A memory follows its first superseder. Pointer doubling reaches the end of
-    a chain of n versions in about log2(n) joins.
+    a chain of n versions in about log2(n) joins. On a cycle no version is the
+    newest: its memories, and those that lead into it, have a null ``newest``
+    and null steps. Steps only double while an end lies ahead, so the number of
+    rounds is bounded by log2 of the number of edges.
     """
     up = edges.filter("rel_type = 'UPDATES'")
     parent = up.groupBy("entity_id", F.col("to_id").alias("id")).agg(F.min(F.struct("created_at", "from_id"))["from_id"].alias("newest"))
     tops = up.select("entity_id", F.col("from_id").alias("id")).distinct().join(parent, ["entity_id", "id"], "left_anti")
     state = parent.withColumn("steps", F.lit(1).cast("long")).unionByName(tops.select("entity_id", "id", F.col("id").alias("newest"), F.lit(0).cast("long").alias("steps")))
     state = cut(state)
-    while True:
+    for _ in range(state.count().bit_length() + 1):
         target = state.select("entity_id", F.col("id").alias("newest"), F.col("newest").alias("_next"), F.col("steps").alias("_more"))
         moved = state.join(target, ["entity_id", "newest"]).select("entity_id", "id", F.col("_next").alias("newest"), (F.col("steps") + F.col("_more")).alias("steps"), (F.col("_more") > 0).alias("_moved"))
         moved = cut(moved)
         state = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             return state
+    # Whoever still moves after more rounds than any chain needs is on a cycle.
+    return moved.select("entity_id", "id", F.when(~F.col("_moved"), F.col("newest")).alias("newest"), F.when(~F.col("_moved"), F.col("steps")).alias("steps"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def _order_key(moment, *parts):
     return [F.lpad(F.unix_micros(moment).cast("string"), 20, "0"), *parts]
 
 
-def walk(seeds: DataFrame, memories: DataFrame, edges: DataFrame, mention_edges: DataFrame, depth: int) -> DataFrame:
+def walk(seeds: DataFrame, memories: DataFrame, edges: DataFrame, mention_edges: DataFrame, depth: int, max_siblings: int | None = None) -> DataFrame:
     """Memories reached from the seeds of each query within ``depth`` hops.
 
     ``seeds`` has (query_id, entity_id, id, position). A hop is a shared
@@ -90,15 +94,15 @@ def walk(seeds: DataFrame, memories: DataFrame, edges: DataFrame, mention_edges:
     Retired memories are reached along UPDATES only and end the walk.
 
     Mentions stay bipartite: per query a mention is opened once, by its first
-    reach, and hands out its newest siblings; pairs of siblings never exist.
+    reach, and hands out its siblings (the newest ``max_siblings`` if given);
+    pairs of siblings never exist.
     """
     depth = max(0, min(depth, MAX_DEPTH))
     step = lambda kind, ident: F.array(F.struct(kind.alias("kind"), ident.alias("id")))
     latest = memories.filter(F.coalesce("is_latest", F.lit(True))).select("entity_id", "id", "created_at")
     links = mention_edges.groupBy("entity_id", F.col("memory_id").alias("id"), "mention_id").agg(F.min("created_at").alias("_at"))
-    siblings = top_per(
-        links.select("entity_id", "id", "mention_id").join(latest, ["entity_id", "id"]), ["entity_id", "mention_id"], newest(), SIBLINGS
-    ).select("entity_id", "mention_id", F.col("id").alias("other"), "created_at")
+    members = links.select("entity_id", "id", "mention_id").join(latest, ["entity_id", "id"])
+    siblings = top_per(members, ["entity_id", "mention_id"], newest(), max_siblings).select("entity_id", "mention_id", F.col("id").alias("other"), "created_at")
     near = neighbours(edges, memories).filter(F.col("other_latest") | (F.col("rel_type") == "UPDATES"))
     if depth > 1:
         # Every level looks into the same three tables; rank siblings once.

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as X
 from factloom.operators.scans import latest_memories, newest, top_per
 
-INPUT_LIMIT = 200
 # Profile settings where an entity has none of its own.
 DEFAULTS = {"static_max_items": 10, "dynamic_max_items": 5, "min_confidence_static": 0.5, "min_confidence_dynamic": 0.3, "dynamic_lookback_days": 7}
 # Fixed value: source label of dynamic facts.
@@ -36,39 +35,45 @@ def _fact_kind(now):
     )
 
 
-def _ranked(facts: DataFrame) -> DataFrame:
-    """Best facts of each list first; lists end at the entity's own length."""
+def _longest(config: DataFrame | None) -> int:
+    """Largest list length that any entity is set to; one number from the settings."""
+    names = [n for n in ("static_max_items", "dynamic_max_items") if config is not None and n in config.columns]
+    found = config.agg(*[F.max(n).alias(n) for n in names]).first() if names else ()
+    return max(DEFAULTS["static_max_items"], DEFAULTS["dynamic_max_items"], *[x for x in found if x is not None])
+
+
+def _ranked(facts: DataFrame, config: DataFrame | None) -> DataFrame:
+    """Best facts of each list first; lists end at the entity's own length.
+
+    The literal bound lets Spark cut each list before the shuffle, so a hot
+    entity sends a few rows per task; the entity's own bound follows.
+    """
     order = Window.partitionBy("entity_id", "kind").orderBy(F.desc("importance"), F.desc("created_at"), F.asc("memory_id"))
     room = F.when(F.col("kind") == "static", F.col("static_max_items")).otherwise(F.col("dynamic_max_items"))
-    return facts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= room)
+    return facts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= _longest(config)).filter(F.col("rank") <= room)
 
 
 _COLUMNS = ["entity_id", "kind", "rank", "memory_id", "content", "importance", "source", "created_at"]
 
 
 def profile_facts(memories: DataFrame, edges: DataFrame | None, now, config: DataFrame | None = None) -> DataFrame:
-    """Static and dynamic facts of every entity.
-
-    Only the newest 200 live memories of an entity are read, as ranks are cut
-    before the shuffle; edges are counted for those memories alone.
-    """
-    pool = latest_memories(memories, now, INPUT_LIMIT)
+    """Static and dynamic facts of every entity, from all its live and valid memories."""
+    pool = latest_memories(memories, now)
     if edges is None:
         pool = pool.withColumn("_links", F.lit(0))
     else:
-        ids = pool.select("entity_id", F.col("id").alias("to_id"))
-        links = edges.join(ids, ["entity_id", "to_id"], "left_semi").groupBy("entity_id", F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("_links"))
+        links = edges.groupBy("entity_id", F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("_links"))
         pool = pool.join(links, ["entity_id", "id"], "left")
     scored = with_config(pool, config).withColumn("trust", X.trust(now))
     scored = scored.withColumn("importance", X.importance(now, F.col("trust"), F.col("_links"))).withColumn("kind", _fact_kind(now))
     facts = scored.filter(F.col("kind").isNotNull()).withColumn("memory_id", F.col("id"))
     facts = facts.withColumn("source", F.when(F.col("kind") == "dynamic", DYNAMIC_SOURCE))
-    return _ranked(facts).select(*_COLUMNS)
+    return _ranked(facts, config).select(*_COLUMNS)
 
 
 def profile_summary(memories: DataFrame, facts: DataFrame, now) -> DataFrame:
     """Per entity: memories read, static and dynamic facts."""
-    read = latest_memories(memories, now, INPUT_LIMIT).groupBy("entity_id").agg(F.count(F.lit(1)).alias("memory_count"))
+    read = latest_memories(memories, now).groupBy("entity_id").agg(F.count(F.lit(1)).alias("memory_count"))
     counts = facts.groupBy("entity_id").agg(
         F.count(F.when(F.col("kind") == "static", 1)).alias("static_facts"), F.count(F.when(F.col("kind") == "dynamic", 1)).alias("dynamic_facts")
     )
@@ -76,16 +81,6 @@ def profile_summary(memories: DataFrame, facts: DataFrame, now) -> DataFrame:
     return read.join(counts, "entity_id", "left").select("entity_id", "memory_count", zero("static_facts"), zero("dynamic_facts"))
 
 
-def nested_profiles(facts: DataFrame) -> DataFrame:
-    """One row per entity with its two lists; each is bounded by its settings."""
-    item = F.struct("rank", "memory_id", "content", "importance")
-    lists = facts.groupBy("entity_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "static", item))).alias("static"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "dynamic", item))).alias("dynamic"),
-    )
-    return lists
-
-
 def merge_incremental(facts: DataFrame, memories: DataFrame, edges: DataFrame, new_ids: DataFrame, now, config: DataFrame | None = None) -> DataFrame:
     """Existing facts without those a new memory updates, plus new facts by trust."""
     fresh = new_ids.select("entity_id", F.col("id").alias("from_id")).distinct()
@@ -100,13 +95,13 @@ def merge_incremental(facts: DataFrame, memories: DataFrame, edges: DataFrame, n
     both = with_config(kept.unionByName(added), config)
     cutoff = X.at(now) - F.make_dt_interval(F.col("dynamic_lookback_days"))
     both = both.filter((F.col("kind") == "static") | (F.col("created_at") >= cutoff))
-    return _ranked(both).select(*_COLUMNS)
+    return _ranked(both, config).select(*_COLUMNS)
 
 
 def digest(facts: DataFrame, memories: DataFrame, now, max_recent: int = 10) -> DataFrame:
     """One Markdown text per entity from its profile and recent memories."""
     cutoff = X.at(now) - F.expr("INTERVAL '7' DAY")
-    recent = latest_memories(memories, now, max_recent * 3).filter((F.col("created_at") > cutoff) & (F.col("memory_type") != "fact"))
+    recent = latest_memories(memories, now).filter((F.col("created_at") > cutoff) & (F.col("memory_type") != "fact"))
     recent = recent.withColumn("_untyped", F.col("internal_type").isNull())
     recent = top_per(recent, ["entity_id"], [F.asc("_untyped"), *newest()], max_recent)
     order = Window.partitionBy("entity_id").orderBy(F.asc("_untyped"), *newest())
@@ -122,7 +117,7 @@ def digest(facts: DataFrame, memories: DataFrame, now, max_recent: int = 10) ->
         return F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias(kind)
 
     parts = lines.groupBy("entity_id").agg(block("static"), block("dynamic"), block("recent"))
-    counts = latest_memories(memories, now, INPUT_LIMIT).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = latest_memories(memories, now).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.join(parts, "entity_id", "left")
     text = lambda c: F.coalesce(c, F.lit(""))
     section = lambda title, c: F.when(text(c) != "", F.concat(F.lit(f"## {title}\n\n"), text(c), F.lit("\n\n"))).otherwise("")

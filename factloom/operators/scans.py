@@ -13,33 +13,36 @@ def newest() -> list[Column]:
     return [F.desc("created_at"), F.asc("id")]
 
 
-def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
-    """First ``limit`` rows of each key.
+def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """First ``limit`` rows of each key; all rows without a limit.
 
     Spark turns the rank filter into a group limit that runs before the
     shuffle, so a hot key sends at most ``limit`` rows per map task.
     """
+    if limit is None:
+        return df
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def latest_memories(memories: DataFrame, now, limit: int = 50, memory_type: str | None = None) -> DataFrame:
-    """Newest live and valid memories of every entity."""
+def latest_memories(memories: DataFrame, now, limit: int | None = None, memory_type: str | None = None) -> DataFrame:
+    """Live and valid memories of every entity, the newest ``limit`` if one is given."""
     live = memories.filter(F.col("is_latest") & X.is_valid(now, inclusive=False))
     if memory_type is not None:
         live = live.filter(F.col("memory_type") == memory_type)
     return top_per(live, ["entity_id"], newest(), limit)
 
 
-def maintenance_candidates(memories: DataFrame, limit: int = 1000) -> DataFrame:
-    """Newest live memories of every entity, expired ones included."""
+def maintenance_candidates(memories: DataFrame, limit: int | None = None) -> DataFrame:
+    """Live memories of every entity, expired ones included; the newest ``limit`` if one is given."""
     return top_per(memories.filter("is_latest"), ["entity_id"], newest(), limit)
 
 
-def recent_memories(memories: DataFrame, now, since_minutes: int = 120, limit: int = 500) -> DataFrame:
-    """Newest live memories of the last minutes, over all entities."""
+def recent_memories(memories: DataFrame, now, since_minutes: int = 120, limit: int | None = None) -> DataFrame:
+    """Live memories of the last minutes, over all entities; the newest ``limit`` if one is given."""
     since = X.at(now) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(since_minutes), F.lit(0))
-    return memories.filter(F.col("is_latest") & (F.col("created_at") >= since)).orderBy(*newest()).limit(limit)
+    recent = memories.filter(F.col("is_latest") & (F.col("created_at") >= since))
+    return recent if limit is None else recent.orderBy(*newest()).limit(limit)
 
 
 def entity_ids(memories: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def timeline(memories: DataFrame, now) -> DataFrame:
     return memories.groupBy("entity_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("memories"))
 
 
-def graph_nodes(memories: DataFrame, now, limit: int = 100) -> DataFrame:
+def graph_nodes(memories: DataFrame, now, limit: int | None = None) -> DataFrame:
     """Node table of the graph export."""
     label = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.substring("content", 1, 60))
     return latest_memories(memories, now, limit).select(
@@ -120,19 +123,35 @@ def graph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def orphans(memories: DataFrame, embeddings: DataFrame, now, lookback_minutes: int = 120, scan: int = 400, max_repairs: int = 200) -> DataFrame:
+def orphans(memories: DataFrame, embeddings: DataFrame, now, lookback_minutes: int = 120, limit: int | None = None) -> DataFrame:
     """Recent live memories without a vector, marked repairable or blank.
 
-    The scan and repair bounds are those of the repair job itself: it works
-    through the newest rows and the next run takes the following ones.
+    Rows that have a vector are left out before any limit, so a run with a
+    limit works on the newest orphans and the next run on the following ones.
     """
-    recent = recent_memories(memories, now, lookback_minutes, scan)
-    vectors = embeddings.select(F.col("chunk_id").alias("id"))
-    missing = recent.join(vectors, "id", "left_anti")
+    vectors = embeddings.select("entity_id", F.col("chunk_id").alias("id")).distinct()
+    missing = recent_memories(memories, now, lookback_minutes).join(vectors, ["entity_id", "id"], "left_anti")
+    if limit is not None:
+        missing = missing.orderBy(*newest()).limit(limit)
     blank = F.trim(F.coalesce("content", F.lit(""))) == ""
-    return missing.orderBy(*newest()).limit(max_repairs).select(
-        "entity_id", "id", "created_at", F.when(blank, "failed").otherwise("repaired").alias("outcome")
-    )
+    return missing.select("entity_id", "id", "created_at", F.when(blank, "failed").otherwise("repaired").alias("outcome"))
+
+
+def repair_orphans(memories: DataFrame, embeddings: DataFrame, found: DataFrame, now, embed) -> tuple[DataFrame, DataFrame]:
+    """Memories and vectors after a repair run.
+
+    Repairable orphans get the vector that ``embed(content)`` makes; blank ones
+    are retired with the reason ``no_content``.
+    """
+    marks = found.select("entity_id", "id", F.col("outcome").alias("_outcome"))
+    joined = memories.join(marks, ["entity_id", "id"], "left")
+    failed = F.coalesce(F.col("_outcome") == "failed", F.lit(False))
+    after = joined.withColumns({
+        "is_latest": F.col("is_latest") & ~failed, "replaced_by": F.when(failed, "no_content").otherwise(F.col("replaced_by")),
+        "expired_at": F.when(failed, X.at(now)).otherwise(F.col("expired_at")), "updated_at": F.when(failed, X.at(now)).otherwise(F.col("updated_at")),
+    }).select(*memories.columns)
+    new = joined.filter("_outcome = 'repaired'").select("entity_id", F.col("id").alias("chunk_id"), F.lit(None).cast("string").alias("document_id"), F.col("content").alias("text"), embed(F.col("content")).alias("embedding"))
+    return after, embeddings.unionByName(new, allowMissingColumns=True)
 
 
 def spaces_with_counts(spaces: DataFrame, memories: DataFrame) -> DataFrame:

@@ -122,10 +122,7 @@ def keyword_search(queries: DataFrame, memories: DataFrame, now, filters: dict |
 
 def about_search(asks: DataFrame, memories: DataFrame, mention_edges: DataFrame, now, filters: dict | None = None, min_confidence: float | None = None) -> DataFrame:
     """Memories that mention the asked thing, by trust, newest first on ties."""
-    limit_rows = memories_mentioning(memories, mention_edges, asks)
-    sized = limit_rows.join(asks.select("query_id", "k"), "query_id").withColumn("_most", F.greatest(F.col("k") * 5, F.lit(100)))
-    newest_rows = first_k(sized, [F.desc("created_at"), F.asc("id")], "_most", 5 * MAX_TOP_K)
-    good = newest_rows.filter(X.is_valid(now, inclusive=True))
+    good = memories_mentioning(memories, mention_edges, asks).join(asks.select("query_id", "k"), "query_id").filter(X.is_valid(now, inclusive=True))
     if filters:
         good = good.filter(compile_filter(filters, memories.columns))
     if min_confidence is not None:

@@ -19,7 +19,7 @@ TS = "'%Y-%m-%d %H:%M:%S'"
 
 def sql_profile(static: str = "10", dynamic: str = "5", min_static: str = "0.5", min_dynamic: str = "0.3", days: str = "7") -> str:
     return f"""links AS (SELECT entity_id, to_id AS id, count(*) AS n FROM ed GROUP BY ALL),
- pool AS (SELECT * FROM tr WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01') QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 200),
+ pool AS (SELECT * FROM tr WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01')),
  scored AS (SELECT p.*, floor(least(0.35::double * trust + 0.25::double * pow(2.0::double, -(date_diff('second', created_at, timestamp '2024-02-01') / 86400.0::double) / 30.0::double)
    + 0.2::double * CASE memory_type WHEN 'preference' THEN 1.0 WHEN 'fact' THEN 0.8 WHEN 'episodic' THEN 0.5 WHEN 'noise' THEN 0.2 ELSE 0.5 END::double
    + 0.2::double * least(coalesce(l.n, 0) / 10.0::double, 1.0::double), 1.0::double) * 10000.0::double + 0.5) / 10000.0::double AS importance,
@@ -51,7 +51,7 @@ def x2(spark, d):
     """Importance of the memories a profile reads."""
     t = Tables(spark, d)
     from factloom.operators.scans import latest_memories
-    pool = latest_memories(t.memories, NOW, 200)
+    pool = latest_memories(t.memories, NOW)
     links = t.edges.groupBy("entity_id", F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return pool.join(links, ["entity_id", "id"], "left").select("id", X.importance(NOW, X.trust(NOW), F.col("n")).alias("importance"))
 
@@ -90,8 +90,7 @@ def q3(spark, d):
 
 
 @query("q4_entity_digest", SQL_BASE + f""", {sql_profile()},
- rec AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY internal_type IS NULL, created_at DESC, id) AS rank FROM (SELECT * FROM mem WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01')
-   QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 30) WHERE created_at > timestamp '2024-01-25' AND memory_type <> 'fact' QUALIFY rank <= 10),
+ rec AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY internal_type IS NULL, created_at DESC, id) AS rank FROM mem WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01') AND created_at > timestamp '2024-01-25' AND memory_type <> 'fact' QUALIFY rank <= 10),
  s AS (SELECT entity_id, string_agg('- ' || content, E'\\n' ORDER BY rank) AS x FROM facts WHERE kind = 'static' GROUP BY 1),
  y AS (SELECT entity_id, string_agg('- ' || content || ' (source: 最近对话)', E'\\n' ORDER BY rank) AS x FROM facts WHERE kind = 'dynamic' GROUP BY 1),
  z AS (SELECT entity_id, string_agg('- ' || content || ' _(' || coalesce(internal_type, memory_type) || ')_', E'\\n' ORDER BY rank) AS x FROM rec GROUP BY 1),
@@ -185,7 +184,7 @@ def f10(spark, d):
 
 # ---------------------------------------------------------------- communities
 
-SQL_ADJ = f"""nodes AS (SELECT * FROM mem WHERE is_latest QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 1000),
+SQL_ADJ = f"""nodes AS (SELECT * FROM mem WHERE is_latest),
  lk AS (SELECT DISTINCT entity_id, memory_id, mention_id FROM me),
  adj AS (SELECT DISTINCT x.entity_id, x.a, x.b FROM (SELECT entity_id, from_id AS a, to_id AS b FROM ed UNION ALL SELECT entity_id, to_id, from_id FROM ed
    UNION ALL SELECT p.entity_id, p.memory_id, q.memory_id FROM lk p JOIN lk q USING (entity_id, mention_id) WHERE p.memory_id <> q.memory_id) x JOIN nodes n ON n.id = x.a JOIN nodes m ON m.id = x.b)"""
@@ -255,22 +254,45 @@ def w7(spark, d):
     return communities.relabel(part).select("entity_id", "id", "community")
 
 
-@query("c1_community_detection")
+def sql_propagation(sweeps: int = 16) -> str:
+    """Label propagation of two half steps per sweep, unrolled; settled states stay as they are."""
+    out = ["rel AS (SELECT DISTINCT entity_id, a, b FROM (SELECT entity_id, from_id AS a, to_id AS b FROM ed UNION ALL SELECT entity_id, to_id, from_id FROM ed) x JOIN nodes n USING (entity_id) JOIN nodes m USING (entity_id) WHERE n.id = a AND m.id = b AND a <> b)",
+           "mm AS (SELECT lk.entity_id, lk.memory_id AS id, lk.mention_id FROM lk JOIN nodes n ON n.entity_id = lk.entity_id AND n.id = lk.memory_id)", "l0 AS MATERIALIZED (SELECT entity_id, id, id AS label FROM nodes)"]
+    for k in range(1, 2 * sweeps + 1):
+        old, half = f"l{k - 1}", "<" if k % 2 else ">="
+        out.append(f"""s{k} AS MATERIALIZED (SELECT entity_id, mention_id, label FROM (SELECT mm.entity_id, mention_id, label, count(*) AS n FROM mm JOIN {old} USING (entity_id, id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY entity_id, mention_id ORDER BY n DESC, label) = 1),
+ l{k} AS MATERIALIZED (SELECT o.entity_id, o.id, CASE WHEN substr(md5(o.id), 1, 1) {half} '8' THEN w.label ELSE o.label END AS label FROM {old} o JOIN (SELECT entity_id, id, label FROM (
+  SELECT entity_id, id, label, count(*) AS n FROM (SELECT entity_id, id, label FROM {old} UNION ALL SELECT rel.entity_id, rel.a, {old}.label FROM rel JOIN {old} ON {old}.entity_id = rel.entity_id AND {old}.id = rel.b
+   UNION ALL SELECT mm.entity_id, mm.id, s{k}.label FROM mm JOIN s{k} USING (entity_id, mention_id)) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY entity_id, id ORDER BY n DESC, label) = 1) w USING (entity_id, id))""")
+    last = f"l{2 * sweeps}"
+    out.append(f"named AS (SELECT l.entity_id, l.id, 'c' || (dense_rank() OVER (PARTITION BY l.entity_id ORDER BY m) - 1)::varchar AS community FROM {last} l JOIN (SELECT entity_id, label, min(id) AS m FROM {last} GROUP BY ALL) USING (entity_id, label))")
+    return ", ".join(out)
+
+
+SQL_FOUND_PART = sql_propagation() + ", " + SQL_PART.replace("part AS (SELECT *, 'p' || ((doc_id // 20) % 5)::varchar AS community FROM nodes)", "part AS (SELECT n.*, named.community FROM nodes n JOIN named USING (entity_id, id))")
+
+
+@query("c1_community_detection", SQL_BASE + f", {SQL_FOUND}, {SQL_ADJ}, {SQL_FOUND_PART} SELECT entity_id, id, community, degree FROM rows")
 def c1(spark, d):
-    """Label propagation; checked against a sequential replay in the tests."""
+    """Label propagation over relations and shared mentions."""
     t = Tables(spark, d)
     pool = communities.participants(t.memories)
-    rare = t.mention_edges.filter("type NOT IN ('concept', 'person')")
-    return communities.relabel(communities.analyse(communities.links(pool, t.edges, rare))).select("entity_id", "id", "community", "degree")
+    return communities.relabel(communities.analyse(communities.links(pool, t.edges, t.mention_edges))).select("entity_id", "id", "community", "degree")
+
+
+@query("c1_settled", "SELECT true AS settled")
+def c1_settled(spark, d):
+    """Whether the propagation settled."""
+    t = Tables(spark, d)
+    linked = communities.links(communities.participants(t.memories), t.edges, t.mention_edges)
+    settled = communities.propagate(linked)[1]
+    return t.docs.limit(1).select(F.lit(settled).alias("settled"))
 
 
-@query("f4_forget_communities")
+@query("f4_forget_communities", SQL_SCORE.replace(SQL_PART, SQL_FOUND_PART) + "SELECT r.entity_id, r.id, 'community_forgotten' AS reason FROM rows r JOIN vd USING (entity_id, community) WHERE action = 'forgotten' OR (action = 'exempt_bridge' AND reached < 2)")
 def f4(spark, d):
     """detect, score and decide communities, then list what is forgotten."""
-    base = _base(Tables(spark, d))
-    # Everyday words would tie each source into one community.
-    base.mention_edges = base.mention_edges.filter("type NOT IN ('concept', 'person')")
-    return lifecycle.forget_communities(base, NOW)[1]
+    return lifecycle.forget_communities(_base(Tables(spark, d)), NOW)[1]
 
 
 @query("f11_maintenance_run")

@@ -162,7 +162,7 @@ def g10(spark, d):
 
 SQL_ASKS = "asks AS (SELECT DISTINCT source || ':' || canonical AS query_id, source AS entity_id, canonical AS about, 30 AS k FROM documents, gaz)"
 SQL_R3 = f"""r3 AS (SELECT h.query_id, h.entity_id, t.id, t.content, t.trust AS score, 'memory' AS source, 0 AS depth, true AS is_latest, t.created_at FROM (SELECT * FROM (SELECT DISTINCT a.query_id, a.entity_id, me.memory_id FROM asks a JOIN me ON me.entity_id = a.entity_id AND me.canonical_form = a.about) z
-   JOIN mem ON mem.id = z.memory_id WHERE is_latest QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id) <= 150) h JOIN tr t ON t.id = h.memory_id WHERE t.valid_until IS NULL OR t.valid_until >= timestamp '2024-02-01'
+   JOIN mem ON mem.id = z.memory_id WHERE is_latest) h JOIN tr t ON t.id = h.memory_id WHERE t.valid_until IS NULL OR t.valid_until >= timestamp '2024-02-01'
   QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY t.trust DESC, t.created_at DESC, t.id) <= 30)"""
 
 
@@ -289,7 +289,7 @@ def sql_walk(base: str, order: str) -> str:
    SELECT query_id, entity_id, id, min({{'key': key, 'path': path, 'historical': historical}}) AS f FROM c{n} c WHERE NOT EXISTS (SELECT 1 FROM ({visited}) v WHERE v.query_id = c.query_id AND v.id = c.id) GROUP BY ALL))"""
 
     return f"""links AS (SELECT entity_id, memory_id AS id, mention_id, min(created_at) AS linked_at FROM me GROUP BY ALL),
- sib AS (SELECT l.entity_id, l.mention_id, m.id AS other, m.created_at FROM links l JOIN mem m ON m.id = l.id WHERE m.is_latest QUALIFY row_number() OVER (PARTITION BY l.entity_id, l.mention_id ORDER BY m.created_at DESC, m.id) <= 1000),
+ sib AS (SELECT l.entity_id, l.mention_id, m.id AS other, m.created_at FROM links l JOIN mem m ON m.id = l.id WHERE m.is_latest),
  w0 AS (SELECT query_id, entity_id, id, [lpad(row_number() OVER (PARTITION BY query_id ORDER BY {order})::varchar, 12, '0')] AS key, 'memory:' || id AS path, false AS historical, 0 AS depth FROM {base}),
  {level(1, 'SELECT query_id, id FROM w0')}, {level(2, 'SELECT query_id, id FROM w0 UNION ALL SELECT query_id, id FROM w1')}"""
 

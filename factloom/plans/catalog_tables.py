@@ -44,15 +44,14 @@ def s1(spark, d):
     return scans.latest_memories(mem(spark, d), NOW, 20).select("entity_id", "id", "memory_type", stamp("created_at"))
 
 
-@query("s2_maintenance_scan", WITH_MEM + """SELECT entity_id, id, confidence FROM mem WHERE is_latest
-QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 1000""")
+@query("s2_maintenance_scan", WITH_MEM + """SELECT entity_id, id, confidence FROM mem WHERE is_latest""")
 def s2(spark, d):
     """Live memories including expired ones."""
     return scans.maintenance_candidates(mem(spark, d)).select("entity_id", "id", "confidence")
 
 
 @query("s3_recent_scan", WITH_MEM + f"""SELECT entity_id, id, strftime(created_at, {TS}) AS created_at FROM mem
-WHERE is_latest AND created_at >= timestamp '2024-01-25' ORDER BY created_at DESC, id LIMIT 500""")
+WHERE is_latest AND created_at >= timestamp '2024-01-25'""")
 def s3(spark, d):
     """S3: newest memories over all entities."""
     return scans.recent_memories(mem(spark, d), NOW, 7 * 1440).select("entity_id", "id", stamp("created_at"))
@@ -168,7 +167,7 @@ def _items(spark, d):
         F.when(u % 3 == 0, F.concat(F.lit("i"), (u % 500).cast("string"))).alias("id"),
         F.when(u % 3 == 1, F.concat(F.lit("p"), (u % 500).cast("string"))).alias("page_id"),
         F.when(u % 5 != 0, F.col("props")).alias("body"), F.when(u % 10 == 0, F.col("event_type")).alias("text"),
-        F.when(u % 4 == 0, F.col("event_type")).alias("etag"),
+        F.when(u % 4 == 0, F.col("event_type")).alias("etag"), u.alias("position"),
     )
 
 
@@ -184,28 +183,26 @@ def _seen(spark, d):
 SQL_SYNC = """WITH raw AS (SELECT 'acct' || (user_id % 40)::varchar AS account_id,
   CASE event_id % 3 WHEN 0 THEN 'i' || (event_id % 500)::varchar WHEN 1 THEN 'p' || (event_id % 500)::varchar END AS source_id,
   coalesce(CASE WHEN event_id % 10 = 0 THEN event_type END, CASE WHEN event_id % 5 <> 0 THEN props END, '') AS content,
-  CASE WHEN event_id % 4 = 0 THEN event_type END AS etag FROM events),
+  CASE WHEN event_id % 4 = 0 THEN event_type END AS etag, event_id AS position FROM events),
  seen AS (SELECT DISTINCT 'acct' || (c_custkey % 40)::varchar AS account_id, 'i' || (c_custkey % 500)::varchar AS source_id,
   CASE WHEN c_custkey % 2 = 0 THEN 'view' ELSE 'i' || (c_custkey % 500)::varchar END AS version FROM customer),
- v AS (SELECT account_id, source_id, coalesce(etag, source_id) AS version, count(*) AS copies, max(content) AS content FROM raw GROUP BY ALL),
- o AS (SELECT v.*, (v.source_id IS NULL OR s.version IS NOT NULL) AS old FROM v LEFT JOIN seen s
-   ON s.account_id = v.account_id AND s.source_id = v.source_id AND s.version = v.version) """
+ v AS (SELECT raw.*, coalesce(etag, source_id) AS version, last_value(CASE WHEN content <> '' THEN coalesce(etag, source_id) END IGNORE NULLS) OVER
+   (PARTITION BY account_id, source_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM raw),
+ o AS (SELECT v.*, CASE WHEN v.source_id IS NULL OR coalesce(prev, s.version) = v.version THEN 'skipped' WHEN content = '' THEN 'failed' ELSE 'ingested' END AS outcome
+   FROM v LEFT JOIN seen s ON s.account_id = v.account_id AND s.source_id = v.source_id) """
 
 
-@query("s11_source_sync", SQL_SYNC + """SELECT account_id, source_id, version, content,
- CASE WHEN old THEN 'skipped' WHEN content = '' THEN 'failed' ELSE 'ingested' END AS outcome FROM o""")
+@query("s11_source_sync", SQL_SYNC + "SELECT account_id, source_id, version, content, outcome, position FROM o")
 def s11(spark, d):
     """Incremental source sync against the seen table."""
     out = tables.sync_items(tables.normalise_items(_items(spark, d)), _seen(spark, d))
-    return out.select("account_id", "source_id", "version", "content", "outcome")
+    return out.select("account_id", "source_id", "version", "content", "outcome", "position")
 
 
-@query("a8_sync_report", SQL_SYNC + """, c AS (SELECT account_id,
-  sum(CASE WHEN NOT old AND content <> '' THEN 1 ELSE 0 END)::bigint AS ingested,
-  sum(CASE WHEN old THEN copies WHEN content = '' THEN 0 ELSE copies - 1 END)::bigint AS skipped,
-  sum(CASE WHEN NOT old AND content = '' THEN copies ELSE 0 END)::bigint AS failed FROM o GROUP BY 1),
- f AS (SELECT account_id, string_agg(source_id || ': empty content', '; ' ORDER BY source_id, version) AS errors FROM (
-   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY source_id, version) r FROM o WHERE NOT old AND content = '') WHERE r <= 5 GROUP BY 1)
+@query("a8_sync_report", SQL_SYNC + """, c AS (SELECT account_id, count(*) FILTER (WHERE outcome = 'ingested') AS ingested, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+  count(*) FILTER (WHERE outcome = 'failed') AS failed FROM o GROUP BY 1),
+ f AS (SELECT account_id, string_agg(source_id || ': empty content', '; ' ORDER BY position) AS errors FROM (
+   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY position) r FROM o WHERE outcome = 'failed') WHERE r <= 5 GROUP BY 1)
 SELECT c.*, f.errors FROM c LEFT JOIN f USING (account_id)""")
 def a8(spark, d):
     """Per-account sync report."""
@@ -213,16 +210,14 @@ def a8(spark, d):
 
 
 @query("s12_graph_nodes", WITH_MEM + """SELECT entity_id, id, coalesce(nullif(summary, ''), substr(content, 1, 60)) AS label, memory_type FROM mem
-WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01')
-QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 100""")
+WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01')""")
 def s12(spark, d):
     """Node table of the graph export."""
     return scans.graph_nodes(mem(spark, d), NOW).select("entity_id", "id", "label", "memory_type")
 
 
 @query("s12_graph_edges", WITH_MEM + f""", e AS ({SQL_EDGE}), n AS (SELECT entity_id, id FROM mem
- WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01')
- QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 100)
+ WHERE is_latest AND (valid_until IS NULL OR valid_until > timestamp '2024-02-01'))
 SELECT e.entity_id, from_id, to_id, rel_type FROM e JOIN n a ON a.id = from_id JOIN n b ON b.id = to_id""")
 def s12e(spark, d):
     """Edge table of the graph export."""
@@ -299,15 +294,36 @@ def j1(spark, d):
     return cands.join(m, ["entity_id", "chunk_id"]).select("chunk_id", "memory_type", "confidence")
 
 
-@query("j7_orphans", WITH_MEM + f""", e AS ({SQL_EMB}), r AS (SELECT * FROM mem WHERE is_latest AND created_at >= timestamp '2024-01-25' ORDER BY created_at DESC, id LIMIT 400)
-SELECT entity_id, id, CASE WHEN trim(content) = '' THEN 'failed' ELSE 'repaired' END AS outcome FROM r
-WHERE id NOT IN (SELECT chunk_id FROM e) ORDER BY created_at DESC, id LIMIT 200""")
+SQL_ORPHANS = f"""e AS ({SQL_EMB}), orp AS (SELECT entity_id, id, content, CASE WHEN trim(content) = '' THEN 'failed' ELSE 'repaired' END AS outcome FROM mem
+ WHERE is_latest AND created_at >= timestamp '2024-01-25' AND id NOT IN (SELECT chunk_id FROM e))"""
+
+
+@query("j7_orphans", WITH_MEM + f", {SQL_ORPHANS} SELECT entity_id, id, outcome FROM orp")
 def j7(spark, d):
     """Recent memories without a vector."""
     docs = seed.read(spark, d, "documents")
     return scans.orphans(seed.memories(docs), seed.embeddings(docs), NOW, 7 * 1440).select("entity_id", "id", "outcome")
 
 
+def _repaired(spark, d):
+    docs = seed.read(spark, d, "documents")
+    m, e = seed.memories(docs), seed.embeddings(docs)
+    return scans.repair_orphans(m, e, scans.orphans(m, e, NOW, 7 * 1440), NOW, lambda c: X.hash_embedding(c, seed.DIMS))
+
+
+@query("j7_repaired_memories", WITH_MEM + f", {SQL_ORPHANS} SELECT mem.id, is_latest AND coalesce(outcome, '') <> 'failed' AS is_latest, CASE WHEN outcome = 'failed' THEN 'no_content' END AS replaced_by FROM mem LEFT JOIN orp USING (entity_id, id)")
+def j7m(spark, d):
+    """Memories after the repair; blank ones are retired."""
+    return _repaired(spark, d)[0].select("id", "is_latest", "replaced_by")
+
+
+@query("j7_repaired_vectors", WITH_MEM + f", {SQL_ORPHANS} SELECT entity_id, chunk_id, document_id, {r6('list_dot_product(embedding::double[], embedding::double[])')} AS norm FROM e UNION ALL SELECT entity_id, id, NULL, {r6('list_dot_product(v, v)')} FROM (SELECT *, ({seed.sql_hash_embedding('content')})::double[] AS v FROM orp WHERE outcome = 'repaired')")
+def j7v(spark, d):
+    """The vector table after the repair."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return _repaired(spark, d)[1].select("entity_id", "chunk_id", "document_id", X.fixed(norm, 6).alias("norm"))
+
+
 def _spaces(spark, d):
     docs = seed.read(spark, d, "documents").select(F.col("source").alias("entity_id")).distinct()
     names = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(n).alias("name")) for t, n in [("default", "Default"), ("work", "Work"), ("trips", "Trips")]]))

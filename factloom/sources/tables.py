@@ -191,44 +191,42 @@ def normalise_items(raw: DataFrame, default_content_type: str = "text") -> DataF
         choose(first("content"), F.lit("")).alias("content"),
         choose(content_type, F.lit(default_content_type)).alias("content_type"),
         choose(first("etag"), none).alias("etag"),
+        (F.col("position") if "position" in has else F.lit(0)).cast("bigint").alias("position"),
     )
 
 
 def sync_items(items: DataFrame, seen: DataFrame) -> DataFrame:
-    """One row per (account, item, version) with how many deliveries came out how.
+    """Every delivery with its version and outcome, in the order of ``position``.
 
-    The version is the etag, or the id itself where the hub sends none. Known
-    versions are skipped; of repeated deliveries one is ingested; an item
-    without content is a failed fetch. Copies collapse before the shuffle.
+    The version is the etag, or the id itself where the hub sends none. A
+    delivery is skipped if its item has no identity or was last ingested in
+    that version, so v1, v2, v1 is ingested three times. An item without
+    content is a failed fetch and is not remembered.
     """
-    known = seen.select("account_id", "source_id", F.col("etag").alias("version")).distinct().withColumn("_seen", F.lit(True))
-    versions = items.withColumn("version", F.coalesce("etag", "source_id")).groupBy("account_id", "source_id", "version").agg(
-        F.count(F.lit(1)).alias("copies"), F.max("title").alias("title"), F.max("content").alias("content"), F.max("content_type").alias("content_type")
-    )
-    marked = versions.join(known, ["account_id", "source_id", "version"], "left")
-    old = F.col("source_id").isNull() | F.coalesce("_seen", F.lit(False))
-    bad = F.col("content") == ""
-    return marked.select(
-        "account_id", "source_id", "version", "title", "content", "content_type",
-        F.when(old, "skipped").when(bad, "failed").otherwise("ingested").alias("outcome"),
-        F.when(~old & ~bad, 1).otherwise(0).cast("long").alias("ingested"),
-        F.when(old, F.col("copies")).when(bad, 0).otherwise(F.col("copies") - 1).alias("skipped"),
-        F.when(~old & bad, F.col("copies")).otherwise(0).alias("failed"),
+    known = seen.groupBy("account_id", "source_id").agg(F.max("etag").alias("_seen"))
+    rows = items.withColumn("version", F.coalesce("etag", "source_id")).join(known, ["account_id", "source_id"], "left")
+    earlier = Window.partitionBy("account_id", "source_id").orderBy("position", "version", "content").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("content") != "", F.col("version")), ignorenulls=True).over(earlier)
+    old = F.col("source_id").isNull() | F.coalesce(F.coalesce("_last", "_seen") == F.col("version"), F.lit(False))
+    # Items without identity are skipped alone and need no window.
+    named = rows.filter(F.col("source_id").isNotNull()).withColumn("_last", last)
+    rows = named.unionByName(rows.filter(F.col("source_id").isNull()).withColumn("_last", F.lit(None).cast("string")))
+    return rows.select(
+        "account_id", "source_id", "version", "title", "content", "content_type", "position",
+        F.when(old, "skipped").when(F.col("content") == "", "failed").otherwise("ingested").alias("outcome"),
     )
 
 
 def updated_seen(seen: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The seen table after a sync: newly ingested versions replace old ones."""
-    fresh = outcomes.filter("outcome = 'ingested'").groupBy("account_id", "source_id").agg(F.max("version").alias("etag"))
+    """The seen table after a sync: an item's last ingested version replaces the old one."""
+    fresh = outcomes.filter("outcome = 'ingested'").groupBy("account_id", "source_id").agg(F.max_by("version", F.struct("position", "version")).alias("etag"))
     return seen.join(fresh.select("account_id", "source_id"), ["account_id", "source_id"], "left_anti").unionByName(fresh)
 
 
 def sync_report(outcomes: DataFrame) -> DataFrame:
-    """Counts per account and its first five failures."""
-    counts = outcomes.groupBy("account_id").agg(
-        *[F.sum(o).alias(o) for o in ("ingested", "skipped", "failed")]
-    )
-    order = Window.partitionBy("account_id").orderBy("source_id", "version")
+    """Counts per account and its first five failures, in order of delivery."""
+    counts = outcomes.groupBy("account_id").agg(*[F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in ("ingested", "skipped", "failed")])
+    order = Window.partitionBy("account_id").orderBy("position", "source_id")
     failures = (
         outcomes.filter("outcome = 'failed'").withColumn("_r", F.row_number().over(order)).filter("_r <= 5")
         .groupBy("account_id")
@@ -237,6 +235,29 @@ def sync_report(outcomes: DataFrame) -> DataFrame:
     return counts.join(failures, "account_id", "left")
 
 
+# Account events that set the state of a binding.
+ACTIVE_EVENTS = ["account.connected", "account.reconnected", "connection.created", "connection.updated"]
+REVOKED_EVENTS = ["account.revoked", "account.disconnected", "connection.deleted"]
+
+
+def binding_states(events: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(account_id, status) of the bindings whose state the events set, by the last one."""
+    state = F.when(F.col("event_type").isin(ACTIVE_EVENTS), "active").when(F.col("event_type").isin(REVOKED_EVENTS), "revoked")
+    known = events.join(bindings.select("account_id").distinct(), "account_id", "left_semi")
+    return known.withColumn("_state", state).filter(F.col("_state").isNotNull()).groupBy("account_id").agg(F.max_by("_state", F.struct("position", "_state")).alias("status"))
+
+
+def event_items(events: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events that lead to ingestion, and those of unknown accounts.
+
+    A revoking event ends there; every other event of a bound account, a
+    connecting one included, syncs it.
+    """
+    known = bindings.select("account_id").distinct()
+    content = events.filter(~F.coalesce(F.col("event_type").isin(REVOKED_EVENTS), F.lit(False)))
+    return content.join(known, "account_id", "left_semi"), events.join(known, "account_id", "left_anti")
+
+
 def resolve_events(events: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Account events with the entity of the account's first binding; the rest apart."""
     first = bindings.groupBy("account_id").agg(F.min_by("entity_id", F.struct("created_at", "binding_id")).alias("entity_id"))

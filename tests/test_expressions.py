@@ -122,3 +122,22 @@ def test_source_sync(spark):
     r = tables.sync_report(out).first()
     assert (r.ingested, r.skipped, r.failed, r.errors) == (1, 3, 1, "3: empty content")
     assert {tuple(x) for x in tables.updated_seen(seen, out).select("account_id", "source_id", "etag").collect()} == {("a", "1", "v1"), ("a", "2", "v2")}
+
+
+def test_versions_that_come_back_are_ingested_again(spark):
+    rows = [("a", "x", "v1", "one", 1), ("a", "x", "v2", "two", 2), ("a", "x", "v1", "one again", 3), ("a", "x", "v1", "copy", 4), ("a", "x", "v3", "", 5), ("a", "x", "v1", "still", 6), ("b", "y", "9", "old", 1), ("b", "y", "10", "new", 2)]
+    raw = spark.createDataFrame(rows, "account_id string, id string, etag string, body string, position bigint")
+    seen = spark.createDataFrame([("a", "x", "v0"), ("a", "z", "k")], "account_id string, source_id string, etag string")
+    out = tables.sync_items(tables.normalise_items(raw), seen)
+    got = {(r.account_id, r.position): (r.outcome, r.content) for r in out.collect()}
+    assert [got["a", i][0] for i in range(1, 7)] == ["ingested", "ingested", "ingested", "skipped", "failed", "skipped"]
+    assert {tuple(r) for r in tables.updated_seen(seen, out).collect()} == {("a", "x", "v1"), ("a", "z", "k"), ("b", "y", "10")}
+
+
+def test_account_events_set_bindings(spark):
+    events = spark.createDataFrame([("a", "account.connected", 1), ("a", "connection.deleted", 2), ("b", "account.revoked", 1), ("b", "connection.updated", 3), ("b", "error", 4), ("c", "account.connected", 1)], "account_id string, event_type string, position bigint")
+    bindings = spark.createDataFrame([("a",), ("b",)], "account_id string")
+    assert {tuple(r) for r in tables.binding_states(events, bindings).collect()} == {("a", "revoked"), ("b", "active")}
+    known, unknown = tables.event_items(events, bindings)
+    assert {(r.account_id, r.position) for r in known.collect()} == {("a", 1), ("b", 3), ("b", 4)}
+    assert {(r.account_id, r.position) for r in unknown.collect()} == {("c", 1)}

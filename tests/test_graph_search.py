@@ -1,6 +1,7 @@
 """Walks, merges, communities, consolidation and vectors against brute force."""
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -127,55 +128,80 @@ def test_vector_top_k_over_many_blocks(spark):
             assert sorted(got[q]) == sorted(want)[:6]
 
 
-def sweep(ids, near):
+def sweep(ids, near, groups):
+    """Two half steps per sweep, by hash of id; own label, neighbours and mentions vote."""
+    half = {i: hashlib.md5(i.encode()).hexdigest()[0] < "8" for i in ids}
+    best = lambda said: min(set(said), key=lambda x: (-said.count(x), x))
     labels = {i: i for i in ids}
-    for _ in range(20):
-        moved = False
-        for i in ids:
-            said = [labels[j] for j in near[i]]
-            if not said:
-                continue
-            top = max(said.count(x) for x in said)
-            best = {x for x in said if said.count(x) == top}
-            new = best.pop() if len(best) == 1 else labels[min((j for j in near[i] if labels[j] in best), key=lambda j: (-len(near[j]), j))]
-            moved |= new != labels[i]
-            labels[i] = new
-        if not moved:
+    for _ in range(60):
+        before = dict(labels)
+        for turn in (True, False):
+            spoken = {t: best([labels[i] for i in g]) for t, g in groups.items()}
+            new = {i: best([labels[i], *[labels[j] for j in near[i]], *[spoken[t] for t, g in groups.items() if i in g]]) for i in ids if half[i] == turn}
+            labels.update(new)
+        if labels == before:
             break
     return labels
 
 
-def test_communities_equal_sequential_sweeps(spark):
+def shape(name, n, pairs, groups=()):
+    """Edges and memberships of a small graph, ids numbered within it."""
+    ident = lambda i: f"{name}{i:02d}"
+    return (
+        [(name, ident(i)) for i in range(n)], [(name, ident(a), ident(b), "EXTENDS", DAY) for a, b in pairs],
+        [(name, ident(i), f"{name}-t{k}", DAY) for k, g in enumerate(groups) for i in g],
+    )
+
+
+def frames(spark, nodes, edges, me):
+    return communities.links(
+        spark.createDataFrame(nodes, "entity_id string, id string"),
+        spark.createDataFrame(edges, "entity_id string, from_id string, to_id string, rel_type string, created_at timestamp"),
+        spark.createDataFrame(me, "entity_id string, memory_id string, mention_id string, created_at timestamp"),
+    )
+
+
+def test_communities_equal_half_step_replay(spark):
     mem, edges, me = random_graph(4, 12, 16)
     nodes = [(m[0], m[1]) for m in mem if m[2]]
-    shapes = {"chain": [(0, 1), (1, 2), (2, 3)], "star": [(0, i) for i in range(1, 5)], "cycle": [(0, 1), (1, 2), (2, 3), (0, 3)], "alone": [],
-              "cliques": [(a, b) for o in (0, 5) for a in range(o, o + 5) for b in range(a + 1, o + 5)] + [(0, 10), (5, 10)]}
-    for name, pairs in shapes.items():
-        n = {"alone": 1, "cliques": 11, "star": 5}.get(name, 4)
-        nodes += [(name, f"{name}{i:02d}") for i in range(n)]
-        edges += [(name, f"{name}{a:02d}", f"{name}{b:02d}", "EXTENDS", DAY) for a, b in pairs]
-    N = spark.createDataFrame(nodes, "entity_id string, id string")
-    E = spark.createDataFrame(edges, "entity_id string, from_id string, to_id string, rel_type string, created_at timestamp")
-    T = spark.createDataFrame(me, "entity_id string, memory_id string, mention_id string, created_at timestamp")
-    got = {r.id: (r.community, r.degree, r.inner, r.reached) for r in communities.relabel(communities.analyse(communities.links(N, E, T))).collect()}
+    cliques = [(a, b) for o in (0, 5) for a in range(o, o + 5) for b in range(a + 1, o + 5)]
+    shapes = [
+        shape("pair", 2, [(0, 1)]), shape("chain", 4, [(0, 1), (1, 2), (2, 3)]), shape("star", 5, [(0, i) for i in range(1, 5)]), shape("cycle", 4, [(0, 1), (1, 2), (2, 3), (0, 3)]),
+        shape("alone", 1, []), shape("cliques", 11, [*cliques, (0, 10), (5, 10)]), shape("mention", 6, [], [range(6)]),
+    ]
+    for n, e, m in shapes:
+        nodes, edges, me = nodes + n, edges + e, me + m
+    linked = frames(spark, nodes, edges, me)
+    got = {r.id: (r.community, r.degree, r.inner, r.reached) for r in communities.relabel(communities.analyse(linked)).collect()}
+    assert communities.propagate(linked)[1]
     for e in {n[0] for n in nodes}:
         ids = sorted(i for x, i in nodes if x == e)
         near = {i: set() for i in ids}
+        groups = {}
+        for _, a, t, _ in me:
+            if a in near:
+                groups.setdefault(t, set()).add(a)
         for _, a, b, _, _ in edges:
-            if a in near and b in near:
+            if a in near and b in near and a != b:
                 near[a].add(b), near[b].add(a)
-        for _, a, t, _ in me:
-            for _, b, u, _ in me:
-                if t == u and a != b and a in near and b in near:
-                    near[a].add(b)
-        labels = sweep(ids, near)
-        names, want = {}, {}
-        for i in ids:
-            want[i] = names.setdefault(labels[i], f"c{len(names)}")
+        labels = sweep(ids, near, groups)
+        for g in groups.values():
+            for a in g:
+                near[a] = near[a] | g - {a}
+        order = sorted({labels[i] for i in ids}, key=lambda x: min(i for i in ids if labels[i] == x))
+        want = {i: f"c{order.index(labels[i])}" for i in ids}
         for i in ids:
             assert got[i] == (want[i], len(near[i]), sum(want[j] == want[i] for j in near[i]), len({want[j] for j in near[i]})), (e, i)
     count = lambda e: len({v[0] for k, v in got.items() if k.startswith(e)})
-    assert [count(s) for s in ("chain", "star", "cycle", "alone", "cliques")] == [1, 1, 1, 1, 2]
+    assert [count(s) for s in ("pair", "chain", "star", "cycle", "alone", "cliques", "mention")] == [1, 1, 1, 1, 1, 2, 1]
+
+
+def test_communities_have_no_bound_per_entity(spark):
+    """One entity above every earlier cap: 1,500 memories in a ring of cliques of five."""
+    n = 1500
+    pairs = [(a, b) for o in range(0, n, 5) for a in range(o, o + 5) for b in range(a + 1, o + 5)]
+    found = communities.relabel(communities.analyse(frames(spark, *shape("big", n, pairs)))).collect()
+    assert len(found) == n and len({r.community for r in found}) == n // 5 and {r.degree for r in found} == {4}
 
 
 def test_edge_rewrite_equals_one_by_one(spark):
@@ -226,3 +252,10 @@ def test_mentions_by_case_and_bounds(spark):
     node = {r.canonical_form: r for r in mentions.mention_nodes(edges).collect()}
     assert node["Google"].mention_count == 2 and sorted(node["Google"].aliases) == ["google", "谷歌"]
     assert node["Rust"].type == "technology"
+
+
+def test_lineage_on_a_cycle_ends(spark):
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("t", "u"), ("u", "v")]  # newer, older
+    edges = spark.createDataFrame([("e", x, y, "UPDATES", DAY) for x, y in pairs], "entity_id string, from_id string, to_id string, rel_type string, created_at timestamp")
+    got = {r.id: (r.newest, r.steps) for r in graph.update_lineage(edges).collect()}
+    assert got == {"a": (None, None), "b": (None, None), "c": (None, None), "t": ("t", 0), "u": ("t", 1), "v": ("t", 2)}

@@ -82,3 +82,15 @@ def test_maintenance_forgets_a_stale_clique_and_keeps_the_rest(spark):
     again, second = lifecycle.maintain(after, "2024-06-01 00:00:00")
     assert {r.id: (r.is_latest, r.replaced_by) for r in again.memories.collect()} == state
     assert profile.profile_facts(after.memories, edges, "2024-06-01 00:00:00").filter("kind = 'static'").count() == 3
+
+
+def test_a_folder_of_parts_streams_like_one_file(spark, tmp_path):
+    from factloom.plans import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("m3_source_events", "m3_binding_states"):
+        rows = [sorted(map(tuple, catalog.queries()[name](spark, d).collect()), key=str) for d in ("/root/testdata/sf0.001", str(tmp_path))]
+        assert rows[0] == rows[1] and rows[0]
+    once = catalog.queries()["m1_idempotent_add"](spark, str(tmp_path))
+    assert set(map(tuple, once.collect())) == set(map(tuple, events.select("user_id", "event_type").distinct().collect()))
