@@ -6,6 +6,9 @@ functions; ``chunk_table`` unnests it. Texts are read whole.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +89,7 @@ def chunk_stats(chunks: DataFrame, source: str) -> DataFrame:
         F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"),
         F.max("token_count").alias("largest"), F.approx_percentile("token_count", 0.5, 10000).alias("median"),
     )
-    copies = chunks.groupBy(source, F.xxhash64("text").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    copies = chunks.groupBy(source, F.sha2("text", 256).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     return per.join(copies.groupBy(source).agg(F.sum(F.col("_n") - 1).alias("repeated")), source)
 
 
@@ -158,16 +161,16 @@ def clean_code(text: Column) -> Column:
     return F.regexp_replace(strip(F.replace(text, F.lit("\r\n"), F.lit("\n"))), r"\n{3,}", "\n\n")
 
 
+# What the first line of a code block starts with, in order of test.
+LANGUAGE_STARTS = [
+    ("python", ["def ", "class "]), ("javascript", ["function ", "const "]), ("go", ["package ", "import ("]), ("rust", ["fn ", "use "]),
+]
+
+
 def code_language(text: Column) -> Column:
     line = F.substring_index(strip(text), "\n", 1)
-    return (
-        F.when(line.startswith("def ") | line.startswith("class "), "python")
-        .when(line.startswith("function ") | line.startswith("const "), "javascript")
-        .when(line.startswith("package ") | line.startswith("import ("), "go")
-        .when(line.startswith("fn ") | line.startswith("use "), "rust")
-        .when(line.startswith("import ") & line.contains("from "), "python")
-        .otherwise("unknown")
-    )
+    starts = [(name, reduce(or_, [line.startswith(p) for p in prefixes])) for name, prefixes in LANGUAGE_STARTS]
+    return F.coalesce(*[F.when(hit, name) for name, hit in starts], F.when(line.startswith("import ") & line.contains("from "), "python"), F.lit("unknown"))
 
 
 def code_blocks(text: Column) -> Column:
@@ -302,22 +305,28 @@ def redact_columns(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+# Patterns of page parts; the removed ones are replaced by a space in this order.
+PAGE_REMOVED = [r"(?i)<script[^>]*>[\s\S]*?</script>", r"(?i)<style[^>]*>[\s\S]*?</style>", r"<[^>]+>", r"(?U)\s+"]
+PAGE_META = r"""(?i)<meta[^>]+{attribute}=["']{name}["'][^>]+content=["']([^"']+)["']"""
+PAGE_TITLE = r"(?is)<title[^>]*>([^<]+)</title>"
+PAGE_ICON = r"""(?i)<link[^>]+rel=["'](?:shortcut )?icon["'][^>]+href=["']([^"']+)["']"""
+
+
 def page_text(html: Column) -> Column:
-    for pattern in (r"(?i)<script[^>]*>[\s\S]*?</script>", r"(?i)<style[^>]*>[\s\S]*?</style>", r"<[^>]+>", r"(?U)\s+"):
+    for pattern in PAGE_REMOVED:
         html = F.regexp_replace(html, pattern, " ")
     return F.trim(html)
 
 
 def _meta(html: Column, attribute: str, name: str) -> Column:
-    pattern = rf"""(?i)<meta[^>]+{attribute}=["']{name}["'][^>]+content=["']([^"']+)["']"""
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, PAGE_META.format(attribute=attribute, name=name), 1), F.lit(""))
 
 
 def page_metadata(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Clean text, title, description, image, site and icon of stored pages."""
     h, u = F.col(html), F.col(url)
-    title = F.nullif(F.regexp_extract(h, r"(?is)<title[^>]*>([^<]+)</title>", 1), F.lit(""))
-    icon = strip(F.regexp_extract(h, r"""(?i)<link[^>]+rel=["'](?:shortcut )?icon["'][^>]+href=["']([^"']+)["']""", 1))
+    title = F.nullif(F.regexp_extract(h, PAGE_TITLE, 1), F.lit(""))
+    icon = strip(F.regexp_extract(h, PAGE_ICON, 1))
     root = F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     text = lambda *options: strip(F.coalesce(*options, F.lit("")))
     return df.select(

@@ -64,19 +64,23 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: floa
     ``queries`` has (query_id, entity_id, embedding), ``vectors`` (entity_id,
     chunk_id, embedding). Scores are cosines, 0 where a norm is 0, rounded to
     nine digits so that ranking does not depend on the block layout; equal
-    scores go by id. An entity with many blocks is split by salts and its
-    queries are sent to each, so it spreads over the cluster; every block pair
+    scores go by id. An entity with many blocks is split by salts on both
+    sides, so a task meets a bounded number of block pairs; every block pair
     passes on at most k hits per query.
     """
-    q = _blocks(queries.select("entity_id", F.col("query_id").alias("vid"), F.col("embedding").alias("vec")), block, "q")
+    def salts(df: DataFrame, name: str) -> DataFrame:
+        """One row per (entity, salt) that exists."""
+        count = df.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+        return count.select("entity_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_blocks") - 1) / BLOCKS_PER_SALT))).alias(name))
+
+    q = _blocks(queries.select("entity_id", F.col("query_id").alias("vid"), F.col("embedding").alias("vec")), block, "q").withColumn("q_salt", F.floor(F.col("q_block") / BLOCKS_PER_SALT))
     wanted = queries.select("entity_id").distinct()
     v = _blocks(
         vectors.select("entity_id", F.col("chunk_id").alias("vid"), F.col("embedding").alias("vec")).join(wanted, "entity_id", "left_semi"), block, "v"
     ).withColumn("salt", F.floor(F.col("v_block") / BLOCKS_PER_SALT))
-    # One row per (entity, salt) that exists; queries go to each of them.
-    salts = vectors.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks")).select(
-        "entity_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_blocks") - 1) / BLOCKS_PER_SALT))).alias("salt")
+    met = (
+        q.join(salts(vectors, "salt"), "entity_id").join(v.join(salts(queries, "q_salt"), "entity_id"), ["entity_id", "salt", "q_salt"])
+        .select("entity_id", "q_ids", "q_vecs", "v_ids", "v_vecs")
     )
-    met = q.join(salts, "entity_id").join(v, ["entity_id", "salt"]).select("entity_id", "q_ids", "q_vecs", "v_ids", "v_vecs")
     hits = met.mapInPandas(_compare(k, min_score), "query_id string, entity_id string, chunk_id string, score double")
     return top_per(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -60,7 +60,7 @@ def t1m(spark, d):
 def t1s(spark, d):
     """Chunk statistics per source."""
     chunks = corpus.chunk_table(_docs(spark, d), corpus.text_chunks(F.col("text")), ["source", "doc_id"])
-    return corpus.chunk_stats(chunks, "source").drop("median")
+    return corpus.chunk_stats(chunks, "source").drop("median")  # an approximate percentile has no exact twin
 
 
 @query("t6_paragraph_chunks", f"WITH p AS (SELECT doc_id, {PARA.format('text')} AS ps FROM (SELECT doc_id, replace(text, E'\\n', E'\\n\\n') AS text FROM documents)), c AS (SELECT doc_id, {sql_pack('ps', 'length(a.buf) + length(x.buf) <= 2048', "a.buf || E'\\n\\n' || x.buf")} AS chunks FROM p) SELECT doc_id, unnest(range(len(chunks)))::int AS index, unnest(chunks) AS text FROM c")
@@ -202,10 +202,12 @@ def _sql_page(html: str = "html") -> str:
 
 @query("t9_page_text", f"""SELECT page_id, {_sql_page()} AS text, trim(coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+property=["'']og:title["''][^>]+content=["'']([^"'']+)["'']', 1), ''), regexp_extract(html, '(?is)<title[^>]*>([^<]+)</title>', 1))) AS title,
  trim(coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+property=["'']og:description["''][^>]+content=["'']([^"'']+)["'']', 1), ''), regexp_extract(html, '(?i)<meta[^>]+name=["'']description["''][^>]+content=["'']([^"'']+)["'']', 1))) AS description,
- regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages""")
+ trim(regexp_extract(html, '(?i)<meta[^>]+property=["'']og:image["''][^>]+content=["'']([^"'']+)["'']', 1)) AS image, trim(regexp_extract(html, '(?i)<meta[^>]+property=["'']og:site_name["''][^>]+content=["'']([^"'']+)["'']', 1)) AS site_name,
+ CASE WHEN icon LIKE '//%' THEN 'https:' || icon WHEN icon LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || icon ELSE icon END AS favicon,
+ regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host FROM (SELECT *, trim(regexp_extract(html, '(?i)<link[^>]+rel=["''](?:shortcut )?icon["''][^>]+href=["'']([^"'']+)["'']', 1)) AS icon FROM pages)""")
 def t9(spark, d):
     """Text and metadata of stored pages."""
-    return corpus.page_metadata(seed.read(spark, d, "pages")).select("page_id", "text", "title", "description", "host")
+    return corpus.page_metadata(seed.read(spark, d, "pages")).select("page_id", "text", "title", "description", "image", "site_name", "favicon", "host")
 
 
 @query("t9_host_counts", f"SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host, count(*) AS pages, sum(length({_sql_page()}))::bigint AS chars FROM pages GROUP BY 1")

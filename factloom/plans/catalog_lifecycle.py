@@ -121,6 +121,30 @@ def q5d(spark, d):
     return profile.delete_spaces(gone.withColumn("name", F.lit("Work")), t.memories, gone)[1].select("id", "container_tag")
 
 
+def _three_spaces(t):
+    tags = F.explode(F.array(*[F.struct(F.lit(a).alias("tag"), F.lit(b).alias("name")) for a, b in (("default", "Default"), ("work", "Work"), ("trips", "Trips"))]))
+    return t.docs.select(F.col("source").alias("entity_id")).distinct().select("entity_id", tags.alias("s")).select("entity_id", "s.tag", "s.name")
+
+
+SQL_SPACES = "sp AS (SELECT DISTINCT source AS entity_id, tag, name FROM documents, (VALUES ('default', 'Default'), ('work', 'Work'), ('trips', 'Trips')) s(tag, name))"
+
+
+@query("q5_space_rename", f"WITH {SQL_SPACES} SELECT entity_id, tag, CASE WHEN tag = 'work' AND right(entity_id, 1) <> '3' THEN 'Office' ELSE name END AS name FROM sp")
+def q5r(spark, d):
+    """Q5: new names for one space of most entities; tags stay."""
+    spaces = _three_spaces(Tables(spark, d))
+    names = spaces.filter("tag = 'work' AND right(entity_id, 1) <> '3'").select("entity_id", "tag", F.lit("Office").alias("name"))
+    return profile.rename_spaces(spaces, names).select("entity_id", "tag", "name")
+
+
+@query("q5_spaces_left", WITH_MEM + f", {SQL_SPACES} SELECT entity_id, tag, name FROM sp WHERE tag <> 'work' OR NOT EXISTS (SELECT 1 FROM mem WHERE mem.entity_id = sp.entity_id AND container_tag = 'work')")
+def q5l(spark, d):
+    """Q5: spaces that remain after a deletion."""
+    t = Tables(spark, d)
+    gone = t.memories.filter("container_tag = 'work'").select("entity_id", F.col("container_tag").alias("tag")).distinct()
+    return profile.delete_spaces(_three_spaces(t), t.memories, gone)[0].select("entity_id", "tag", "name")
+
+
 @query("r9_context_block", SQL_BASE + f""", {SQL_R1}, {sql_profile()},
  h AS (SELECT entity_id, string_agg('- ' || content, E'\\n' ORDER BY rank) AS x FROM (SELECT *, sum(length(content) + 2) OVER (PARTITION BY entity_id ORDER BY rank) AS run FROM facts WHERE kind = 'static') WHERE run <= 1500 GROUP BY 1),
  r AS (SELECT query_id, string_agg('* ' || content, E'\\n' ORDER BY score DESC, id) AS x FROM r1 GROUP BY 1)
@@ -182,6 +206,13 @@ def f10(spark, d):
     return lifecycle.archive_fast_lane(Tables(spark, d).fast_lane, NOW).select("id", "stage", stamp("archived_at"))
 
 
+@query("f10_archive_indexed", f"WITH fl AS ({SQL_FAST}), x AS (SELECT *, stage = 'fast_lane' AND (created_at <= timestamp '2024-01-31' OR sha256(id) < '8') AS gone FROM fl) SELECT id, CASE WHEN gone THEN 'archived' ELSE stage END AS stage, CASE WHEN gone THEN '2024-02-01 00:00:00' END AS archived_at FROM x")
+def f10i(spark, d):
+    """fast-lane rows archived by age or because their text is indexed."""
+    rows = Tables(spark, d).fast_lane
+    return lifecycle.archive_fast_lane(rows, NOW, indexed=rows.filter(F.sha2("id", 256) < "8").select("id")).select("id", "stage", stamp("archived_at"))
+
+
 # ---------------------------------------------------------------- communities
 
 SQL_ADJ = f"""nodes AS (SELECT * FROM mem WHERE is_latest),

@@ -127,15 +127,32 @@ def g7(spark, d):
     return pending.select("entity_id", "new_id", "old_id", X.fixed(F.col("impact"), 6).alias("impact"))
 
 
-@query("g8_conflict_resolution", sql_replay(CONFIRM) + """, c AS (SELECT entity_id, n_id, o_id, ('0x' || substr(sha256(entity_id || chr(31) || n_id || chr(31) || o_id), 1, 4))::int % 4 AS a FROM cand WHERE aside)
-SELECT entity_id, CASE a WHEN 0 THEN n_id ELSE o_id END AS id, CASE a WHEN 0 THEN o_id ELSE n_id END AS replaced_by, false AS is_latest FROM c WHERE a < 2""")
-def g8(spark, d):
-    """Memory changes that follow from deciding pending conflicts."""
+SQL_DECIDED = """, c AS (SELECT entity_id, n_id, o_id, sha256(entity_id || chr(31) || n_id || chr(31) || o_id) AS conflict_id, ('0x' || substr(sha256(entity_id || chr(31) || n_id || chr(31) || o_id), 1, 4))::int % 4 AS a FROM cand WHERE aside) """
+
+
+def _resolved(spark, d):
     pending = relate.infer(_statements(spark, d), confirm_high_impact=True).pending
     code = F.conv(F.substring("conflict_id", 1, 4), 16, 10).cast("int") % 4
     action = F.when(code == 0, "keep_old").when(code == 1, "keep_new").when(code == 2, "keep_both").otherwise("manual")
-    decisions = pending.select("conflict_id", action.alias("action"))
-    return relate.resolve_conflicts(pending, decisions)[1].select("entity_id", "id", "replaced_by", "is_latest")
+    return relate.resolve_conflicts(pending, pending.select("conflict_id", action.alias("action")))
+
+
+@query("g8_conflict_resolution", sql_replay(CONFIRM) + SQL_DECIDED + "SELECT entity_id, CASE a WHEN 0 THEN n_id ELSE o_id END AS id, CASE a WHEN 0 THEN o_id ELSE n_id END AS replaced_by, false AS is_latest FROM c WHERE a < 2")
+def g8(spark, d):
+    """Memory changes that follow from deciding pending conflicts."""
+    return _resolved(spark, d)[1].select("entity_id", "id", "replaced_by", "is_latest")
+
+
+@query("g8_conflict_status", sql_replay(CONFIRM) + SQL_DECIDED + "SELECT conflict_id, ['resolved_keep_old', 'resolved_keep_new', 'resolved_keep_both', 'manual'][a + 1] AS status FROM c")
+def g8s(spark, d):
+    """Status of each decided conflict."""
+    return _resolved(spark, d)[0]
+
+
+@query("g8_conflict_edges", sql_replay(CONFIRM) + SQL_DECIDED + "SELECT entity_id, n_id AS from_id, o_id AS to_id, 'UPDATES' AS rel_type FROM c WHERE a = 1")
+def g8e(spark, d):
+    """UPDATES edges of the conflicts the new memory wins."""
+    return _resolved(spark, d)[2]
 
 
 def sql_leaders(source: str, window: int, match: str, typed: str = "true") -> str:

@@ -378,9 +378,26 @@ def g14u(spark, d):
     return out.select("entity_id", "from_id", "to_id", "rel_type", F.col("props")["conflict_id"].alias("conflict_id"), F.col("props")["status"].alias("status"))
 
 
-@query("g15_invariants", SQL_BASE + """ SELECT 'update_target_live' AS kind, count(*) AS violations FROM ed JOIN mem ON mem.id = to_id WHERE rel_type = 'UPDATES' AND is_latest
- UNION ALL SELECT 'replaced_by_differs', 0 UNION ALL SELECT 'self_loop', 0 UNION ALL SELECT 'crosses_entity', 0 UNION ALL SELECT 'mention_count_wrong', 0""")
+SQL_TAMPERED = """up AS (SELECT entity_id, to_id AS id, min(from_id) AS by FROM ed WHERE rel_type = 'UPDATES' GROUP BY ALL),
+ mem2 AS (SELECT m.entity_id, m.id, m.doc_id, CASE WHEN up.id IS NOT NULL AND doc_id % 2 = 0 THEN false ELSE is_latest END AS is_latest, CASE WHEN doc_id % 3 = 0 THEN 'nobody' ELSE up.by END AS replaced_by FROM mem m LEFT JOIN up USING (entity_id, id)),
+ ed2 AS (SELECT entity_id, from_id, to_id, rel_type FROM ed UNION ALL SELECT entity_id, id, id, 'EXTENDS' FROM mem WHERE doc_id % 97 = 0 UNION ALL SELECT 'elsewhere', from_id, to_id, rel_type FROM ed WHERE right(from_id, 1) = '7'),
+ nd2 AS (SELECT entity_id, mention_id, count(*) + CASE WHEN right(mention_id, 1) = 'a' THEN 1 ELSE 0 END AS n, count(*) AS real FROM me GROUP BY entity_id, mention_id)"""
+
+
+@query("g15_invariants", SQL_BASE + f", {SQL_FOUND}, {SQL_TAMPERED}" + """ SELECT 'update_target_live' AS kind, count(*) AS violations FROM ed2 e JOIN mem2 m ON m.id = e.to_id AND m.entity_id = e.entity_id WHERE rel_type = 'UPDATES' AND is_latest
+ UNION ALL SELECT 'replaced_by_differs', count(*) FROM ed2 e JOIN mem2 m ON m.id = e.to_id AND m.entity_id = e.entity_id WHERE rel_type = 'UPDATES' AND NOT is_latest AND replaced_by IS NOT NULL AND replaced_by <> from_id
+ UNION ALL SELECT 'self_loop', count(*) FROM ed2 WHERE from_id = to_id UNION ALL SELECT 'crosses_entity', count(*) FROM ed2 e JOIN mem2 m ON m.id = e.to_id WHERE m.entity_id <> e.entity_id
+ UNION ALL SELECT 'mention_count_wrong', count(*) FROM nd2 WHERE n <> real""")
 def g15(spark, d):
-    """Table invariants, one row per kind of violation."""
+    """Violations of each kind in tables that were tampered with."""
     t = Tables(spark, d)
-    return graph.invariant_report(t.memories, t.edges, t.mention_edges, mentions.mention_nodes(t.mention_edges))
+    n = F.substring("id", 2, 12).cast("bigint")
+    by = t.edges.filter("rel_type = 'UPDATES'").groupBy("entity_id", F.col("to_id").alias("id")).agg(F.min("from_id").alias("_by"))
+    memories = t.memories.join(by, ["entity_id", "id"], "left").withColumns({
+        "is_latest": F.when(F.col("_by").isNotNull() & (n % 2 == 0), F.lit(False)).otherwise(F.col("is_latest")), "replaced_by": F.when(n % 3 == 0, "nobody").otherwise(F.col("_by")),
+    })
+    edges = t.edges.select("entity_id", "from_id", "to_id", "rel_type")
+    loops = t.memories.filter(n % 97 == 0).select("entity_id", F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("EXTENDS").alias("rel_type"))
+    foreign = edges.filter("right(from_id, 1) = '7'").withColumn("entity_id", F.lit("elsewhere"))
+    nodes = mentions.mention_nodes(t.mention_edges).withColumn("mention_count", F.col("mention_count") + F.when(F.col("mention_id").endswith("a"), 1).otherwise(0))
+    return graph.invariant_report(memories, edges.unionByName(loops).unionByName(foreign), t.mention_edges, nodes)

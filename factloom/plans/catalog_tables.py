@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.functions.filters import compile_filter, effective_filter
 from factloom.operators import scans
 from factloom.plans.registry import query
+from factloom.session import shared_dir
 from factloom.sources import seed, tables
 from factloom.sources.seed import NOW, SQL_EDGE, SQL_EMB, SQL_MEM
 
@@ -102,6 +105,38 @@ def s7(spark, d):
     return named.withColumn("mime", tables.mime_type(F.col("filename"))).withColumn("content_type", tables.pipeline_type(F.col("mime")))
 
 
+def _files(spark, rows, kind: str):
+    """Rows written as files of a kind, one row of text per file where it is text."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    if kind == "csv":
+        rows.write.option("header", True).csv(path)
+    else:
+        rows.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("s7_json_files", "SELECT doc_id, lang, n_chars FROM documents")
+def s7j(spark, d):
+    """JSON files that hold an array of rows each."""
+    rows = seed.read(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 100)).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang", "n_chars"))).alias("value"))
+    return tables.load(spark, _files(spark, rows.select("value"), "json"), "json", "doc_id bigint, lang string, n_chars bigint")
+
+
+@query("s7_csv_files", "SELECT doc_id, lang, source FROM documents")
+def s7c(spark, d):
+    """CSV files with a header."""
+    rows = seed.read(spark, d, "documents").select("doc_id", "lang", "source")
+    return tables.load(spark, _files(spark, rows, "csv"), "csv", "doc_id bigint, lang string, source string")
+
+
+@query("s7_text_files", "SELECT md5(string_agg(text, E'\\n' ORDER BY doc_id) || E'\\n') AS digest, sum(length(text) + 1)::bigint AS chars FROM documents GROUP BY doc_id // 50")
+def s7t(spark, d):
+    """Text files, one row per file."""
+    item = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    rows = seed.read(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 50)).agg(F.array_join(F.transform(item, lambda x: x["text"]), "\n").alias("value"))
+    return tables.load(spark, _files(spark, rows.select("value"), "text"), "text").select(F.md5("value").alias("digest"), F.length("value").cast("bigint").alias("chars"))
+
+
 @query("s8_chunk_replace", f"""WITH e AS ({SQL_EMB}), n AS (SELECT source AS entity_id, 'd' || doc_id::varchar AS document_id, text,
  unnest([0, 1]) AS position FROM documents WHERE doc_id % 3 = 0)
 SELECT entity_id, chunk_id, document_id, length(text)::bigint AS chars FROM e WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM n)

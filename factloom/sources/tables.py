@@ -39,7 +39,7 @@ def load(spark: SparkSession, path: str, content_type: str, schema: str | None =
     if content_type == "csv":
         return reader.option("header", True).csv(path)
     if content_type in ("text", "markdown", "code"):
-        return spark.read.option("wholetext", True).text(path)
+        return spark.read.text(path, wholetext=True)
     raise ValueError(f"unsupported content type {content_type}")
 
 
