@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import prepare
+from factloom.session import cut, prepare
 
 #: Arrow batches are bounded by bytes as well as rows, so long texts come alone.
 BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
@@ -26,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, and the shuffle files behind it may go.
+
+    Executors drop a shuffle once the driver has collected its last reference;
+    between large steps that is worth asking for, else all steps' files add up.
+    """
+    out = cut(df)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` on every Arrow batch; columns passed on keep their exact values."""
 

@@ -1,7 +1,7 @@
 """Removal of byte strings that occurred before, by suffix sorting.
 
 Every window of 100 bytes has an anchor: the leftmost smallest hash of the
-12-byte strings in it. Equal windows have equal anchors, so
+24-byte strings in it. Equal windows have equal anchors, so
 
 1. anchors that occur once are dropped: their windows repeat nothing;
 2. windows with the same anchor place form a unit. Units with equal text
@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_batches
+from factloom.llm.common import map_batches, settled
 from factloom.llm.suffix_array import SuffixArray
 from factloom.operators.ordering import running_count
-from factloom.session import cut
 
 LENGTH = 100
-GRAM = 12
+#: Shorter anchors are fewer, longer ones repeat less often by chance.
+GRAM = 24
 #: Low bits that carry the place within a piece of a text while minima are taken.
 PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 2 * LENGTH
@@ -229,14 +229,14 @@ def sorted_repeats(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """(doc, first, windows): runs of windows that occurred before."""
-    candidates = cut(unit_rows(rows, length).join(repeated_anchors(rows, length), "ah"))
+    candidates = settled(unit_rows(rows, length).join(repeated_anchors(rows, length), "ah"))
     place = F.struct("doc", "place")
-    texts = cut(candidates.groupBy("ah", "uh").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
+    texts = settled(candidates.groupBy("ah", "uh").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
     kinds = texts.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"))
     copies = candidates.join(texts.filter("times > 1"), ["ah", "uh"]).filter(F.col("at") != place).select("doc", "place")
     whole = copies.select("doc", F.shiftright("place", PLACE_BITS).alias("first"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("windows"))
     firsts = texts.join(kinds.filter("kinds > 1"), "ah").select(F.col("at.doc").alias("doc"), "ah", F.col("at.place").alias("place"))
-    sorted_ = cut(sorted_repeats(cut(unit_texts(rows, firsts, length)), length, block))
+    sorted_ = settled(sorted_repeats(settled(unit_texts(rows, firsts, length)), length, block))
     within = sorted_.filter("h1 IS NULL").select("doc", "first", "windows")
     open_ = sorted_.filter("h1 IS NOT NULL")
     start = F.struct("doc", "first")
