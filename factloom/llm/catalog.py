@@ -36,7 +36,21 @@ def op1(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-@query("op2_suffix_dedup")
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS k FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 99)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 99 AS e FROM numbered GROUP BY doc_id, r),
+parts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - 1 - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - s + 1) AS gone, count(*) AS spans FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_suffix_dedup", OP2_SQL)
 def op2(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -82,7 +96,37 @@ def op6(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op7_secret_scan")
+def _sql_matches(kind: str, rank: int, pattern: str, where: str = "true") -> str:
+    """Matches with their places: text pieces between them give the offsets."""
+    quoted = pattern.replace("'", "''")
+    plain = quoted.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+")
+    return f"""{kind} AS (SELECT * FROM (SELECT doc_id, {rank} AS rank, list_sum(list_transform(parts[1:j], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(found[1:j - 1], lambda x: length(x))), 0)::BIGINT AS s, found[j] AS m
+ FROM (SELECT doc_id, regexp_extract_all(t, '{plain}') AS found, string_split_regex(t, '{plain}') AS parts, unnest(generate_series(1, len(regexp_extract_all(t, '{plain}')))) AS j FROM d)) WHERE {where})"""
+
+
+def op7_sql() -> str:
+    scan = secret_scan
+    value = scan.ASSIGN.replace("'", "''")
+    out = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)", _sql_matches("assign", 0, scan.ASSIGN, f"length(regexp_extract(m, '{value}', 1)) >= 12"), _sql_matches("access", 1, scan.ACCESS), _sql_matches("hex", 2, scan.HEX)]
+    out.append("base AS (SELECT doc_id, rank, s, s + length(m) AS e FROM (FROM assign UNION ALL FROM access UNION ALL FROM hex))")
+    for k, (kind, (pattern, _, bound)) in enumerate(scan.CLASSES.items()):
+        allow = scan.ALLOW.replace("'", "''")
+        out.append(_sql_matches(kind, 3 + k, pattern, f"NOT regexp_matches(m, '{allow}')"))
+        out.append(f"""{kind}_hot AS (SELECT doc_id, rank, s, i FROM (SELECT *, unnest(range(length(m) - {scan.WINDOW - 1})) AS i FROM {kind})
+ WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(m, i::INT + 1, {scan.WINDOW}), ''), 'histogram')), lambda c: c * log2(c))) <= {scan.WINDOW} * (log2({scan.WINDOW}) - {bound}))""")
+        out.append(f"""{kind}_run AS (SELECT doc_id, rank, s + min(i) AS s, s + max(i) + {scan.WINDOW} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, s ORDER BY i) AS r FROM (
+ SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, s ORDER BY i) + {scan.WINDOW} THEN 0 ELSE 1 END AS fresh FROM {kind}_hot)) GROUP BY doc_id, rank, s, r)""")
+    runs = " UNION ALL ".join(f"SELECT doc_id, rank, s, e FROM {k}_run" for k in scan.CLASSES)
+    out.append(f"every AS (SELECT doc_id, rank, s, e FROM base UNION ALL SELECT * FROM ({runs}) r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e))")
+    names = ", ".join(f"'{k}'" for k in (*scan.BASE_KINDS, *scan.CLASSES))
+    shown = f"string_agg(([{names}])[rank + 1] || ':' || s::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY s, rank, e)"
+    out.append(f"b AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, {shown} AS x FROM base GROUP BY doc_id)")
+    out.append(f"a AS (SELECT doc_id, {shown} AS spans FROM every GROUP BY doc_id)")
+    return "WITH " + ", ".join(out) + """ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(x, '')) AS base_sha256, coalesce(spans, '') AS spans
+ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+@query("op7_secret_scan", op7_sql())
 def op7(spark, sf_dir):
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -92,7 +136,19 @@ def op8(spark, sf_dir):
     return token_counts.section_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("op9_warc")
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda x: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', x) - 3, 4)), '') AS bits FROM p),
+m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i::INT + 1, 1)::INT + 8 * substr(bits, 5 * i::INT + 2, 1)::INT
+    + 4 * substr(bits, 5 * i::INT + 3, 1)::INT + 2 * substr(bits, 5 * i::INT + 4, 1)::INT + substr(bits, 5 * i::INT + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM b JOIN m USING (h)
+"""
+
+
+@query("op9_warc", OP9_SQL)
 def op9(spark, sf_dir):
     return warc_zip.round_trip(table(spark, sf_dir, "pages"))
 
