@@ -112,9 +112,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     read; a language with fewer rows gives all of them.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # One number per language, as the model has centroids for each of them anyway.
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = cut(rows.join(sizes, "lang").filter(share * F.col("n") < sample).select("lang", "text"))
+    known = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else F.create_map().cast("map<string,bigint>")
+    chosen = cut(rows.filter(share * F.try_element_at(known, F.col("lang")) < sample))
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
         found = np.zeros(DIMENSIONS)
