@@ -9,28 +9,38 @@ from factloom.functions import exprs as X
 from factloom.operators import relate
 from factloom.operators.communities import protection
 from factloom.operators.graph import components
-from factloom.operators.scans import maintenance_candidates, top_per
+from factloom.operators.scans import top_per
 from factloom.operators.vectors import vector_top_k
+from factloom.session import cut
 
 SIMILARITY = 0.9
-TOP_K = 20
-MAX_MEMORIES = 1000
 
 
-def candidate_pairs(memories: DataFrame, embeddings: DataFrame, similarity: float = SIMILARITY, top_k: int = TOP_K, limit: int = MAX_MEMORIES) -> DataFrame:
+def candidate_pairs(memories: DataFrame, embeddings: DataFrame, now, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (entity_id, a, b, similarity), a < b, of close live memories.
 
-    Each pool memory asks for its nearest memory vectors of the entity, itself
-    included, and pool members at or above the threshold become pairs. So no
-    memory of a large group of copies has more than ``top_k`` partners, and a
-    group is bounded by the pool of its entity.
+    Memories of one entity, type and vector are a group of copies; its head is
+    the member that would stand for it (most trusted, newest, smallest id).
+    Distinct vectors at or above the threshold make their groups neighbours.
+    A memory is paired with the head of its own group and of each neighbour
+    group, so any number of copies costs their count and not their pairs, and
+    whoever stands for a merged group has a pair with every member close to it.
+    Retired memories take no part.
     """
-    pool = maintenance_candidates(memories, limit).select("entity_id", "id")
-    vectors = embeddings.filter(F.col("document_id").isNull()).select("entity_id", "chunk_id", "embedding")
-    asked = vectors.join(pool.withColumnRenamed("id", "chunk_id"), ["entity_id", "chunk_id"], "left_semi")
-    near = vector_top_k(asked.withColumnRenamed("chunk_id", "query_id"), vectors, top_k, similarity)
-    held = near.filter("query_id <> chunk_id").join(asked.select("entity_id", "chunk_id"), ["entity_id", "chunk_id"], "left_semi")
-    return held.groupBy("entity_id", F.least("query_id", "chunk_id").alias("a"), F.greatest("query_id", "chunk_id").alias("b")).agg(F.max("score").alias("similarity"))
+    live = memories.filter("is_latest").select("entity_id", "id", "memory_type", "created_at", X.trust(now).alias("trust"))
+    vectors = embeddings.filter(F.col("document_id").isNull()).select("entity_id", F.col("chunk_id").alias("id"), "embedding")
+    rows = live.join(vectors, ["entity_id", "id"]).withColumn("vector", F.sha2(F.to_json("embedding"), 256))
+    first = F.struct((-F.col("trust")).alias("t"), (-F.unix_micros("created_at")).alias("c"), F.col("id").alias("id"))
+    rows = cut(rows)
+    groups = cut(rows.groupBy("entity_id", "vector", "memory_type").agg(F.min(first)["id"].alias("head")))
+    distinct = rows.groupBy("entity_id", F.col("vector").alias("chunk_id")).agg(F.first("embedding").alias("embedding"))
+    near = vector_top_k(distinct.withColumnRenamed("chunk_id", "query_id"), distinct, None, similarity).select("entity_id", F.col("query_id").alias("vector"), F.col("chunk_id").alias("other"), "score")
+    # Zero vectors are close to nothing, not even to themselves; copies are close by being equal.
+    same = groups.select("entity_id", "vector", F.col("vector").alias("other"), F.lit(1.0).alias("score")).distinct()
+    near = near.filter("vector <> other").unionByName(same)
+    heads = near.join(groups.select("entity_id", F.col("vector").alias("other"), "head"), ["entity_id", "other"]).select("entity_id", "vector", "head", "score")
+    met = rows.select("entity_id", "vector", "id").join(heads, ["entity_id", "vector"]).filter("id <> head")
+    return met.groupBy("entity_id", F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).agg(F.max("score").alias("similarity"))
 
 
 def judge_pairs(pairs: DataFrame, memories: DataFrame, edges: DataFrame, facts: DataFrame, now) -> DataFrame:

@@ -38,7 +38,7 @@ def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     return rows / norms[:, None]
 
 
-def _compare(k: int, min_score: float | None):
+def _compare(k: int | None, min_score: float | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -47,6 +47,10 @@ def _compare(k: int, min_score: float | None):
                 by_id = np.argsort(ids)
                 ids, v = ids[by_id], v[by_id]
                 scores = np.round(q @ v.T, SCORE_DIGITS) + 0.0
+                if k is None:
+                    at, hit = np.nonzero(scores >= min_score)
+                    yield pd.DataFrame({"query_id": np.asarray(row.q_ids, dtype=object)[at], "entity_id": row.entity_id, "chunk_id": ids[hit], "score": scores[at, hit]})
+                    continue
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 picked = np.take_along_axis(scores, order, axis=1)
                 out = pd.DataFrame({
@@ -58,9 +62,11 @@ def _compare(k: int, min_score: float | None):
     return run
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, block: int = BLOCK) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int | None, min_score: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, entity_id, chunk_id, score): k nearest vectors of the query's entity.
 
+    Without ``k``, all vectors of at least ``min_score``, which must be given.
+
     ``queries`` has (query_id, entity_id, embedding), ``vectors`` (entity_id,
     chunk_id, embedding). Scores are cosines, 0 where a norm is 0, rounded to
     nine digits so that ranking does not depend on the block layout; equal

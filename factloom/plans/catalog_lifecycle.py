@@ -350,19 +350,18 @@ def _lang_sql(sql: str) -> str:
 
 
 SQL_PAIRS = _lang_sql(WITH_MEM) + ", tr AS (SELECT *, " + SQL_TRUST + f" AS trust FROM mem), e AS ({_lang_sql(SQL_EMB)}), ed AS ({_lang_sql(SQL_EDGE)}), {sql_profile()}" + """,
- pl AS (SELECT * FROM mem WHERE is_latest QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) <= 1000),
- mv AS (SELECT entity_id, chunk_id AS id, embedding FROM e WHERE document_id IS NULL),
- pv AS (SELECT mv.* FROM mv JOIN pl USING (entity_id, id)),
- nn AS (SELECT * FROM (SELECT p.entity_id, p.id AS x, v.id AS y, floor(coalesce(list_cosine_similarity(p.embedding::double[], v.embedding::double[]), 0.0) * 1000000000.0::double + 0.5) / 1000000000.0::double AS score FROM pv p JOIN mv v USING (entity_id))
-   QUALIFY row_number() OVER (PARTITION BY entity_id, x ORDER BY score DESC, y) <= 20),
- cp AS (SELECT entity_id, least(x, y) AS a, greatest(x, y) AS b, max(score) AS similarity FROM nn WHERE x <> y AND score >= 0.9 AND y IN (SELECT id FROM pv) GROUP BY ALL) """
+ pv AS (SELECT tr.entity_id, tr.id, tr.memory_type, e.embedding, first_value(tr.id) OVER (PARTITION BY tr.entity_id, e.embedding, tr.memory_type ORDER BY trust DESC, created_at DESC, tr.id) AS head
+  FROM tr JOIN e ON e.entity_id = tr.entity_id AND e.chunk_id = tr.id AND e.document_id IS NULL WHERE is_latest),
+ hd AS (SELECT DISTINCT entity_id, embedding, head FROM pv), ve AS (SELECT DISTINCT entity_id, embedding FROM pv),
+ nn AS (SELECT * FROM (SELECT p.entity_id, p.embedding AS x, v.embedding AS y, CASE WHEN p.embedding = v.embedding THEN 1.0::double ELSE floor(coalesce(list_cosine_similarity(p.embedding::double[], v.embedding::double[]), 0.0) * 1000000000.0::double + 0.5) / 1000000000.0::double END AS score FROM ve p JOIN ve v USING (entity_id)) WHERE score >= 0.9),
+ cp AS (SELECT entity_id, least(id, head) AS a, greatest(id, head) AS b, max(score) AS similarity FROM (SELECT pv.entity_id, pv.id, hd.head, nn.score FROM pv JOIN nn ON nn.entity_id = pv.entity_id AND nn.x = pv.embedding JOIN hd ON hd.entity_id = nn.entity_id AND hd.embedding = nn.y) WHERE id <> head GROUP BY ALL) """
 
 
 @query("f5_j8_duplicate_pairs", SQL_PAIRS + f"SELECT entity_id, a, b, {r6('similarity')} AS similarity FROM cp")
 def f5(spark, d):
     """Close pairs of live memories."""
     t = ByLanguage(spark, d)
-    return consolidate.candidate_pairs(t.memories, t.embeddings).withColumn("similarity", X.fixed(F.col("similarity"), 6))
+    return consolidate.candidate_pairs(t.memories, t.embeddings, NOW).withColumn("similarity", X.fixed(F.col("similarity"), 6))
 
 
 def _veto(n: str, o: str) -> str:

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from factloom.operators import communities, consolidate, graph, mentions, search, vectors
+from factloom.operators import communities, consolidate, graph, mentions, profile, search, vectors
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -259,3 +259,27 @@ def test_lineage_on_a_cycle_ends(spark):
     edges = spark.createDataFrame([("e", x, y, "UPDATES", DAY) for x, y in pairs], "entity_id string, from_id string, to_id string, rel_type string, created_at timestamp")
     got = {r.id: (r.newest, r.steps) for r in graph.update_lineage(edges).collect()}
     assert got == {"a": (None, None), "b": (None, None), "c": (None, None), "t": ("t", 0), "u": ("t", 1), "v": ("t", 2)}
+
+
+def test_more_copies_than_any_cap_consolidate(spark):
+    """1,500 copies of one fact, and some near it, merge into the one that stands for them."""
+    n = 1500
+    rows = [("e", f"m{i:05d}", "same fact", "fact", 0.3 + (i == 777) * 0.4, True, DAY + dt.timedelta(minutes=i % 7)) for i in range(n)] + [("e", "z1", "near", "fact", 0.2, True, DAY), ("e", "y1", "far", "fact", 0.2, True, DAY)]
+    memories = spark.createDataFrame(rows, "entity_id string, id string, content string, memory_type string, confidence double, is_latest boolean, created_at timestamp").withColumns(
+        {"provenance": F.lit("explicit_statement"), "validation_count": F.lit(0), "contradiction_detected": F.lit(False)})
+    vec = lambda i: [0.0, 1.0] if i == "y1" else [1.0, 0.3] if i == "z1" else [1.0, 0.0]
+    vecs = spark.createDataFrame([("e", r[1], None, vec(r[1])) for r in rows], "entity_id string, chunk_id string, document_id string, embedding array<float>")
+    pairs = consolidate.candidate_pairs(memories, vecs, "2024-02-01 00:00:00").collect()
+    assert len(pairs) == n - 1 + n  # every copy with the head, and with the near one
+    assert sum("m00777" in (p.a, p.b) for p in pairs) == n and not any("y1" in (p.a, p.b) for p in pairs)
+
+
+def test_profiles_read_more_than_any_cap(spark):
+    """The most important fact of an entity is found below 1,500 newer ones."""
+    rows = [("e", f"m{i:05d}", f"fact {i}", "fact", 1.0 if i == 0 else 0.6, True, DAY + dt.timedelta(minutes=i)) for i in range(1500)]
+    memories = spark.createDataFrame(rows, "entity_id string, id string, content string, memory_type string, confidence double, is_latest boolean, created_at timestamp").withColumns(
+        {"provenance": F.lit("explicit_statement"), "validation_count": F.lit(0), "contradiction_detected": F.lit(False), "valid_until": F.lit(None).cast("timestamp"), "internal_type": F.lit(None).cast("string")})
+    facts = profile.profile_facts(memories, None, "2024-02-01 00:00:00")
+    assert facts.filter("rank = 1").first().memory_id == "m00000"
+    assert profile.profile_summary(memories, facts, "2024-02-01 00:00:00").first().memory_count == 1500
+    assert "Total memories: 1500" in profile.digest(facts, memories, "2024-02-01 00:00:00").first().digest
