@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 10_000
 #: A lexicon entry stands in this share of the toxic sample at least, so the
 #: lexicon has at most (distinct words and prefixes of a document) / share
-#: entries; its log odds are this high even two deviations below the estimate.
+#: entries; its log odds are this high even a deviation below the estimate.
 SHARE, LOG_ODDS = 0.004, 1.0
 #: Words that share a stem count together by their first letters.
 PREFIXES = (4, 5)
@@ -109,7 +109,7 @@ def toxic_lexicon(sample: DataFrame, share: float = SHARE, least: float = LOG_OD
         return {}
     found = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter(F.col("t") >= max(5, share * t))
     own, others = F.col("t") + 0.5, F.col("c") + 0.5
-    odds = F.log(own / (t + 1.0)) - F.log(others / (c + 1.0)) - 2 * F.sqrt(1 / own + 1 / others)
+    odds = F.log(own / (t + 1.0)) - F.log(others / (c + 1.0)) - F.sqrt(1 / own + 1 / others)
     return {r.word: r.odds for r in found.select("word", odds.alias("odds")).filter(F.col("odds") >= least).collect()}
 
 
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier
     sizes = own.groupBy("toxic", "low").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     picked = own.join(sizes, ["toxic", "low"]).filter(share * F.col("n") < sample).select("doc_id", "toxic", "low", F.greatest(F.lit(1.0), F.col("n") / sample).alias("w"))
-    chosen = cut(docs.select("doc_id", "text").filter("text IS NOT NULL").join(picked, "doc_id"))
+    # Four classes of about ``sample`` small rows: a bound on what is broadcast.
+    chosen = cut(docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id"))
     lexicon = toxic_lexicon(chosen)
     rows = _features(chosen, ["low", "toxic", "w"], lexicon).collect()
     if not rows:
