@@ -64,7 +64,7 @@ def propagate(linked: Links, sweeps: int = SWEEPS) -> tuple[DataFrame, bool]:
     """(entity_id, id, label) after label propagation, and whether it settled.
 
     A node takes the label with most votes among its own, its relation
-    neighbours' and its mentions', a mention speaking for most of its members;
+    neighbours' and its shared mentions', a mention speaking for most of its members;
     ties go to the smallest label. Two halves of the nodes, by hash of id, move
     in turn, so that pairs do not swap for ever. It ends when a sweep changes
     nothing, when a state comes back, or after ``sweeps``.
@@ -74,23 +74,29 @@ def propagate(linked: Links, sweeps: int = SWEEPS) -> tuple[DataFrame, bool]:
     may differ on graphs other than clear clusters.
     """
     nodes, related, members = cut(linked.nodes.select("entity_id", "id")), cut(linked.related), cut(linked.members)
+    # A mention with one member only repeats that member's own vote.
+    shared = members.groupBy("entity_id", "mention_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    members = cut(members.join(shared, ["entity_id", "mention_id"], "left_semi"))
+
+    def moved(labels: DataFrame, half: bool) -> DataFrame:
+        own = labels.select("entity_id", "id", "label")
+        spoken = _winner(members.join(own, ["entity_id", "id"]).select("entity_id", "mention_id", "label"), "mention_id")
+        turn = first_half(F.col("id")) == half
+        votes = (
+            own.filter(turn)
+            .unionByName(related.join(own.withColumnRenamed("id", "b"), ["entity_id", "b"]).select("entity_id", F.col("a").alias("id"), "label").filter(turn))
+            .unionByName(members.filter(turn).join(spoken, ["entity_id", "mention_id"]).select("entity_id", "id", "label"))
+        )
+        heard = _winner(votes, "id").withColumnRenamed("label", "_new")
+        return labels.join(heard, ["entity_id", "id"], "left").select("entity_id", "id", F.coalesce("_new", "label").alias("label"), "before")
+
     labels = nodes.withColumn("label", F.col("id"))
     seen: set[int] = set()
     settled = False
     for _ in range(sweeps):
-        before = labels
-        for half in (True, False):
-            spoken = _winner(members.join(labels, ["entity_id", "id"]).select("entity_id", "mention_id", "label"), "mention_id")
-            votes = (
-                labels.select("entity_id", "id", "label")
-                .unionByName(related.join(labels.withColumnRenamed("id", "b"), ["entity_id", "b"]).select("entity_id", F.col("a").alias("id"), "label"))
-                .unionByName(members.join(spoken, ["entity_id", "mention_id"]).select("entity_id", "id", "label"))
-                .filter(first_half(F.col("id")) == half)
-            )
-            heard = _winner(votes, "id").withColumnRenamed("label", "_new")
-            labels = cut(labels.join(heard, ["entity_id", "id"], "left").select("entity_id", "id", F.coalesce("_new", "label").alias("label")))
-        joined = labels.join(before.withColumnRenamed("label", "_old"), ["entity_id", "id"])
-        state = joined.agg(F.count(F.when(F.col("label") != F.col("_old"), 1)).alias("moved"), F.sum(F.xxhash64("entity_id", "id", "label").cast("decimal(38,0)")).alias("mark")).first()
+        labels = cut(moved(moved(labels.withColumn("before", F.col("label")), True), False))
+        state = labels.agg(F.count(F.when(F.col("label") != F.col("before"), 1)).alias("moved"), F.sum(F.xxhash64("entity_id", "id", "label").cast("decimal(38,0)")).alias("mark")).first()
+        labels = labels.drop("before")
         if not state.moved or state.mark in seen:
             settled = not state.moved
             break

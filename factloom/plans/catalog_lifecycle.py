@@ -285,10 +285,10 @@ def w7(spark, d):
     return communities.relabel(part).select("entity_id", "id", "community")
 
 
-def sql_propagation(sweeps: int = 16) -> str:
+def sql_propagation(sweeps: int = 12) -> str:
     """Label propagation of two half steps per sweep, unrolled; settled states stay as they are."""
     out = ["rel AS (SELECT DISTINCT entity_id, a, b FROM (SELECT entity_id, from_id AS a, to_id AS b FROM ed UNION ALL SELECT entity_id, to_id, from_id FROM ed) x JOIN nodes n USING (entity_id) JOIN nodes m USING (entity_id) WHERE n.id = a AND m.id = b AND a <> b)",
-           "mm AS (SELECT lk.entity_id, lk.memory_id AS id, lk.mention_id FROM lk JOIN nodes n ON n.entity_id = lk.entity_id AND n.id = lk.memory_id)", "l0 AS MATERIALIZED (SELECT entity_id, id, id AS label FROM nodes)"]
+           "mm AS (SELECT lk.entity_id, lk.memory_id AS id, lk.mention_id FROM lk JOIN nodes n ON n.entity_id = lk.entity_id AND n.id = lk.memory_id QUALIFY count(*) OVER (PARTITION BY lk.entity_id, lk.mention_id) > 1)", "l0 AS MATERIALIZED (SELECT entity_id, id, id AS label FROM nodes)"]
     for k in range(1, 2 * sweeps + 1):
         old, half = f"l{k - 1}", "<" if k % 2 else ">="
         out.append(f"""s{k} AS MATERIALIZED (SELECT entity_id, mention_id, label FROM (SELECT mm.entity_id, mention_id, label, count(*) AS n FROM mm JOIN {old} USING (entity_id, id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY entity_id, mention_id ORDER BY n DESC, label) = 1),

@@ -132,6 +132,7 @@ def sweep(ids, near, groups):
     """Two half steps per sweep, by hash of id; own label, neighbours and mentions vote."""
     half = {i: hashlib.md5(i.encode()).hexdigest()[0] < "8" for i in ids}
     best = lambda said: min(set(said), key=lambda x: (-said.count(x), x))
+    groups = {t: g for t, g in groups.items() if len(g) > 1}
     labels = {i: i for i in ids}
     for _ in range(60):
         before = dict(labels)
