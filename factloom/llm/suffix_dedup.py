@@ -9,8 +9,10 @@ Every window of 100 bytes has an anchor: the leftmost smallest hash of the
 3. where one anchor has different first units, their texts are suffix-sorted
    in blocks of bounded size and adjacent common prefixes of 100 bytes or more
    name the repeated windows;
-4. an anchor whose units fill more than a block passes the block's first
-   windows on, by hash, to a grouped minimum.
+4. an anchor whose units go on in another block passes the block's first
+   windows on, eight neighbours as one row keyed by the bytes they share; rows
+   with the same key in several blocks are compared by window, by hash and a
+   grouped minimum.
 
 No step gathers an anchor, a passage or a group of copies in one task.
 """
@@ -39,11 +41,13 @@ PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 2 * LENGTH
 #: Bytes of text that are suffix-sorted together.
 BLOCK = 2 << 20
+#: Neighbouring windows that are passed on together.
+TOGETHER = 8
 
 
-def units(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of the units of a text."""
-    hashes, firsts, counts = [], [], []
+def units(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, windows, anchor - first window) of the units of a text."""
+    hashes, firsts, counts, anchors = [], [], [], []
     span = length - GRAM + 1  # anchors a window can have
     for at in range(0, max(len(data) - length + 1, 0), PIECE):
         piece = np.frombuffer(data[at : at + PIECE + length - 1], dtype=np.uint8).astype(np.uint64)
@@ -68,10 +72,20 @@ def units(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np
         hashes.append(h[place[first]])
         firsts.append(first + at)
         counts.append(np.diff(np.append(first, len(place))))
+        anchors.append(place[first] - first)
     if not hashes:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(counts)
+        return none.astype(np.uint64), none, none, none
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(counts), np.concatenate(anchors)
+
+
+def pack_place(first: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """First window, anchor and number of windows of units as one number; the last two are below 1,024."""
+    return first << PLACE_BITS | anchor << 10 | count
+
+
+def first_and_count(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> PLACE_BITS, place & 1023
 
 
 def _bytes(text: str | None) -> bytes:
@@ -107,20 +121,20 @@ def repeated_anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def unit_rows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(ah, uh, doc, place): units by anchor and text hash; ``place`` is first window * 2^20 + windows."""
+    """(ah, uh, doc, place): units by anchor and text hash, with their packed place."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ahs, uhs, docs, places = [], [], [], []
         digest = xxhash.xxh3_64_intdigest
         for t, doc in zip(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), strict=True):
             data = _bytes(t)
-            ah, first, count = units(data, length)
+            ah, first, count, anchor = units(data, length)
             if len(ah):
                 ends = first + count + (length - 1)
                 ahs.append(ah)
                 uhs.append(np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(ah)))
                 docs.append(np.full(len(ah), doc, dtype=np.int64))
-                places.append(first << PLACE_BITS | count)
+                places.append(pack_place(first, count, anchor))
         if not ahs:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (ahs, uhs, docs, places)], ["ah", "uh", "doc", "place"])
@@ -144,7 +158,7 @@ def _unpack(packed: bytes) -> bytes:
 
 
 def unit_texts(rows: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(ah, doc, first, windows, body) of the units in wanted(doc, ah, place)."""
+    """(ah, doc, first, windows, anchor, body) of the units in wanted(doc, ah, place)."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("ah", "place")).alias("own"))
     met = packed_texts(rows).join(lists, "doc").select("doc", "packed", F.col("own.ah").alias("ahs"), F.col("own.place").alias("places"))
 
@@ -153,23 +167,25 @@ def unit_texts(rows: DataFrame, wanted: DataFrame, length: int = LENGTH) -> Data
             for doc, packed, ahs, places in zip(*[batch.column(i) for i in range(4)], strict=True):
                 data = _unpack(packed.as_py())
                 place = np.asarray(places.values.to_numpy(zero_copy_only=False))
-                first, count = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
+                first, count = first_and_count(place)
+                anchor = place >> 10 & 1023
                 for at in range(0, len(place), 20_000):  # a long text has many units
                     part = slice(at, at + 20_000)
                     bodies = [data[a : a + c + length - 1] for a, c in zip(first[part].tolist(), count[part].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        ahs.values.slice(at, 20_000), pa.array(np.full(len(bodies), doc.as_py(), dtype=np.int64)), pa.array(first[part]), pa.array(count[part]), pa.array(bodies, pa.binary()),
-                    ], ["ah", "doc", "first", "windows", "body"])
+                        ahs.values.slice(at, 20_000), pa.array(np.full(len(bodies), doc.as_py(), dtype=np.int64)), pa.array(first[part]), pa.array(count[part]), pa.array(anchor[part]), pa.array(bodies, pa.binary()),
+                    ], ["ah", "doc", "first", "windows", "anchor", "body"])
 
-    return met.mapInArrow(run, "ah bigint, doc bigint, first bigint, windows bigint, body binary")
+    return met.mapInArrow(run, "ah bigint, doc bigint, first bigint, windows bigint, anchor bigint, body binary")
 
 
 def sorted_repeats(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(doc, first, windows, h1, h2): repeated windows, and windows still to be compared.
+    """(doc, first, windows, h1, h2, body): repeated windows, and windows still to be compared.
 
     Units arrive in ranges of (ah, doc, first) and are suffix-sorted in blocks.
     Rows with hashes are the first windows of anchors that may go on in another
-    block or range.
+    block or range: ``TOGETHER`` neighbours at fixed distances from the anchor,
+    marked by the bits of ``windows`` and keyed by the bytes all of them share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +201,7 @@ def sorted_repeats(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             starts = begin[owner] + offset
             copies = array.later_copies(starts)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             hit = np.isin(starts, copies, assume_unique=True)
             docs, firsts = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
             place = np.flatnonzero(hit)
@@ -195,25 +211,29 @@ def sorted_repeats(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -
                 out[0] += docs[owner[heads]].tolist()
                 out[1] += (firsts[owner[heads]] + offset[heads]).tolist()
                 out[2] += np.diff(np.append(np.flatnonzero(fresh), len(place))).tolist()
-                out[3] += [None] * len(heads)
-                out[4] += [None] * len(heads)
-            ahs = [r[0] for r in rows]
-            ends = {ahs[0]} if open_first else set()
-            ends |= {ahs[-1]} if open_last else set()
-            if ends:
-                spanning = np.array([a in ends for a in ahs])
-                for p in np.flatnonzero(spanning[owner] & ~hit).tolist():
-                    u, o = int(owner[p]), int(offset[p])
-                    both = xxhash.xxh3_128_digest(rows[u][4][o : o + length])
-                    out[0].append(rows[u][1])
-                    out[1].append(rows[u][2] + o)
-                    out[2].append(1)
+                for column in out[3:]:
+                    column += [None] * len(heads)
+            ends = ({rows[0][0]} if open_first else set()) | ({rows[-1][0]} if open_last else set())
+            begins = np.cumsum(windows) - windows
+            for u in [u for u, r in enumerate(rows) if r[0] in ends]:
+                _, doc, first, _, body, anchor = rows[u]
+                left = np.flatnonzero(~hit[begins[u] : begins[u] + windows[u]])
+                back = anchor - left  # bytes from a window's start to the anchor
+                for k in np.unique(back // TOGETHER).tolist():
+                    own = left[back // TOGETHER == k]
+                    low = anchor - TOGETHER * k - (TOGETHER - 1)  # start of the leftmost of these windows
+                    both = xxhash.xxh3_128_digest(body[low + TOGETHER - 1 : low + length], seed=k)
+                    start = int(own[0])
+                    out[0].append(doc)
+                    out[1].append(first + start)
+                    out[2].append(int(sum(1 << int(x - start) for x in own)))
                     out[3].append(int.from_bytes(both[:8], "little", signed=True))
                     out[4].append(int.from_bytes(both[8:], "little", signed=True))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "first", "windows", "h1", "h2"])
+                    out[5].append(body[start : int(own[-1]) + length])
+            return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:5]], pa.array(out[5], pa.binary())], ["doc", "first", "windows", "h1", "h2", "body"])
 
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("ah", "doc", "first", "windows", "body")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("ah", "doc", "first", "windows", "body", "anchor")], strict=True):
                 new = bool(held) and row[0] != held[-1][0]
                 if held and (size >= 2 * block or size >= block and new):
                     yield flush(held, opened, not new)
@@ -224,7 +244,23 @@ def sorted_repeats(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -
             yield flush(held, opened, True)
 
     ranged = texts.repartitionByRange("ah", "doc", "first").sortWithinPartitions("ah", "doc", "first")
-    return ranged.select("ah", "doc", "first", "windows", "body").mapInArrow(run, "doc bigint, first bigint, windows bigint, h1 bigint, h2 bigint")
+    return ranged.mapInArrow(run, "doc bigint, first bigint, windows bigint, h1 bigint, h2 bigint, body binary")
+
+
+def window_hashes(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, first, w1, w2): each marked window of rows(doc, first, windows, body) with its hash."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [[], [], [], []]
+        for doc, first, marks, body in zip(*[batch.column(c).to_pylist() for c in ("doc", "first", "windows", "body")], strict=True):
+            for k in range(TOGETHER):
+                if marks >> k & 1:
+                    both = xxhash.xxh3_128_digest(body[k : k + length])
+                    for column, value in zip(out, (doc, first + k, int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)), strict=True):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "first", "w1", "w2"])
+
+    return map_batches(rows, run, "doc bigint, first bigint, w1 bigint, w2 bigint")
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
@@ -234,14 +270,16 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, block: int = BLOCK)
     texts = settled(candidates.groupBy("ah", "uh").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times")))
     kinds = texts.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds"))
     copies = candidates.join(texts.filter("times > 1"), ["ah", "uh"]).filter(F.col("at") != place).select("doc", "place")
-    whole = copies.select("doc", F.shiftright("place", PLACE_BITS).alias("first"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("windows"))
+    whole = copies.select("doc", F.shiftright("place", PLACE_BITS).alias("first"), F.col("place").bitwiseAND(F.lit(1023)).alias("windows"))
     firsts = texts.join(kinds.filter("kinds > 1"), "ah").select(F.col("at.doc").alias("doc"), "ah", F.col("at.place").alias("place"))
     sorted_ = settled(sorted_repeats(settled(unit_texts(rows, firsts, length)), length, block))
     within = sorted_.filter("h1 IS NULL").select("doc", "first", "windows")
     open_ = sorted_.filter("h1 IS NOT NULL")
+    shared = open_.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    hashed = settled(window_hashes(open_.join(shared, ["h1", "h2"]).select("doc", "first", "windows", "body"), length))
     start = F.struct("doc", "first")
-    least = open_.groupBy("h1", "h2").agg(F.min(start).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    across = open_.join(least, ["h1", "h2"]).filter(F.col("at") != start).select("doc", "first", "windows")
+    least = hashed.groupBy("w1", "w2").agg(F.min(start).alias("at"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    across = hashed.join(least, ["w1", "w2"]).filter(F.col("at") != start).select("doc", "first", F.lit(1).cast("bigint").alias("windows"))
     return whole.unionByName(within).unionByName(across)
 
 
