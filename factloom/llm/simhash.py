@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_batches, strings
+from factloom.llm.common import map_batches, settled, strings
 from factloom.operators.graph import components
 from factloom.session import cut
 
@@ -75,13 +75,6 @@ def shingle_fingerprint(text: str, k: int, seed: int = SEED) -> int:
     return vote(_hashes(shingles(words(text), k), seed))
 
 
-def word_fingerprint(text: str) -> int:
-    """SimHash of the distinct words, longer words weighing more: an edited
-    word moves it far less than it moves the shingles around the word."""
-    ws = sorted(set(words(text)))
-    return vote(_hashes(ws), np.array([max(1, len(w) - 2) for w in ws], dtype=np.int64))
-
-
 def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     """(doc_id, fp bigint) of every row of docs(doc_id, text); null text has no words."""
 
@@ -198,18 +191,16 @@ def _spanning(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarra
         label = new
 
 
-def links(fps: DataFrame, distance: int, check: list[str] | None = None, check_distance: int = 0) -> DataFrame:
+def links(fps: DataFrame, distance: int) -> DataFrame:
     """(a, b): row numbers of fingerprints with the connectivity of all close pairs.
 
-    ``fps`` has distinct rows (n bigint, fp bigint, [check bigint ...]). A pair
-    is close if ``fp`` differs in at most ``distance`` bits and the check
-    columns together in at most ``check_distance``. A bucket of any size is
+    ``fps`` has distinct rows (n bigint, fp bigint). A pair is close if ``fp``
+    differs in at most ``distance`` bits. A bucket of any size is
     dealt into packed rows of about ``PACK``, which meet pair by pair; a dense
     meeting passes on spanning links instead of all its pairs.
     """
-    check = check or []
     parts = plan(fps, distance)
-    item = F.struct(F.col("n"), F.col("fp"), *check)
+    item = F.struct(F.col("n"), F.col("fp"))
     sides = []
     for k, (mask, flips) in enumerate(parts):
         own = F.col("fp").bitwiseAND(F.lit(mask))
@@ -242,15 +233,12 @@ def links(fps: DataFrame, distance: int, check: list[str] | None = None, check_d
         for side in ("held", "asked"):
             col = batch.column(side)
             flat = col.flatten()
-            cols[side] = (np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)))), {c: flat.field(c).to_numpy() for c in ("n", "fp", *check)})
+            cols[side] = (np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)))), {c: flat.field(c).to_numpy() for c in ("n", "fp")})
         (ha, hv), (aa, av) = cols["held"], cols["asked"]
         for r in range(batch.num_rows):
             h, a = slice(ha[r], ha[r + 1]), slice(aa[r], aa[r + 1])
             near = np.bitwise_count(hv["fp"][h][:, None] ^ av["fp"][a][None, :]) <= distance
             near &= hv["n"][h][:, None] != av["n"][a][None, :]
-            if check and near.any():
-                apart = sum(np.bitwise_count(hv[c][h][:, None] ^ av[c][a][None, :]).astype(np.int16) for c in check)
-                near &= apart <= check_distance
             if near.any():
                 x, y = _spanning(hv["n"][h], av["n"][a], near)
                 out_a.append(np.minimum(x, y))
@@ -286,43 +274,227 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, distance: int =
 
 # --- one document of each group --------------------------------------------
 
-#: Near copies: the word fingerprint proposes, 128 bits over five-word shingles decide.
-#: A Jaccard similarity of 0.8 is a cosine of 0.889, 15 % of the bits, 19 of 128; 25 lies 1.5 deviations above.
-NEAR_DISTANCE, NEAR_CHECK = 7, 25
+#: Near copies share NEAR of the distinct runs of NEAR_WORDS words they have together.
+NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
+#: MinHash sketch of a document: a pair shares a band if its ROWS values agree. At a
+#: similarity of 0.8 no band is shared once in 300,000 pairs, at 0.9 and above never.
+BANDS, ROWS = 24, 4
+#: Values of 96 that agree in pairs whose runs are compared: at 0.8 five deviations below the mean.
+LEAST_AGREE = 57
+#: Rounds in which each document meets one other of its buckets, before whole buckets meet.
+HEAD_ROUNDS = 2
+#: Runs of the documents of a packed row that is to be compared.
+PACK_RUNS = 500_000
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_TIMES, _PLUS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the runs of NEAR_WORDS words."""
+    return np.unique(_hashes(shingles(words(text), NEAR_WORDS), 1))
+
+
+def min_bands(own: np.ndarray) -> np.ndarray:
+    """MinHash sketch of a set of hashes: BANDS numbers of ROWS values of 16 bits."""
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(own), 4096):
+        low = np.minimum(low, (own[None, at : at + 4096] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
+    return (low & np.uint64(0xFFFF)).astype(np.uint16).view(np.int64)
+
+
+def near_sets_agree(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of two sets of distinct numbers of NEAR or more."""
+    less, more = sorted((len(a), len(b)))
+    if NEAR_WHOLE * less < NEAR_PART * more:
+        return False
+    both = less + more - len(np.unique(np.concatenate((a, b))))
+    return (NEAR_PART + NEAR_WHOLE) * both >= NEAR_PART * (less + more)
+
+
+def worth_comparing(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Pairs of sketches (rows of BANDS numbers) that first meet in ``band`` and agree in enough values."""
+    near = a[:, band][:, None] == b[:, band][None, :]
+    for k in range(band):
+        near &= a[:, k][:, None] != b[:, k][None, :]
+    i, j = np.nonzero(near)
+    va, vb = (np.ascontiguousarray(x).view(np.uint16).reshape(len(x), BANDS * ROWS) for x in (a, b))
+    for at in range(0, len(i), BLOCK):
+        x, y = i[at : at + BLOCK], j[at : at + BLOCK]
+        near[x, y] = (va[x] == vb[y]).sum(axis=1) >= LEAST_AGREE
+    return near
 
 
-def near_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, fp, c0, c1) of every row of docs(doc_id, text)."""
+def near_sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, n, runs, bands) of every row of docs(doc_id, text); n is the hash of the whole set of runs."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = strings(batch, "text")
-        rows = []
-        for t in texts:
-            parts = shingles(words(t), 5)
-            rows.append((word_fingerprint(t), vote(_hashes(parts, 1)), vote(_hashes(parts, 2))))
-        cols = np.array(rows, dtype=np.uint64).reshape(-1, 3).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(3)]], ["doc_id", "digest", "fp", "c0", "c1"])
+        n, sizes, bands = [], [], []
+        for t in strings(batch, "text"):
+            own = shingle_set(t)
+            n.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+            sizes.append(len(own))
+            bands.append(min_bands(own))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(n, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "n", "runs", "bands"]
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    return map_batches(rows, run, f"doc_id {kind}, digest bigint, fp bigint, c0 bigint, c1 bigint")
+    return map_batches(_with_digest(docs).select("doc_id", "digest", "text"), run, f"doc_id {kind}, digest bigint, n bigint, runs bigint, bands array<bigint>")
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def near_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(n, own): the sets of runs of the documents in wanted(n, first)."""
+    rows = _with_digest(docs).select("doc_id", "digest", "text")
+    named = wanted.select("n", F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    met = rows.join(named, rows["doc_id"].eqNullSafe(named["_id"]) & (rows["digest"] == named["_digest"])).select("n", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t).view(np.int64) for t in strings(batch, "text")]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column("n"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["n", "own"])
+
+    return map_batches(met, run, "n bigint, own array<bigint>").dropDuplicates(["n"])
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False) for x in column]
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose sets of runs are near."""
+    left, right = sets.select(F.col("n").alias("a"), F.col("own").alias("left")), sets.select(F.col("n").alias("b"), F.col("own").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = [near_sets_agree(x, y) for x, y in zip(_lists(batch.column("left")), _lists(batch.column("right")), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(near))
+
+    return map_batches(met, run, "a bigint, b bigint")
+
+
+def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(band, key, n, root) of members(band, key, n) in buckets that hold several components."""
+    named = members.withColumn("root", F.col("n")) if roots is None else members.join(roots, "n", "left").select("band", "key", "n", F.coalesce("root", "n").alias("root"))
+    several = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
+    return named.join(several, ["band", "key"])
+
+
+def bucket_links(open_: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between the components of each bucket of open_(band, key, n, root).
+
+    A bucket of any size is dealt into packed rows which meet pair by pair, by
+    their sketches. Where pairs are worth it, the documents' sets of runs meet in
+    the same way. A pair is compared in the first band it shares, and not if the
+    links found in its meeting join it already, so links stay linear in documents.
+    """
+    rows = open_.join(sketches.select("n", "runs", "bands"), "n")
+    sizes = rows.groupBy("band", "key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PACK, F.sum("runs") / PACK_RUNS)).alias("chunks"))
+    dealt = rows.join(sizes, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("n"), "chunks"))
+    packed = dealt.groupBy("band", "key", "chunk").agg(F.collect_list(F.struct("n", "root", "bands")).alias("items"))
+    left, right = packed.select("band", "key", F.col("chunk").alias("x"), F.col("items").alias("left")), packed.select("band", "key", F.col("chunk").alias("y"), F.col("items").alias("right"))
+    met = left.join(right, ["band", "key"]).filter("x <= y").select("band", "key", "x", "y", "left", "right")
+
+    def pairs(n, root, bands, m, other, sketch, band, same):
+        near = worth_comparing(bands, sketch, band) & (root[:, None] != other[None, :])
+        return np.nonzero(near & (n[:, None] < m[None, :]) if same else near)
+
+    def side(column, r):
+        items = column[r].values
+        return items.field("n").to_numpy(), items.field("root").to_numpy(), items.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+
+    def propose(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [[] for _ in range(8)]
+        for r in range(batch.num_rows):
+            band, key, x, y = (batch.column(c)[r].as_py() for c in ("band", "key", "x", "y"))
+            a, b = side(batch.column("left"), r), side(batch.column("right"), r)
+            i, j = pairs(*a, *b, band, x == y)
+            for right, (ids, roots, bands), own in ((False, a, np.union1d(i, j) if x == y else np.unique(i)), (True, b, np.unique(j[:0] if x == y else j))):
+                for column, values in zip(out, ([band] * len(own), [key] * len(own), [x] * len(own), [y] * len(own), [right] * len(own), ids[own].tolist(), roots[own].tolist(), bands[own].tolist()), strict=True):
+                    column += values
+        kinds = [pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["band", "key", "x", "y", "right", "n", "root", "bands"])
+
+    proposed = map_batches(met, propose, "band int, key bigint, x bigint, y bigint, right boolean, n bigint, root bigint, bands array<bigint>")
+    meetings = proposed.join(sets, "n").groupBy("band", "key", "x", "y").agg(
+        F.collect_list(F.when(~F.col("right"), F.struct("n", "root", "bands", "own"))).alias("left"), F.collect_list(F.when(F.col("right"), F.struct("n", "root", "bands", "own"))).alias("right")
+    )
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out_a, out_b = [], []
+        for r in range(batch.num_rows):
+            band, same = batch.column("band")[r].as_py(), batch.column("x")[r].as_py() == batch.column("y")[r].as_py()
+            left, right = batch.column("left"), batch.column("left" if same else "right")
+            a, b = side(left, r), side(right, r)
+            own, others = _lists(left[r].values.field("own")), _lists(right[r].values.field("own"))
+            upper: dict[int, int] = {}
+
+            def top(x, upper=upper):
+                while (above := upper.get(x, x)) != x:
+                    upper[x] = upper.get(above, above)
+                    x = above
+                return x
+
+            for i, j in zip(*(x.tolist() for x in pairs(*a, *b, band, same)), strict=True):
+                one, two = top(int(a[1][i])), top(int(b[1][j]))
+                if one != two and near_sets_agree(own[i], others[j]):
+                    upper[two] = one
+                    out_a.append(int(a[0][i]))
+                    out_b.append(int(b[0][j]))
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return map_batches(meetings, compare, "a bigint, b bigint")
+
+
+def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
+    """(n, root): components of near copies among sketches(n, first, runs, bands); only linked numbers.
+
+    Documents that share a band are candidates. In a few rounds each meets one
+    drawn head of its buckets in another component, which links most of a large
+    group; what is still apart in a bucket is then compared pair by pair. Every
+    link is a pair whose sets of runs were compared.
+    """
+    every = sketches.select("n", F.posexplode("bands").alias("band", "key"))
+    members = settled(every.join(every.groupBy("band", "key").count().filter("count > 1").select("band", "key"), ["band", "key"]).select("band", "key", "n"))
+    if members.isEmpty():
+        return None
+    sets = settled(near_sets(docs, sketches.join(members.select("n").distinct(), "n").select("n", "first")))
+    found = roots = None
+    for salt in range(HEAD_ROUNDS + 1):
+        open_ = settled(open_members(members, roots))
+        if open_.isEmpty():
+            break
+        if salt < HEAD_ROUNDS:
+            heads = open_.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("n", F.lit(salt)).alias("drawn"), "n", "root")).alias("head"))
+            asked = open_.join(heads, ["band", "key"]).filter("root <> head.root").groupBy("n").agg(F.min("head").alias("head"))
+            more = verified(asked.select(F.col("n").alias("a"), F.col("head.n").alias("b")), sets)
+        else:
+            more = bucket_links(open_, sketches, sets)
+        found = cut(more if found is None else found.unionByName(more))
+        roots = link_components(found)
+    return roots
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one document of each group of near copies.
 
-    The document with the smallest (doc_id, text hash) of a group stays; exact
-    repeats of one row stay once. Null counts as an empty text, and texts
-    without a word form one group. All columns of ``docs`` are kept.
+    Near copies have a Jaccard similarity of 0.8 or more of their distinct runs
+    of five words; groups are connected by such pairs. The document with the
+    smallest (doc_id, text hash) of a group stays; exact repeats of one row stay
+    once. Null counts as an empty text, and texts without a word form one group.
+    All columns of ``docs`` are kept.
     """
-    prints = cut(near_fingerprints(docs))
-    sketch = F.xxhash64("fp", "c0", "c1").alias("n")
-    keyed = prints.select("doc_id", "digest", sketch, "fp", "c0", "c1")
+    prints = cut(near_sketches(docs))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    distinct = cut(keyed.groupBy("n").agg(F.min(rank).alias("first"), F.first("fp").alias("fp"), F.first("c0").alias("c0"), F.first("c1").alias("c1")))
-    roots = link_components(links(distinct.drop("first"), NEAR_DISTANCE, ["c0", "c1"], NEAR_CHECK))
-    kept = distinct.join(roots, "n", "left").groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("first").alias("first"))
-    times = keyed.groupBy("doc_id", "digest").count()
+    distinct = cut(prints.groupBy("n").agg(F.min(rank).alias("first"), F.first("runs").alias("runs"), F.first("bands").alias("bands")))
+    roots = near_links(docs, distinct)
+    rooted = distinct.withColumn("root", F.col("n")) if roots is None else distinct.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    times = prints.groupBy("doc_id", "digest").count()
     kept = kept.join(times, F.col("first.doc_id").eqNullSafe(times["doc_id"]) & (F.col("first.digest") == times["digest"])).select(
         F.col("first.doc_id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"), (F.col("count") > 1).alias("_kept_often")
     ).distinct()

@@ -180,6 +180,51 @@ def test_one_near_copy_stays(spark, odd, none):
     assert simhash.drop_near_copies(none).collect() == []
 
 
+def runs_by_hand(t):
+    ws = text(t).lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))} if ws else set()
+
+
+def jaccard(a, b):
+    a, b = runs_by_hand(a), runs_by_hand(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, base, kind, share):
+    ws, n = base.split(), int(len(base.split()) * share)
+    if kind == "appended":
+        return " ".join(ws + words(rng, n).split())
+    if kind == "replaced":
+        at = rng.randrange(len(ws) - n)
+        return " ".join(ws[:at] + words(rng, n).split() + ws[at + n :])
+    for i in rng.sample(range(len(ws)), max(n // 5, 1)):
+        ws[i] = words(rng, 1)
+    return " ".join(ws)
+
+
+def pairs_by_kind(rng, kind, low, high, count):
+    """Pairs whose similarity, by brute force, lies in [low, high)."""
+    out = []
+    while len(out) < count:
+        base = words(rng, rng.randint(100, 400))
+        other = edited(rng, base, kind, rng.uniform(0.01, 0.5))
+        if low <= jaccard(base, other) < high:
+            out.append((base, other))
+    return out
+
+
+def kept_of(spark, texts):
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    return sorted(r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
+
+
+@pytest.mark.parametrize("kind", ["appended", "replaced", "scattered"])
+def test_near_copies_of_every_kind_are_found(spark, kind):
+    rng = random.Random(21)
+    pairs = [p for low in (0.8, 0.85, 0.9, 0.95) for p in pairs_by_kind(rng, kind, low, low + 0.05, 60)]
+    assert kept_of(spark, [t for p in pairs for t in p]) == list(range(0, 2 * len(pairs), 2))
+
+
 # --- decontamination --------------------------------------------------------
 
 
