@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -224,10 +225,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, size:
     )
 
 
-def cleaned(text: str, machine: SuffixAutomaton, min_words: int, max_coverage: float) -> str | None:
-    """Text without hit runs of ``min_words`` or more; None above the coverage."""
-    places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
-    spans, _ = machine.scan([text[a:b].translate(LOWER) for a, b in places])
+def without_spans(text: str, places: list[tuple[int, int]], spans: list[tuple[int, int]], min_words: int, max_coverage: float) -> str | None:
+    """Text without the hit runs (ordered, apart) of ``min_words`` or more; None above the coverage."""
     spans = [(a, b) for a, b in spans if b - a >= min_words]
     if not spans:
         return text
@@ -240,27 +239,72 @@ def cleaned(text: str, machine: SuffixAutomaton, min_words: int, max_coverage: f
     return "".join([*out, text[at:]])
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WORD.finditer(text.translate(LOWER))]
+
+
+def cleaned(text: str, machine: SuffixAutomaton, min_words: int, max_coverage: float) -> str | None:
+    """Text without hit runs of ``min_words`` or more; None above the coverage."""
+    places = word_places(text)
+    spans, _ = machine.scan([text[a:b].translate(LOWER) for a, b in places])
+    return without_spans(text, places, spans, min_words, max_coverage)
+
+
+def merged_spans(first: list[int], after: list[int]) -> list[tuple[int, int]]:
+    """Runs of several automatons as one automaton reports them: those that overlap or touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(zip(first, after, strict=True)):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _with_texts(batch: pa.RecordBatch, texts: list, new: list) -> pa.RecordBatch:
+    """``batch`` with new texts and their lengths, without rows whose text went."""
+    keep = pa.array([n is not None or t is None for n, t in zip(new, texts, strict=True)])
+    out = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(new, pa.string()))
+    at = batch.schema.get_field_index("n_chars")
+    if at >= 0:
+        lengths = [o if n == t else len(n or "") for n, t, o in zip(new, texts, batch.column(at).to_pylist(), strict=True)]
+        out = out.set_column(at, batch.schema.field(at), pa.array(lengths, batch.schema.field(at).type))
+    return out.filter(keep)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = 5, max_coverage: float = 0.5, size: int = AUTOMATON_WORDS) -> DataFrame:
     """``docs`` without benchmark passages; ``text`` and ``n_chars`` follow.
 
     Runs of ``min_words`` hit words or more are cut out of the text; a document
     whose runs cover more than ``max_coverage`` of its words is dropped. Rows
-    without such runs, null texts included, pass unchanged with all columns.
+    without such runs, null texts included, pass unchanged with all columns. A
+    benchmark of several automatons is passed one by one on the original texts;
+    their runs are merged per document before anything is cut or counted.
     """
-    for k, group in enumerate(shards(items, window, size)):
+    groups = shards(items, window, size)
+    group, more = next(groups), next(groups, None)
+    if more is None:
         held = docs.sparkSession.sparkContext.broadcast(group)
 
-        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             machine = _automaton(held.value, window)
             texts = batch.column("text").to_pylist()
-            new = [t and cleaned(t, machine, min_words, max_coverage) for t in texts]
-            keep = pa.array([n is not None or t is None for n, t in zip(new, texts, strict=True)])
-            out = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(new, pa.string()))
-            at = batch.schema.get_field_index("n_chars")
-            if at >= 0:
-                lengths = [o if n == t else len(n or "") for n, t, o in zip(new, texts, batch.column(at).to_pylist(), strict=True)]
-                out = out.set_column(at, batch.schema.field(at), pa.array(lengths, batch.schema.field(at).type))
-            return out.filter(keep)
-
-        docs = map_batches(docs if k == 0 else cut(docs), run, docs.schema)
-    return docs
+            return _with_texts(batch, texts, [t and cleaned(t, machine, min_words, max_coverage) for t in texts])
+
+        return map_batches(docs, run, docs.schema)
+    found = None
+    for g in chain([group, more], groups):
+        hit = cut(hit_spans(docs, g, window).filter("size(first) > 0").select("doc_id", "digest", "first", "after").dropDuplicates(["doc_id", "digest"]))
+        found = hit if found is None else found.unionByName(hit)
+    gather = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  one row per automaton
+    runs = found.groupBy("doc_id", "digest").agg(gather("first").alias("_first"), gather("after").alias("_after")).select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest"), "_first", "_after")
+    own = docs.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = own.join(runs, own["doc_id"].eqNullSafe(runs["_hit_id"]) & (own["_digest"] == runs["_hit_digest"]), "left").select(*[own[c] for c in docs.columns], "_first", "_after")
+
+    def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, first, after = (batch.column(c).to_pylist() for c in ("text", "_first", "_after"))
+        new = [without_spans(t, word_places(t), merged_spans(a, b), min_words, max_coverage) if t and a else t for t, a, b in zip(texts, first, after, strict=True)]
+        return _with_texts(batch.select(docs_columns), texts, new)
+
+    docs_columns = docs.columns
+    return map_batches(met, cut_out, docs.schema)

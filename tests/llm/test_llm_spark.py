@@ -254,6 +254,21 @@ def test_contamination_over_one_or_many_automatons(spark, odd, none, size):
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
 
 
+def test_decontaminate_over_many_automatons_equals_one(spark):
+    rng = random.Random(24)
+    vocabulary = [words(rng, 1) + str(i) for i in range(400)]
+    items, docs = [], []
+    for i in range(40):
+        ws = rng.sample(vocabulary, 30)
+        items += [(2 * i, " ".join(ws[:12])), (2 * i + 1, " ".join(ws[7:20]))]  # passages that overlap
+        rest = rng.sample(vocabulary, 80)
+        docs.append((2 * i, " ".join(rest[:30] + ws[:20] + rest[30:]), "en", "a", 1))  # 20 of 100 words
+        docs.append((2 * i + 1, " ".join(rest[:15] + ws[:20]), "en", "a", 1))  # 20 of 35 words: goes
+    docs, bench = spark.createDataFrame(docs + [(99, None, "en", "a", 3)], DOCS).repartition(4), spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench, size=n).collect()), key=str) for n in (decontaminate.AUTOMATON_WORDS, 600))
+    assert many == one and len(one) == 41
+
+
 # --- secrets ----------------------------------------------------------------
 
 
