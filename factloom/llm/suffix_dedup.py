@@ -92,8 +92,8 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with ``doc``, a number in the order of documents.
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) with ``doc``, a number in the order of documents: all rows, and one per document.
 
     It is doc_id itself where that is an integer, unique and never null.
     Otherwise equal rows are one document, and documents are numbered by
@@ -102,11 +102,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     integer = rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if integer and rows.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
-        return rows.withColumn("doc", F.col("doc_id").cast("bigint"))
+        numbered = rows.withColumn("doc", F.col("doc_id").cast("bigint"))
+        return numbered, numbered
     hashed = rows.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     order = hashed.select(F.lit(0).alias("all"), F.col("doc_id").isNotNull().alias("known"), "doc_id", "digest").distinct()
     seq = running_count(order, ["all"], ["known", "doc_id", "digest"], F.lit(1), "doc").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "doc")
-    return hashed.join(seq, hashed["doc_id"].eqNullSafe(seq["_id"]) & (hashed["digest"] == seq["_digest"])).select("doc_id", "text", "doc")
+    numbered = hashed.join(seq, hashed["doc_id"].eqNullSafe(seq["_id"]) & (hashed["digest"] == seq["_digest"])).select("doc_id", "text", "doc")
+    return numbered, numbered.dropDuplicates(["doc"])
 
 
 def repeated_anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -291,8 +293,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, wi
     are empty; texts shorter than ``length`` stay whole; rows that are equal in
     doc_id and text are one document and get the same result.
     """
-    rows = keyed(docs)
-    lists = repeated_windows(rows, length, block).groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("own"))
+    rows, apart = keyed(docs)
+    lists = repeated_windows(apart, length, block).groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("own"))
     met = packed_texts(rows).join(lists, "doc", "left").select("doc_id", "packed", F.col("own.first").alias("first"), F.col("own.windows").alias("windows"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

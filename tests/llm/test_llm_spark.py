@@ -106,6 +106,15 @@ def test_repeats_with_odd_rows(odd, none):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def test_a_repeated_row_keeps_its_first_passage(spark):
+    rng = random.Random(25)
+    passage = words(rng, 70)
+    rows = [(1, "start " + passage + " end")] * 3 + [(2, words(rng, 9) + passage[60:] + words(rng, 9)), (3, passage[:200] + "other " + words(rng, 30))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = removed_by_hand(rows)
+    assert sorted(tuple(r) for r in got) == sorted((k, *want[k]) for k, _ in rows) and want[1][1] == 0 < want[2][1]
+
+
 # --- SimHash ----------------------------------------------------------------
 
 
