@@ -234,6 +234,29 @@ def test_near_copies_of_every_kind_are_found(spark, kind):
     assert kept_of(spark, [t for p in pairs for t in p]) == list(range(0, 2 * len(pairs), 2))
 
 
+def test_pairs_below_the_similarity_both_stay(spark):
+    rng = random.Random(22)
+    pairs = [p for kind in ("appended", "replaced", "scattered") for low in (0.7, 0.75) for p in pairs_by_kind(rng, kind, low, low + 0.05, 60)]
+    assert kept_of(spark, [t for p in pairs for t in p]) == list(range(2 * len(pairs)))
+
+
+@pytest.mark.parametrize("rounds, pack", [(0, 3), (2, 3), (2, simhash.PACK)])
+def test_groups_follow_verified_pairs_alone(spark, monkeypatch, rounds, pack):
+    monkeypatch.setattr(simhash, "HEAD_ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "PACK", pack)
+    rng = random.Random(23)
+    texts = []
+    for _ in range(6):  # families around the similarity, chains included
+        texts.append(words(rng, 80))
+        texts += [edited(rng, rng.choice(texts[-3:]), rng.choice(["appended", "replaced", "scattered"]), rng.uniform(0.05, 0.25)) for _ in range(25)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert kept_of(spark, texts) == sorted(set(label)) and len(set(label)) < len(texts)
+
+
 # --- decontamination --------------------------------------------------------
 
 
