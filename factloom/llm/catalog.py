@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, langid, packing, piecewise, quality, secret_scan, simhash, suffix_dedup, token_counts, warc_zip
+from factloom.llm import centroids, decontaminate, langid, packing, phrases, pieces, piecewise, quality, secret_scan, simhash, suffix_dedup, token_counts, warc_zip
 from factloom.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,54 @@ def op10(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Rounds written out; a centroid is a list of integers, floors are exact."""
+    out = [f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+ WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, x FROM v ORDER BY h, x LIMIT {k}))"]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS near FROM (SELECT r, c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{i} c) GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT near.c AS c, j, sum(x[j]) AS s, count(*) AS n FROM v JOIN a{i} USING (r), (SELECT unnest(range(1, {dims + 1})) AS j) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS x FROM s{i} GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, near.c::INT AS cluster, near.d AS distance, (sum(near.d) OVER (PARTITION BY near.c))::BIGINT AS cluster_inertia, (sum(near.d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} ON c{rounds}.c = a.near.c"""
+
+
+@query("op11_centroids", op11_sql())
+def op11(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("checked")
+
+
+@query("op12_sentencepiece")
+def op12(spark, sf_dir):
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    decoded = pieces.decode_ids(encoded.select("doc_id", "ids"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+s AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM s GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, m - 1)) AS k FROM f WHERE m > 1)),
+valued AS (SELECT cuts.*, u.f AS l, v.f AS r, n, 1000 * a * n // (u.f * v.f) AS score FROM cuts JOIN t USING (lang) JOIN f u ON u.lang = cuts.lang AND u.phrase = x JOIN f v ON v.lang = cuts.lang AND v.phrase = y),
+lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.lang = c.lang AND x.m > c.m AND 100 * x.f >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
