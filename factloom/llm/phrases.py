@@ -23,6 +23,8 @@ empty table gives no rows. Only the columns named are read.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,9 +42,13 @@ SHARE, GROWTH = 0.125, 4.0
 TALLY = 1 << 18
 #: Words remembered with what is known of them.
 REMEMBERED = 1 << 19
-UPPER, BREAKS = bytes(range(65, 91)), b".,;:!?\x0b\x0c\r"
-FOLD = bytes.maketrans(UPPER + BREAKS + b"\t", UPPER.lower() + b"\n" * len(BREAKS) + b" ")
+UPPER, BREAKS = bytes(range(65, 91)), b",;:!?\n\x0b\x0c\r"
+#: A break is a full stop, which no word holds.
+STOP = b"."
+FOLD = bytes.maketrans(UPPER + BREAKS + b"\t", UPPER.lower() + STOP * len(BREAKS) + b" ")
 SEED = 42
+#: Places of start words with a frequent word behind them, in the bytes of word flags.
+STARTS = re.compile(b"\2(?=[\1\2])")
 
 
 class Bits:
@@ -92,7 +98,7 @@ def _tally(docs: DataFrame, count: Callable, rows: Callable, schema: str) -> Dat
     fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[str, dict] = {}
+        tallies: dict[str, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, tally in tallies.items():
@@ -108,7 +114,7 @@ def _tally(docs: DataFrame, count: Callable, rows: Callable, schema: str) -> Dat
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    count(lang, text.encode().translate(FOLD), tallies.setdefault(lang, {}))
+                    count(lang, text.encode().translate(FOLD), tallies.setdefault(lang, Counter()))
                     if len(tallies[lang]) > TALLY:
                         yield from out()
         yield from out()
@@ -116,10 +122,13 @@ def _tally(docs: DataFrame, count: Callable, rows: Callable, schema: str) -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def _count_words(lang: str, data: bytes, tally: dict) -> None:
-    get = tally.get
-    for w in data.split():
-        tally[w] = get(w, 0) + 1
+def _count_words(lang: str, data: bytes, tally: Counter) -> None:
+    tally.update(data.replace(STOP, b" ").split())
+
+
+def _words(data: bytes) -> list[bytes]:
+    """Words of a text, with a stop between pieces."""
+    return data.replace(STOP, b" . ").split()
 
 
 def _items(tally: dict) -> list[tuple]:
@@ -147,7 +156,7 @@ class Scan:
         """Known words (0: rare, 1: frequent, 2: frequent start) and phrases of a language; None if it is settled."""
         if lang not in self.langs:
             raw, head = lang.encode(), lang.encode() + b"\0"
-            word = Known(lambda w: (2 if self.start.has(head + w) else 1) if self.wide.has(head + w) else 0)
+            word = Known(lambda w: (2 if self.start.has(head + w) else 1) if w != STOP and self.wide.has(head + w) else 0)
             phrase = Known(lambda p: self.inner.has(head + p) | 2 * self.inner.has(raw + b"\1" + p))
             self.langs[lang] = (word, phrase) if self.start.has(raw + b"\2") else None
         return self.langs[lang]
@@ -160,16 +169,9 @@ def _count_pairs(scan: Scan) -> Callable:
         known = scan.of(lang)
         if known is None:
             return
-        flag, get = known[0].__getitem__, tally.get
-        for piece in data.split(b"\n"):
-            words = piece.split()
-            if len(words) > 1:
-                flags = list(map(flag, words))
-                if 2 in flags:
-                    for i in range(len(words) - 1):
-                        if flags[i] == 2 and flags[i + 1]:
-                            pair = words[i] + b" " + words[i + 1]
-                            tally[pair] = get(pair, 0) + 1
+        words = _words(data)
+        flags = bytes(map(known[0].__getitem__, words))
+        tally.update([words[i := at.start()] + b" " + words[i + 1] for at in STARTS.finditer(flags)])
 
     return count
 
@@ -182,19 +184,15 @@ def _count_windows(scan: Scan) -> Callable:
         if known is None:
             return
         (word, phrase), get, longest = known, tally.get, scan.longest
-        for piece in data.split(b"\n"):
-            words = piece.split()
-            n = len(words)
-            if n > 1:
-                flags = list(map(word.__getitem__, words))
-                if 2 in flags:
-                    for i in range(n - 1):
-                        if flags[i] == 2 and flags[i + 1] and phrase[words[i] + b" " + words[i + 1]] & 1:
-                            end = i + 2
-                            while end < n and end < i + longest and flags[end]:
-                                end += 1
-                            key = (words[i - 1] if i else b"") + b"\n" + b" ".join(words[i:end])
-                            tally[key] = get(key, 0) + 1
+        words = _words(data)
+        flags = bytes(map(word.__getitem__, words)) + b"\0"
+        for at in STARTS.finditer(flags):
+            i = at.start()
+            if phrase[words[i] + b" " + words[i + 1]] & 1:
+                end = flags.find(0, i + 2, i + longest)
+                left = words[i - 1] if i else STOP
+                key = (b"" if left == STOP else left) + b"\n" + b" ".join(words[i : end if end >= 0 else i + longest])
+                tally[key] = get(key, 0) + 1
 
     return count
 
@@ -232,25 +230,21 @@ def _count_parts(scan: Scan) -> Callable:
         if known is None:
             return
         (word, phrase), get, longest = known, tally.get, scan.longest
-        for piece in data.split(b"\n"):
-            words = piece.split()
-            n = len(words)
-            if n > 1:
-                flags = list(map(word.__getitem__, words))
-                if 2 in flags:
-                    for i in range(n - 1):
-                        if flags[i] == 2 and flags[i + 1]:
-                            part = words[i] + b" " + words[i + 1]
-                            wanted = phrase[part]
-                            if wanted & 1:
-                                tally[part] = get(part, 0) + 1
-                            if wanted & 2:
-                                for end in range(i + 3, min(n, i + longest - 1) + 1):
-                                    if not flags[end - 1]:
-                                        break
-                                    part = part + b" " + words[end - 1]
-                                    if phrase[part] & 1:
-                                        tally[part] = get(part, 0) + 1
+        words = _words(data)
+        flags = bytes(map(word.__getitem__, words)) + b"\0"
+        for at in STARTS.finditer(flags):
+            i = at.start()
+            part = words[i] + b" " + words[i + 1]
+            wanted = phrase[part]
+            if wanted & 1:
+                tally[part] = get(part, 0) + 1
+            if wanted & 2:
+                end = i + 2
+                while flags[end] and end < i + longest - 1:
+                    part = part + b" " + words[end]
+                    end += 1
+                    if phrase[part] & 1:
+                        tally[part] = get(part, 0) + 1
 
     return count
 
@@ -289,7 +283,7 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", top: int
         frontier = frequent.join(open_langs.drop("n"), "lang").filter("f > below AND f <= reach")
         grown = _grow(docs, wide, frontier, open_langs, least, longest)
         known = known.unionByName(grown.select("lang", "phrase", F.col("a").alias("f")))
-        fresh, parts = _settle(docs, wide, grown.join(limits, "lang"), known, longest)
+        fresh, parts = _settle(docs, wide, grown.join(limits, "lang"), known, longest, top)
         known = known.unionByName(parts)
         scored = fresh if scored is None else scored.unionByName(fresh)
         ranked = _ranked(scored, top)
@@ -344,15 +338,18 @@ def _cuts(phrases: DataFrame) -> DataFrame:
     return cuts.withColumn("first", F.array_join(F.slice(words, F.lit(1), F.col("k")), " ")).withColumn("rest", F.array_join(F.slice(words, F.col("k") + 1, F.col("m") - F.col("k")), " "))
 
 
-def _settle(docs: DataFrame, wide: Bits, grown: DataFrame, known: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+def _settle(docs: DataFrame, wide: Bits, grown: DataFrame, known: DataFrame, longest: int, ranks: int) -> tuple[DataFrame, DataFrame]:
     """Scores of the phrases that may still rank, and the parts counted for them."""
     spark = docs.sparkSession
     lefts = known.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     rights = known.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
     cuts = settled(_cuts(grown.filter("NOT inside")).join(lefts, ["lang", "first"]).join(rights, ["lang", "rest"], "left"))
     top = F.call_function("div", F.col("n").cast("decimal(18,0)") * F.lit(1000).cast("decimal(4,0)"), F.col("head_f").cast("decimal(18,0)"))
-    bounds = cuts.groupBy("lang", "phrase").agg(F.least(F.min(_score("a", "n", "l", "r")), F.min(top)).alias("bound"))
-    cuts = settled(cuts.join(bounds, ["lang", "phrase"]).filter("floor IS NULL OR bound >= floor"))
+    bounds = settled(cuts.groupBy("lang", "phrase", "a", "floor").agg(F.least(F.min(_score("a", "n", "l", "r")), F.min(top)).alias("score"), F.count("r").alias("seen"), F.count(F.lit(1)).alias("all")))
+    # Phrases whose cuts are all known have their score, which may already raise the floor.
+    raised = _ranked(bounds.filter("seen = all"), ranks).filter(F.col("rank") == ranks).select("lang", F.col("score").alias("raised"))
+    may = bounds.join(raised, "lang", "left").filter("score >= coalesce(greatest(floor, raised), 0)")
+    cuts = settled(cuts.join(may.select("lang", "phrase"), ["lang", "phrase"]))
     wanted = settled(cuts.filter("r IS NULL").select("lang", F.col("rest").alias("phrase")).distinct())
     heads = wanted.select("lang", F.substring_index("phrase", " ", 1).alias("head")).distinct()
     start = bit_map(heads.select(_key("lang", "head")).union(_open_marks(wanted.select("lang").distinct())))
