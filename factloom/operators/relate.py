@@ -1,7 +1,13 @@
 """Relation inference between memories of one entity, for all entities at once.
 
-A new memory is compared with the newest memories that are live and valid when
-it arrives (the reference window, ``limit`` counting the new one). Liveness
+A memory is retired by the first later one that updates it while it is valid.
+Nothing else decides that, so every memory looks ahead on its own, in ranges of
+positions that grow fourfold, through an inverted index over the memories that
+can update at all; it leaves as soon as a range holds its superseder. Lifetimes
+are then known, and the other edges are pairs within them.
+
+With ``limit`` a new memory is compared with the newest memories only that are
+live and valid when it arrives (``limit`` counting the new one). Liveness then
 depends on earlier supersessions. The job starts from the arrival window, in
 which every supersession found is final, and then only revisits memories whose
 window holds retired ones, until no new supersession appears. Believing too
@@ -17,11 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
-from factloom.operators.ordering import arrival_sequence, newest_alive
+from factloom.operators.ordering import arrival_sequence, newest_alive, running_count
+from factloom.operators.overlap import Overlaps, contained_pairs
 from factloom.operators.scans import top_per
 from factloom.session import cut
 
 BUCKET = 32
+#: Positions a memory first looks ahead, and how much farther each next range reaches.
+AHEAD, GROWTH = 64, 4
+#: Positions of a range of the index when all of a lifetime is asked for.
+RANGE = 4096
 _SIDE = ["codes", "subjects", "singles", "pairs", "template", "fill", "units", "values", "future", "completion", "change", "negation", "body"]
 
 
@@ -118,12 +129,12 @@ def listed_pairs(features: DataFrame, pairs: DataFrame, columns: list[str]) -> D
 class Relations:
     """Result tables of one inference run.
 
-    Supersession is known when the rounds end; the final candidate pairs are
-    written on first use, by edges and pending conflicts alike.
+    Supersession is known when the rounds end; edges and pending conflicts are
+    worked out on first use.
     """
 
-    def __init__(self, features: DataFrame, found: DataFrame, judged: DataFrame, confirm: bool):
-        self.features, self._found, self._judged, self._confirm = features, found, judged, confirm
+    def __init__(self, features: DataFrame, found: DataFrame):
+        self.features, self._found = features, found
 
     @cached_property
     def superseded(self) -> DataFrame:
@@ -140,24 +151,18 @@ class Relations:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        """Every final candidate pair with its class."""
-        aside = F.lit(False)
-        if self._confirm:
-            aside = (F.col("relation") == "UPDATES") & X.requires_confirmation("n", "o")
-        return cut(self._judged.select(
-            "entity_id", "n_seq", "n_id", "n_created_at", "o_seq", "o_id", "relation", F.size("shared").alias("shared_bigrams"), "overlap",
-            aside.alias("aside"), X.impact("n", "o").alias("impact"),
-        ))
+        """Every final candidate pair with its class that is an extension or was set aside."""
+        raise NotImplementedError
+
+    @cached_property
+    def derives(self) -> DataFrame:
+        raise NotImplementedError
 
     @cached_property
     def extends(self) -> DataFrame:
         rows = self.candidates.filter("relation = 'EXTENDS'")
         return rows.select("entity_id", F.col("n_id").alias("from_id"), F.col("o_id").alias("to_id"), F.lit("EXTENDS").alias("rel_type"), F.col("n_created_at").alias("created_at"))
 
-    @cached_property
-    def derives(self) -> DataFrame:
-        return _derives(self._judged)
-
     @cached_property
     def edges(self) -> DataFrame:
         updates = self._replaced.select(
@@ -168,11 +173,80 @@ class Relations:
     @cached_property
     def pending(self) -> DataFrame:
         """Updates set aside for confirmation."""
-        return self.candidates.filter("aside").select(
+        return self._aside.select(
             "entity_id", F.sha2(F.concat_ws("\x1f", "entity_id", "n_id", "o_id"), 256).alias("conflict_id"),
             F.col("n_id").alias("new_id"), F.col("o_id").alias("old_id"), "impact",
         )
 
+    @property
+    def _aside(self) -> DataFrame:
+        return self.candidates.filter("aside")
+
+
+class WindowRelations(Relations):
+    """Results of a run with a window: the final candidate pairs are judged again."""
+
+    def __init__(self, features: DataFrame, found: DataFrame, judged: DataFrame, confirm: bool):
+        super().__init__(features, found)
+        self._judged, self._confirm = judged, confirm
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        aside = F.lit(False)
+        if self._confirm:
+            aside = (F.col("relation") == "UPDATES") & X.requires_confirmation("n", "o")
+        return cut(self._judged.select(
+            "entity_id", "n_seq", "n_id", "n_created_at", "o_seq", "o_id", "relation", F.size("shared").alias("shared_bigrams"), "overlap",
+            aside.alias("aside"), X.impact("n", "o").alias("impact"),
+        ))
+
+    @cached_property
+    def derives(self) -> DataFrame:
+        return _derives(self._judged)
+
+
+class WholeRelations(Relations):
+    """Results of a run without a window; ``ends`` has the last position each memory is a candidate at."""
+
+    def __init__(self, features: DataFrame, found: DataFrame, index: Overlaps, signals: DataFrame, ends: DataFrame):
+        super().__init__(features, found)
+        self._index, self._signals, self._ends = index, signals, ends
+
+    @property
+    def _fresh(self) -> DataFrame:
+        return self._signals.filter("fresh").select("entity_id", "seq")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        asks = _ranges(self._ends.withColumnRenamed("end", "upto"), self._signals, F.lit(0), None)
+        found = judge(self._index.pairs(asks, self._fresh, RANGE), self._signals, ["id", "created_at"])
+        return cut(found.filter("relation = 'EXTENDS'").select("entity_id", "n_seq", "n_id", "n_created_at", "o_seq", "o_id", "relation"))
+
+    @property
+    def _aside(self) -> DataFrame:
+        """Set aside while the older memory was still a candidate."""
+        within = self._ends.select("entity_id", F.col("seq").alias("o_seq"), "end")
+        names = self.features.select("entity_id", "seq", "id")
+        rows = self._found.filter("aside").join(within, ["entity_id", "o_seq"]).filter("end IS NULL OR n_seq <= end")
+        rows = rows.join(names.select("entity_id", F.col("seq").alias("n_seq"), F.col("id").alias("n_id")), ["entity_id", "n_seq"])
+        return rows.join(names.select("entity_id", F.col("seq").alias("o_seq"), F.col("id").alias("o_id")), ["entity_id", "o_seq"])
+
+    @cached_property
+    def derives(self) -> DataFrame:
+        """Sources by bigram: the three newest live holders of each bigram name the three newest of all."""
+        held = self._index.postings.filter("df > 1").select("entity_id", "seq", "code", F.concat_ws("\x1f", "entity_id", F.col("code").cast("string")).alias("key"))
+        alive = held.join(self._ends, ["entity_id", "seq"]).select(F.col("key").alias("entity_id"), "seq", "end")
+        probes = cut(held.join(self._fresh, ["entity_id", "seq"], "left_semi"))
+        hits = newest_alive(alive, probes.select(F.col("key").alias("entity_id"), "seq"), 3).withColumnRenamed("entity_id", "key")
+        met = probes.withColumnRenamed("seq", "n_seq").join(hits, ["key", "n_seq"])
+        olds = top_per(met.select("entity_id", "n_seq", "o_seq").distinct(), ["entity_id", "n_seq"], [F.desc("o_seq")], 3)
+        names = self.features.select("entity_id", "seq", "id")
+        olds = olds.join(names.select("entity_id", F.col("seq").alias("o_seq"), F.col("id").alias("to_id")), ["entity_id", "o_seq"])
+        covered = met.groupBy("entity_id", "n_seq").agg(F.count_distinct("code").alias("covered"), F.count_distinct("o_seq").alias("olds"))
+        new = self._signals.select("entity_id", F.col("seq").alias("n_seq"), F.col("id").alias("from_id"), "size", "created_at")
+        rows = covered.filter("olds >= 2").join(new, ["entity_id", "n_seq"]).filter("covered <> size")
+        return rows.join(olds, ["entity_id", "n_seq"]).select("entity_id", "from_id", "to_id", F.lit("DERIVES_FROM").alias("rel_type"), "created_at")
+
 
 _CONFLICT = ["internal_type", "memory_type", "confidence"]
 
@@ -185,14 +259,72 @@ def prepare_features(memories: DataFrame) -> DataFrame:
     return cut(text_features(base).drop("content").join(seq, ["entity_id", "id"]))
 
 
-def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = False, arrivals: DataFrame | None = None) -> Relations:
+def _signals(features: DataFrame) -> DataFrame:
+    """What the rules read of a memory besides its bigrams, in small columns."""
+    digest = lambda c: F.sha2(c, 256)
+    return cut(features.select(
+        "entity_id", "seq", "id", "created_at", "until", "fresh", *_CONFLICT, F.size("codes").alias("size"), "units", "values", "future", "completion", "change", "negation",
+        digest("template").alias("template"), F.when(F.size("fill") > 0, digest(F.to_json("fill"))).alias("fill"), digest("body").alias("body"),
+    ))
+
+
+def judge(pairs: DataFrame, signals: DataFrame, keep: list[str]) -> DataFrame:
+    """Class of overlapping pairs (n_seq, o_seq, shared, free) by what the index counted."""
+    used = ["size", "units", "values", "future", "completion", "change", "negation", "template", "fill", "body", *keep]
+    side = lambda p: _sided(signals, p, ["seq", *used])
+    both = pairs.join(side("n"), ["entity_id", "n_seq"]).join(side("o"), ["entity_id", "o_seq"])
+    temporal = F.col("o_future") & F.col("n_completion")
+    numeric = F.size(F.array_intersect("n_units", "o_units")) > F.size(F.array_intersect("n_values", "o_values"))
+    structure = (F.col("n_template") == F.col("o_template")) & (F.col("n_fill") != F.col("o_fill"))
+    contradiction = F.col("n_change") | (F.col("n_negation") & (F.col("free") >= 2))
+    updates = F.coalesce(temporal, F.lit(False)) | F.coalesce(numeric, F.lit(False)) | F.coalesce(structure, F.lit(False)) | F.coalesce(contradiction, F.lit(False))
+    relation = (
+        F.when(F.col("n_body") == F.col("o_body"), "NONE").when(updates, "UPDATES")
+        .when((F.col("shared") > 0) & (F.col("shared") < F.col("n_size")), "EXTENDS").otherwise("NONE")
+    )
+    return both.withColumn("relation", relation)
+
+
+def _ranges(rows: DataFrame, signals: DataFrame, after: Column, length: int | None) -> DataFrame:
+    """Positions seq+after+1.. of each row (entity_id, seq, upto), as far as it is valid and the entity goes."""
+    tops = signals.groupBy("entity_id").agg(F.max("seq").alias("_top"))
+    last = F.least(F.coalesce("upto", "_top"), F.col("_top"))
+    if length is not None:
+        last = F.least(last, F.col("seq") + after + length)
+    return rows.join(tops, "entity_id").select("entity_id", "seq", "upto", (F.col("seq") + after + 1).alias("first"), last.alias("last")).filter("first <= last")
+
+
+def _look_ahead(features: DataFrame, confirm: bool) -> WholeRelations:
+    """First superseder of every memory, in ranges of positions that grow fourfold."""
+    index, signals = Overlaps(features), _signals(features)
+    can_update = F.coalesce(F.col("completion") | F.col("change") | F.col("negation") | (F.size("units") > 0) | F.col("template").isNotNull(), F.lit(False))
+    updaters = cut(signals.filter(F.col("fresh") & can_update).select("entity_id", "seq"))
+    open_rows = signals.select("entity_id", "seq", F.col("until").alias("upto"))
+    found, after, length = None, 0, AHEAD
+    while True:
+        asks = cut(_ranges(open_rows, signals, F.lit(after), length))
+        if asks.isEmpty():
+            break
+        hits = judge(index.pairs(asks, updaters, length), signals, _CONFLICT).filter("relation = 'UPDATES'")
+        aside = X.requires_confirmation("n", "o") if confirm else F.lit(False)
+        hits = cut(hits.select("entity_id", "n_seq", "o_seq", aside.alias("aside"), X.impact("n", "o").alias("impact")))
+        found = hits if found is None else found.unionByName(hits)
+        retired = hits.filter("NOT aside").select("entity_id", F.col("o_seq").alias("seq")).distinct()
+        open_rows = asks.select("entity_id", "seq", "upto").join(retired, ["entity_id", "seq"], "left_anti")
+        after, length = after + length, length * GROWTH
+    if found is None:
+        found = features.sparkSession.createDataFrame([], f"entity_id {features.schema['entity_id'].dataType.simpleString()}, n_seq bigint, o_seq bigint, aside boolean, impact double")
+    return WholeRelations(features, found, index, signals, cut(_ends(signals.select("entity_id", "seq", "until"), found)))
+
+
+def infer(memories: DataFrame, limit: int | None = None, confirm_high_impact: bool = False, arrivals: DataFrame | None = None) -> Relations:
     """Infer UPDATES, EXTENDS and DERIVES_FROM among the live memories.
 
-    With ``confirm_high_impact`` updates at stake are set aside as pending
+    ``limit`` compares a memory with the newest live ones only; without it, with
+    all of them. With ``confirm_high_impact`` updates at stake are set aside as pending
     conflicts and supersede nothing. ``arrivals`` (entity_id, id) limits the
     run to newly stored memories, which are compared with all older ones.
     """
-    window = limit - 1
     features = prepare_features(memories)
     if arrivals is None:
         features = features.withColumn("fresh", F.lit(True))
@@ -200,6 +332,9 @@ def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = Fals
         marked = arrivals.select("entity_id", "id").distinct().withColumn("_new", F.lit(True))
         features = features.join(marked, ["entity_id", "id"], "left").withColumn("fresh", F.coalesce("_new", F.lit(False))).drop("_new")
         features = cut(features)
+    if limit is None:
+        return _look_ahead(features, confirm_high_impact)
+    window = limit - 1
     fresh_seq = features.filter("fresh").select("entity_id", "seq")
     columns = _SIDE + _CONFLICT + ["until", "created_at", "fresh"]
 
@@ -237,7 +372,7 @@ def infer(memories: DataFrame, limit: int = 20, confirm_high_impact: bool = Fals
     near = arrival_pairs(aged, window, final_columns).filter(alive)
     moved = listed_pairs(aged, reached.filter(F.col("o_seq") < F.col("n_seq") - window), final_columns)
     judged = classify(near.unionByName(moved, allowMissingColumns=True).filter("n_fresh"))
-    return Relations(features, found, judged, confirm_high_impact)
+    return WindowRelations(features, found, judged, confirm_high_impact)
 
 
 def _ends(life: DataFrame, found: DataFrame) -> DataFrame:
@@ -327,8 +462,88 @@ def _valid_old() -> Column:
     return F.col("o_until").isNull() | (F.col("n_seq") <= F.col("o_until"))
 
 
-def duplicate_skips(memories: DataFrame, window: int = 30, threshold: float = 0.95) -> DataFrame:
-    """New memories not stored: equal to, or almost contained in, a kept one."""
+def _possible_leaders(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """Rows (entity_id, seq, until, key) that may lead at all.
+
+    After a copy of a text, a leader that matches the text is there: the copy or
+    the one it follows. A later copy can only lead if a row that matches it has
+    expired in between, so of the copies between two such expiries the first
+    one is enough, however many there are.
+    """
+    gone = rows.filter("until IS NOT NULL").select("entity_id", F.col("key").alias("o_key"), F.col("until").alias("at")).distinct()
+    ends = matches.join(gone, ["entity_id", "o_key"]).select("entity_id", F.col("n_key").alias("key"), "at").distinct()
+    copies = rows.select("entity_id", "key", F.col("seq").alias("at"), F.lit(0).alias("end"))
+    counted = running_count(copies.unionByName(ends.withColumn("end", F.lit(1))), ["entity_id", "key"], ["at", "end"], F.col("end"), "epoch")
+    first = counted.filter("end = 0").groupBy("entity_id", "key", "epoch").agg(F.min("at").alias("seq")).select("entity_id", "seq")
+    return rows.join(first, ["entity_id", "seq"], "left_semi")
+
+
+def _leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, seq) of the rows that lead: no earlier row that they match leads.
+
+    ``edges`` (entity_id, n_seq, o_seq) point to earlier rows. A round settles
+    rows without an open edge, and whole chains at once: a row with one open edge
+    is the opposite of the row it points to, and pointers double along such rows.
+    """
+    leaders = None
+    open_rows, edges = cut(nodes.select("entity_id", "seq")), cut(edges.select("entity_id", "n_seq", "o_seq"))
+    while not open_rows.isEmpty():
+        free = open_rows.join(edges.select("entity_id", F.col("n_seq").alias("seq")), ["entity_id", "seq"], "left_anti")
+        single = edges.groupBy("entity_id", "n_seq").agg(F.count(F.lit(1)).alias("n"), F.min("o_seq").alias("to")).filter("n = 1")
+        pointers = cut(single.select("entity_id", "n_seq", "to", F.lit(True).alias("odd")))
+        while True:
+            ahead = pointers.select("entity_id", F.col("n_seq").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+            moved = cut(pointers.join(ahead, ["entity_id", "to"], "left"))
+            if moved.filter("next IS NOT NULL").isEmpty():
+                break
+            pointers = moved.select("entity_id", "n_seq", F.coalesce("next", "to").alias("to"), F.when(F.col("next").isNotNull(), F.col("odd") != F.col("more")).otherwise(F.col("odd")).alias("odd"))
+        free = cut(free)
+        chained = pointers.join(free.select("entity_id", F.col("seq").alias("to")), ["entity_id", "to"], "left_semi")
+        leading = cut(free.unionByName(chained.filter("NOT odd").select("entity_id", F.col("n_seq").alias("seq"))))
+        touched = edges.join(leading.select("entity_id", F.col("seq").alias("o_seq")), ["entity_id", "o_seq"], "left_semi").select("entity_id", F.col("n_seq").alias("seq"))
+        following = cut(touched.unionByName(chained.filter("odd").select("entity_id", F.col("n_seq").alias("seq"))).distinct())
+        leaders = leading if leaders is None else leaders.unionByName(leading)
+        settled = leading.unionByName(following)
+        open_rows = cut(open_rows.join(settled, ["entity_id", "seq"], "left_anti"))
+        edges = edges.join(open_rows.withColumnRenamed("seq", "n_seq"), ["entity_id", "n_seq"], "left_semi")
+        edges = cut(edges.join(open_rows.withColumnRenamed("seq", "o_seq"), ["entity_id", "o_seq"], "left_semi"))
+    return open_rows if leaders is None else leaders
+
+
+def _followed(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """Followers with every leader that matches them and is valid: (entity_id, n_seq, n_id, o_seq, o_id, ratio).
+
+    ``rows`` has (entity_id, seq, id, until, key), ``matches`` (entity_id,
+    n_key, o_key, ratio), a text's match with itself included.
+    """
+    possible = cut(_possible_leaders(rows, matches))
+    old = lambda df: df.select("entity_id", F.col("key").alias("o_key"), F.col("seq").alias("o_seq"), F.col("id").alias("o_id"), F.col("until").alias("o_until"))
+    new = lambda df: df.select("entity_id", F.col("key").alias("n_key"), F.col("seq").alias("n_seq"), F.col("id").alias("n_id"))
+    near = (F.col("o_seq") < F.col("n_seq")) & _valid_old()
+    edges = new(possible).join(matches, ["entity_id", "n_key"]).join(old(possible), ["entity_id", "o_key"]).filter(near)
+    leading = _leaders(possible, edges)
+    leaders = possible.join(leading, ["entity_id", "seq"], "left_semi")
+    by_text = cut(matches.join(old(leaders), ["entity_id", "o_key"]))
+    rest = new(rows.join(leading, ["entity_id", "seq"], "left_anti"))
+    return rest.join(by_text, ["entity_id", "n_key"]).filter(near).select("entity_id", "n_seq", "n_id", "o_seq", "o_id", "ratio")
+
+
+def _texts(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the digest of their text, and one row per distinct text."""
+    keyed = features.withColumn("key", F.sha2("body", 256)).filter("key IS NOT NULL")
+    first = [F.first(c).alias(c) for c in ("codes", "subjects", "singles", "pairs")]
+    return cut(keyed.select("entity_id", "seq", "id", "until", "key")), cut(keyed.groupBy("entity_id", "key").agg(*first))
+
+
+def _itself(texts: DataFrame) -> DataFrame:
+    return texts.select("entity_id", F.col("key").alias("n_key"), F.col("key").alias("o_key"), F.lit(1.0).alias("ratio"))
+
+
+def duplicate_skips(memories: DataFrame, window: int | None = None, threshold: float = 0.95) -> DataFrame:
+    """New memories not stored: equal to, or almost contained in, a kept one.
+
+    ``window`` compares with the newest kept ones only; without it, with all.
+    """
     features = prepare_features(memories)
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -336,16 +551,22 @@ def duplicate_skips(memories: DataFrame, window: int = 30, threshold: float = 0.
         hit = _valid_old() & (same | (_overlap_ratio() > threshold))
         return pairs.filter(hit).select("entity_id", "n_seq", "o_seq", "n_id", "o_id")
 
-    _, hits = _leader_rounds(features, window, ["codes", "body", "until"], matched)
+    if window is None:
+        rows, texts = _texts(features)
+        close = contained_pairs(texts, threshold).filter(F.col("ratio") > threshold)
+        hits = _followed(rows, cut(close.unionByName(_itself(texts))))
+    else:
+        _, hits = _leader_rounds(features, window, ["codes", "body", "until"], matched)
     blank = features.filter("body = ''").select("entity_id", "id").withColumn("kept_id", F.lit(None).cast("string"))
     skipped = hits.groupBy("entity_id", F.col("n_id").alias("id")).agg(F.max_by("o_id", "o_seq").alias("kept_id"))
     return skipped.unionByName(blank.join(skipped, ["entity_id", "id"], "left_anti"))
 
 
-def strengthen_preferences(memories: DataFrame, window: int = 50, threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def strengthen_preferences(memories: DataFrame, window: int | None = None, threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Repeated preferences retired into the closest earlier one, which gains trust.
 
     Returns (retired: id, replaced_by, overlap) and (boosted: id, confidence).
+    ``window`` counts the memory itself; without it, all earlier ones are compared.
     """
     features = prepare_features(memories)
 
@@ -354,7 +575,12 @@ def strengthen_preferences(memories: DataFrame, window: int = 50, threshold: flo
         scored = pairs.filter(both & _valid_old()).withColumn("overlap", _overlap_ratio())
         return scored.filter(F.col("overlap") >= threshold).select("entity_id", "n_seq", "o_seq", "n_id", "o_id", "overlap")
 
-    _, hits = _leader_rounds(features, window - 1, ["codes", "memory_type", "until"], matched)
+    if window is None:
+        rows, texts = _texts(features.filter("memory_type = 'preference'"))
+        close = contained_pairs(texts, threshold)
+        hits = _followed(rows, cut(close.unionByName(_itself(texts.filter(F.size("codes") > 0))))).withColumnRenamed("ratio", "overlap")
+    else:
+        _, hits = _leader_rounds(features, window - 1, ["codes", "memory_type", "until"], matched)
     best = F.max_by(F.struct("o_id", "overlap"), F.struct("overlap", "o_seq"))
     retired = hits.groupBy("entity_id", F.col("n_id").alias("id")).agg(best.alias("_b")).select(
         "entity_id", "id", F.col("_b.o_id").alias("replaced_by"), F.col("_b.overlap").alias("overlap")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.operators import relate
+from factloom.operators.overlap import Overlaps
 from factloom.plans.registry import query
 from factloom.sources import seed
 from factloom.sources.seed import SQL_STMT
@@ -62,7 +63,7 @@ u AS (SELECT f.entity_id, f.seq, coalesce(x.olds, []::bigint[]) AS olds,
 ent AS (SELECT entity_id, max(seq) AS n, list(olds ORDER BY seq) AS olds, list(until ORDER BY seq) AS untils FROM u GROUP BY 1),
 rec AS (SELECT entity_id, 0::bigint AS i, []::bigint[] AS live, []::bigint[] AS cand FROM ent
  UNION ALL SELECT entity_id, i + 1, list_append(list_filter(live, lambda x: NOT (list_contains(c, x) AND list_contains(olds[i + 1], x))), i + 1), c
- FROM (SELECT r.*, e.olds, list_slice(list_filter(r.live, lambda x: e.untils[x] >= r.i + 1), -19, -1) AS c FROM rec r JOIN ent e USING (entity_id) WHERE r.i < e.n)),
+ FROM (SELECT r.*, e.olds, list_filter(r.live, lambda x: e.untils[x] >= r.i + 1) AS c FROM rec r JOIN ent e USING (entity_id) WHERE r.i < e.n)),
 cand AS (SELECT p.* FROM (SELECT entity_id, i AS n_seq, unnest(cand) AS o_seq FROM rec) k JOIN p USING (entity_id, n_seq, o_seq)) """
 
 
@@ -78,10 +79,17 @@ def _pair_rows(spark, d, window: int):
     return relate.classify(relate.arrival_pairs(features, window, relate._SIDE + relate._CONFLICT))
 
 
-@query("j2_a7_candidate_pairs", f"WITH {SQL_F} SELECT n_id, o_id, len(sh)::bigint AS shared_bigrams, ov AS overlap FROM ({sql_pairs(' AND b.seq >= a.seq - 19')}) WHERE ov")
+@query("j2_a7_candidate_pairs", f"WITH {SQL_F} SELECT n_id, o_id, len(sh)::bigint AS shared_bigrams, ov AS overlap FROM ({sql_pairs('')}) WHERE ov")
 def j2(spark, d):
-    """Arrival pairs that share bigrams or a subject."""
-    return _pair_rows(spark, d, 19).filter("overlap").select("n_id", "o_id", F.size("shared").cast("bigint").alias("shared_bigrams"), "overlap")
+    """All pairs of an entity that share bigrams or a subject."""
+    features = relate.prepare_features(_statements(spark, d))
+    names = features.select("entity_id", "seq", "id")
+    tops = names.groupBy("entity_id").agg(F.max("seq").alias("last"))
+    asks = names.join(tops, "entity_id").select("entity_id", "seq", (F.col("seq") + 1).alias("first"), "last")
+    pairs = Overlaps(features).pairs(asks, None, relate.RANGE)
+    pairs = pairs.join(names.select("entity_id", F.col("seq").alias("n_seq"), F.col("id").alias("n_id")), ["entity_id", "n_seq"])
+    pairs = pairs.join(names.select("entity_id", F.col("seq").alias("o_seq"), F.col("id").alias("o_id")), ["entity_id", "o_seq"])
+    return pairs.select("n_id", "o_id", F.col("shared").alias("shared_bigrams"), F.lit(True).alias("overlap"))
 
 
 @query("g3_pair_classes", f"WITH {SQL_F} SELECT n_id, o_id, relation FROM ({sql_pairs(' AND b.seq >= a.seq - 19')})")
@@ -155,7 +163,7 @@ def g8e(spark, d):
     return _resolved(spark, d)[2]
 
 
-def sql_leaders(source: str, window: int, match: str, typed: str = "true") -> str:
+def sql_leaders(source: str, match: str, typed: str = "true") -> str:
     """One-by-one replay of leaders and followers; ``match`` reads n, o, ratio."""
     return f"""WITH RECURSIVE src AS ({source}), f0 AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at, id) AS seq,
   string_split(regexp_replace(content, '\\s+', '', 'g'), '') AS c, trim(content, E' \\n\\t\\r') AS body FROM src),
@@ -169,18 +177,18 @@ u AS (SELECT f.entity_id, f.seq, coalesce(x.olds, []::bigint[]) AS olds,
 ent AS (SELECT entity_id, max(seq) AS n, list(olds ORDER BY seq) AS olds, list(until ORDER BY seq) AS untils FROM u GROUP BY 1),
 rec AS (SELECT entity_id, 0::bigint AS i, []::bigint[] AS lead, []::bigint[] AS hits FROM ent
  UNION ALL SELECT entity_id, i + 1, CASE WHEN len(h) > 0 THEN lead ELSE list_append(lead, i + 1) END, h
- FROM (SELECT r.*, list_intersect(list_slice(list_filter(r.lead, lambda x: e.untils[x] >= r.i + 1), -{window}, -1), e.olds[r.i + 1]) AS h
+ FROM (SELECT r.*, list_intersect(list_filter(r.lead, lambda x: e.untils[x] >= r.i + 1), e.olds[r.i + 1]) AS h
   FROM rec r JOIN ent e USING (entity_id) WHERE r.i < e.n)),
 hit AS (SELECT p.* FROM (SELECT entity_id, i AS n_seq, unnest(hits) AS o_seq FROM rec) k JOIN p USING (entity_id, n_seq, o_seq)) """
 
 
-@query("g1_duplicate_skips", sql_leaders(SQL_STMT, 30, "same OR ratio > 0.95") + "SELECT entity_id, n_id AS id, max_by(o_id, o_seq) AS kept_id FROM hit GROUP BY ALL")
+@query("g1_duplicate_skips", sql_leaders(SQL_STMT, "same OR ratio > 0.95") + "SELECT entity_id, n_id AS id, max_by(o_id, o_seq) AS kept_id FROM hit GROUP BY ALL")
 def g1(spark, d):
     """G1: memories an ingest would skip as copies."""
     return relate.duplicate_skips(_statements(spark, d))
 
 
-@query("g2_preference_strengthening", sql_leaders(SQL_STMT, 49, "ratio >= 0.3", "n.memory_type = 'preference' AND o.memory_type = 'preference'") + """
+@query("g2_preference_strengthening", sql_leaders(SQL_STMT, "ratio >= 0.3", "n.memory_type = 'preference' AND o.memory_type = 'preference'") + """
 SELECT entity_id, n_id AS id, max_by(o_id, struct_pack(a := ratio, b := o_seq)) AS replaced_by, floor(max(ratio) * 1000000.0::double + 0.5) / 1000000.0::double AS overlap FROM hit GROUP BY ALL""")
 def g2(spark, d):
     """Repeated preferences retired into an earlier one."""
@@ -188,7 +196,7 @@ def g2(spark, d):
     return retired.withColumn("overlap", X.fixed(F.col("overlap"), 6))
 
 
-@query("g2_boosted_confidence", sql_leaders(SQL_STMT, 49, "ratio >= 0.3", "n.memory_type = 'preference' AND o.memory_type = 'preference'") + """
+@query("g2_boosted_confidence", sql_leaders(SQL_STMT, "ratio >= 0.3", "n.memory_type = 'preference' AND o.memory_type = 'preference'") + """
 SELECT f.entity_id, f.id, floor(least(f.confidence + 0.05::double * b.n, 0.95::double) * 1000000.0::double + 0.5) / 1000000.0::double AS confidence FROM f JOIN (
  SELECT entity_id, l AS id, count(*) AS n FROM (SELECT entity_id, n_id, max_by(o_id, struct_pack(a := ratio, b := o_seq)) AS l FROM hit GROUP BY ALL) GROUP BY ALL) b USING (entity_id, id)""")
 def g2b(spark, d):

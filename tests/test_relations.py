@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.operators import ordering, relate
+from factloom.operators.overlap import Overlaps, contained_pairs
 
 DAY = dt.datetime(2024, 1, 1)
 CJK = "[一-鿿]"
@@ -215,3 +216,124 @@ def test_sequence_over_one_hot_entity(spark):
     for e in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == e), key=lambda r: (r[2], r[1]))
         assert [got[e, r[1]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_index_finds_all_overlapping_pairs(spark):
+    rows = corpus(21, 6, 70) + [("long", f"m{i:03d}", "".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(400 + i)) + WORDS[i % 5], DAY + dt.timedelta(hours=i), None) for i in range(30)]
+    rows += [("long", f"n{i:03d}", WORDS[i % len(WORDS)], DAY + dt.timedelta(hours=i), None) for i in range(40)]
+    features = relate.prepare_features(frame(spark, rows))
+    names = {(r.entity_id, r.seq): r.id for r in features.select("entity_id", "seq", "id").collect()}
+    asks = features.select("entity_id", "seq", (F.col("seq") + 1).alias("first"), (F.col("seq") + 25).alias("last"))
+    got = {}
+    for r in Overlaps(features).pairs(asks, None, 8).collect():
+        assert (r.entity_id, r.n_seq, r.o_seq) not in got
+        got[r.entity_id, r.n_seq, r.o_seq] = (r.shared, r.free)
+    text = {(r[0], r[1]): r[2] for r in rows}
+    want = {}
+    for (e, a), n in names.items():
+        for b in range(max(1, a - 25), a):
+            new, old = text[e, n], text[e, names[e, b]]
+            if overlaps(new, old):
+                shared = bigrams(new) & bigrams(old)
+                who = subjects(new) | subjects(old)
+                want[e, a, b] = (len(shared), len([x for x in shared if not any(x in s or s in x for s in who)]))
+    assert got == want
+
+
+def check_whole(spark, rows):
+    found = relate.infer(frame(spark, rows))
+    gone = {(r.entity_id, r.id): r.replaced_by for r in found.superseded.collect()}
+    edges = {(r.entity_id, r.rel_type, r.from_id, r.to_id) for r in found.edges.collect()}
+    want_gone, want_edges = {}, set()
+    for e in sorted({r[0] for r in rows}):
+        mine = sorted([r[1:] for r in rows if r[0] == e], key=lambda r: (r[2], r[0]))
+        g, x, d = replay(mine, len(mine))
+        want_gone |= {(e, k): v for k, v in g.items()}
+        want_edges |= {(e, "UPDATES", v, k) for k, v in g.items()} | {(e, "EXTENDS", *p) for p in x} | {(e, "DERIVES_FROM", *p) for p in d}
+    assert gone == want_gone
+    assert edges == want_edges
+
+
+def test_inference_without_a_window_equals_replay(spark):
+    check_whole(spark, corpus(33, 20, 60))
+
+
+def test_a_contradiction_a_thousand_arrivals_later(spark):
+    """One entity of 1,500 memories; most of them are unrelated."""
+    rng = random.Random(40)
+    other = lambda: "".join(rng.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥") for _ in range(5))
+    rows = [("e", f"m{i:04d}", other(), DAY + dt.timedelta(minutes=i), None) for i in range(1500)]
+    rows[3] = ("e", "m0003", "Nora weighs 62kg", rows[3][3], None)
+    rows[4] = ("e", "m0004", "Nora weighs 70kg then", rows[4][3], rows[900][3])  # expires before it is met
+    rows[1203] = ("e", "m1203", "Nora weighs 66kg", rows[1203][3], None)
+    check_whole(spark, rows)
+    gone = {r.id: r.replaced_by for r in relate.infer(frame(spark, rows)).superseded.collect()}
+    assert gone["m0003"] == "m0004" or gone["m0003"] == "m1203"
+    assert "m0004" not in gone or gone["m0004"] != "m1203"
+
+
+def test_pending_without_a_window(spark):
+    """Updates at stake retire nothing and are all listed while the old memory lives."""
+    rows = corpus(35, 8, 40)
+    df = frame(spark, rows).withColumns({"internal_type": F.when(F.crc32("id") % 2 == 0, "decision").otherwise(F.lit(None)), "confidence": F.lit(0.95)})
+    found = relate.infer(df, confirm_high_impact=True)
+    got = {(r.entity_id, r.new_id, r.old_id) for r in found.pending.collect()}
+    wide = relate.infer(df, 1000, confirm_high_impact=True)
+    assert got == {(r.entity_id, r.new_id, r.old_id) for r in wide.pending.collect()}
+    assert {tuple(r) for r in found.superseded.collect()} == {tuple(r) for r in wide.superseded.collect()}
+
+
+def test_leaders_without_a_window_equal_replay(spark):
+    rows = corpus(41, 12, 60) + [("copies", f"m{i:03d}", WORDS[i % 3], DAY + dt.timedelta(hours=i), DAY + dt.timedelta(hours=i + 7) if i % 4 else None) for i in range(80)]
+    skipped = {(r.entity_id, r.id): r.kept_id for r in relate.duplicate_skips(frame(spark, rows)).collect()}
+    df = frame(spark, rows)
+    retired = {(r.entity_id, r.id): (r.replaced_by, round(r.overlap, 9)) for r in relate.strengthen_preferences(df)[0].collect()}
+    liked = {(r.entity_id, r.id) for r in df.filter("memory_type = 'preference'").collect()}
+    want, kept = {}, {}
+    for e in {r[0] for r in rows}:
+        mine = sorted([r[1:] for r in rows if r[0] == e], key=lambda r: (r[2], r[0]))
+        want |= {(e, k): v[0][0] for k, v in _lead(mine, len(mine), lambda n, o: n[1].strip() == o[1].strip() or ratio(n[1], o[1]) > 0.95).items()}
+        prefs = [r for r in mine if (e, r[0]) in liked]
+        order = {r[0]: i for i, r in enumerate(prefs)}
+        for k, hits in _lead(prefs, len(prefs), lambda n, o: ratio(n[1], o[1]) >= 0.3).items():
+            text = next(r[1] for r in prefs if r[0] == k)
+            best = max(hits, key=lambda o: (ratio(text, o[1]), order[o[0]]))
+            kept[e, k] = (best[0], round(ratio(text, best[1]), 9))
+    assert skipped == want
+    assert retired == kept
+
+
+def test_a_long_alternating_chain_settles_in_few_rounds(spark, monkeypatch):
+    """Each row matches only the one before it: every second row leads."""
+    n = 10_000
+    nodes = spark.range(1, n + 1).select(F.lit("e").alias("entity_id"), F.col("id").alias("seq"))
+    edges = nodes.filter("seq > 1").select("entity_id", F.col("seq").alias("n_seq"), (F.col("seq") - 1).alias("o_seq"))
+    calls = []
+    monkeypatch.setattr(relate, "cut", lambda df, real=relate.cut: calls.append(1) or real(df))
+    leading = {r.seq for r in relate._leaders(nodes, edges).select("seq").collect()}
+    assert leading == set(range(1, n + 1, 2))
+    assert len(calls) < 30
+
+
+def test_leaders_of_a_random_graph(spark):
+    rng = random.Random(44)
+    edges = {(n, o) for n in range(2, 120) for o in rng.sample(range(1, n), min(n - 1, rng.choice([0, 1, 1, 2, 3])))}
+    lead = set()
+    for n in range(1, 120):
+        if not any((n, o) in edges for o in lead):
+            lead.add(n)
+    nodes = spark.createDataFrame([("e", n) for n in range(1, 120)], "entity_id string, seq bigint")
+    pairs = spark.createDataFrame([("e", *p) for p in edges], "entity_id string, n_seq bigint, o_seq bigint")
+    assert {r.seq for r in relate._leaders(nodes, pairs).collect()} == lead
+
+
+def test_containment_equals_all_pairs(spark):
+    rng = random.Random(46)
+    texts = [rng.choice(WORDS) + rng.choice(["", " 了", "好", "x"]) for _ in range(60)] + ["".join(rng.choice("abcdefghij") for _ in range(k)) for k in (2, 3, 4, 200, 300, 400, 401)]
+    texts += [texts[-1][:380] + "zz", texts[-1][100:]]
+    df = spark.createDataFrame([("e", t) for t in sorted(set(texts))], "entity_id string, content string")
+    features = relate.text_features(df).withColumn("key", F.col("content"))
+    for share in (0.3, 0.95):
+        got = {(r.n_key, r.o_key): round(r.ratio, 9) for r in contained_pairs(features, share).collect()}
+        want = {(n, o): round(ratio(n, o), 9) for n in set(texts) for o in set(texts) if n != o and ratio(n, o) >= share}
+        assert got == want
