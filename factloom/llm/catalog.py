@@ -112,10 +112,12 @@ def op7_sql() -> str:
     for k, (kind, (pattern, _, bound)) in enumerate(scan.CLASSES.items()):
         allow = scan.ALLOW.replace("'", "''")
         out.append(_sql_matches(kind, 3 + k, pattern, f"NOT regexp_matches(m, '{allow}')"))
-        out.append(f"""{kind}_hot AS (SELECT doc_id, rank, s, i FROM (SELECT *, unnest(range(length(m) - {scan.WINDOW - 1})) AS i FROM {kind})
+        out.append(f"""{kind}_hot AS (SELECT doc_id, rank, s, m, i FROM (SELECT *, unnest(range(length(m) - {scan.WINDOW - 1})) AS i FROM {kind})
  WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(m, i::INT + 1, {scan.WINDOW}), ''), 'histogram')), lambda c: c * log2(c))) <= {scan.WINDOW} * (log2({scan.WINDOW}) - {bound}))""")
-        out.append(f"""{kind}_run AS (SELECT doc_id, rank, s + min(i) AS s, s + max(i) + {scan.WINDOW} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, s ORDER BY i) AS r FROM (
- SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, s ORDER BY i) + {scan.WINDOW} THEN 0 ELSE 1 END AS fresh FROM {kind}_hot)) GROUP BY doc_id, rank, s, r)""")
+        allow_run = scan.ALLOW_RUN.replace("'", "''")
+        out.append(f"""{kind}_run AS (SELECT doc_id, rank, s + a AS s, s + b AS e FROM (SELECT doc_id, rank, s, any_value(m) AS m, min(i)::INT AS a, max(i)::INT + {scan.WINDOW} AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, s ORDER BY i) AS r FROM (
+ SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, s ORDER BY i) + {scan.WINDOW} THEN 0 ELSE 1 END AS fresh FROM {kind}_hot)) GROUP BY doc_id, rank, s, r)
+ WHERE NOT regexp_matches(regexp_extract(substr(m, 1, a), '[A-Za-z0-9]*$') || substr(m, a + 1, b - a) || regexp_extract(substr(m, b + 1), '^[A-Za-z0-9]*'), '{allow_run}'))""")
     runs = " UNION ALL ".join(f"SELECT doc_id, rank, s, e FROM {k}_run" for k in scan.CLASSES)
     out.append(f"every AS (SELECT doc_id, rank, s, e FROM base UNION ALL SELECT * FROM ({runs}) r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e))")
     names = ", ".join(f"'{k}'" for k in (*scan.BASE_KINDS, *scan.CLASSES))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,3 +63,9 @@ def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     for c in columns:
         cond = cond & left[c].eqNullSafe(right[c])
     return cond
+
+
+def hidden(*names: str) -> list[str]:
+    """Column names that no table has, one per name."""
+    mark = uuid.uuid4().hex
+    return [f"{n}_{mark}" for n in names]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_batches, strings
+from factloom.llm.common import hidden, map_batches, strings
 from factloom.session import cut
 
 WINDOW = 10
@@ -202,12 +202,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, size:
     repeated rows. A benchmark of several automatons is passed one by one and
     the findings of equal rows are merged.
     """
-    parts = [hit_spans(docs, g, window) for g in shards(items, window, size)]
-    rows = parts[0]
-    if len(parts) > 1:
-        every = parts[0].dropDuplicates(["doc_id", "digest"])
-        for p in parts[1:]:
-            every = every.unionByName(p.dropDuplicates(["doc_id", "digest"]))
+    groups = shards(items, window, size)
+    group, more = next(groups), next(groups, None)
+    rows = hit_spans(docs, group, window)
+    if more is not None:
+        # One automaton after the other: its findings are written and the next group is read.
+        every = None
+        for g in chain([group, more], groups):
+            part = cut(hit_spans(docs, g, window).dropDuplicates(["doc_id", "digest"]))
+            every = part if every is None else every.unionByName(part)
         gather = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  one row per automaton
         merged = every.groupBy("doc_id", "digest").agg(
             F.first("n_words").alias("n_words"), gather("first").alias("first"), gather("after").alias("after"), F.array_distinct(F.array_sort(gather("items"))).alias("items")
@@ -297,12 +300,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_w
         hit = cut(hit_spans(docs, g, window).filter("size(first) > 0").select("doc_id", "digest", "first", "after").dropDuplicates(["doc_id", "digest"]))
         found = hit if found is None else found.unionByName(hit)
     gather = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  one row per automaton
-    runs = found.groupBy("doc_id", "digest").agg(gather("first").alias("_first"), gather("after").alias("_after")).select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest"), "_first", "_after")
-    own = docs.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = own.join(runs, own["doc_id"].eqNullSafe(runs["_hit_id"]) & (own["_digest"] == runs["_hit_digest"]), "left").select(*[own[c] for c in docs.columns], "_first", "_after")
+    hit_id, hit_digest, digest, starts, ends = hidden("hit_id", "hit_digest", "digest", "first", "after")
+    runs = found.groupBy("doc_id", "digest").agg(gather("first").alias(starts), gather("after").alias(ends)).withColumnsRenamed({"doc_id": hit_id, "digest": hit_digest})
+    own = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = own.join(runs, own["doc_id"].eqNullSafe(runs[hit_id]) & (own[digest] == runs[hit_digest]), "left").select(*[own[c] for c in docs.columns], starts, ends)
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, first, after = (batch.column(c).to_pylist() for c in ("text", "_first", "_after"))
+        texts, first, after = (batch.column(c).to_pylist() for c in ("text", starts, ends))
         new = [without_spans(t, word_places(t), merged_spans(a, b), min_words, max_coverage) if t and a else t for t, a, b in zip(texts, first, after, strict=True)]
         return _with_texts(batch.select(docs_columns), texts, new)
 

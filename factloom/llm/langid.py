@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import map_batches, strings
@@ -21,7 +21,7 @@ from factloom.session import cut
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 GRAMS = (1, 2, 3)
-#: Labelled texts of a language that the centroids are fitted on, on average.
+#: Distinct labelled texts of a language that the centroids are fitted on, at most.
 SAMPLE = 400
 CLUSTERS = 4
 ROUNDS = 8
@@ -108,15 +108,14 @@ class Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from labelled(text, lang); rows without either are left out.
 
-    About ``sample`` rows of each language, chosen by hash of the text, are
-    read; a language with fewer rows gives all of them.
+    A language gives the ``sample`` of its distinct texts whose hashes are
+    smallest, all of them if it has fewer: copies of a text neither crowd others
+    out nor weigh more, however many rows they have.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
-    # One number per language, as the model has centroids for each of them anyway.
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    known = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]) if sizes else F.create_map().cast("map<string,bigint>")
-    chosen = cut(rows.filter(share * F.try_element_at(known, F.col("lang")) < sample))
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("hash"))
+    ranked = rows.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+    picked = cut(ranked.filter(F.col("rank") <= sample).select("lang", "hash"))
+    chosen = cut(rows.join(picked, ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text")))
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
         found = np.zeros(DIMENSIONS)
@@ -150,7 +149,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) per row of docs(doc_id, text).
 
     Null texts and texts without a letter are ``und`` with score 0; so are all
-    texts when nothing was learned. ``accepted`` is false where the distance to
+    texts when nothing was learned. Repeated rows are each answered; of equal
+    cosines the language first in the alphabet wins. Texts of any length are
+    read whole, in blocks. Other columns are not read or returned. ``accepted`` is false where the distance to
     the nearest centroid is larger than the language's own texts show.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.centres, model.floors, model.idf))

@@ -3,7 +3,9 @@
 A document classifier gives the evidence of the text itself (low quality and
 toxicity). Hosts and the paths below them have posterior rates: grouped sums of
 that evidence over all documents, shrunk from path to host to the global rate,
-the more the sparser the site. A document's log odds add both.
+the more the sparser the site. A document's log odds add both: the text's own,
+and what its site's posterior, from the site's other documents, says beyond the
+global rate. Shrinkage alone limits what a sparse site can say.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_batches, strings
+from factloom.llm.common import hidden, map_batches, strings
 from factloom.session import cut
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -30,8 +32,6 @@ SHARE, LOG_ODDS = 0.004, 1.0
 PREFIXES = (4, 5)
 BINS = 12
 TARGETS = ("low", "toxic")
-#: Log odds that the sites may add or take at most.
-SITE_WEIGHT = 1.0
 FEATURES = ("lexicon", "strongest", "lexicon_share", "distinct", "punctuation", "upper", "digits", "spaces", "word_length", "top_word", "lines", "log_words", "other")
 
 
@@ -180,7 +180,7 @@ def _logit(p) -> F.Column:
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, n, and per target the path, host and global rates).
+    """(host, path, n, and per target the path, host and global rates, with the sums and strengths behind them).
 
     The strength of each prior is the method of moments over the groups below
     it: p(1 - p) / between-group variance - 1, kept within 1 and 10,000.
@@ -202,10 +202,21 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
     shrunk = lambda t, k, prior: (F.col(t) + k[t] * prior[t]) / (F.col("n") + k[t])
     k_host = strength(hosts, world)
-    at_path = paths.join(hosts.select("host", *[shrunk(t, k_host, world).alias(f"host_{t}") for t in TARGETS]), "host")
+    host = hosts.select("host", F.col("n").alias("host_n"), *[F.col(t).alias(f"host_sum_{t}") for t in TARGETS], *[shrunk(t, k_host, world).alias(f"host_{t}") for t in TARGETS])
+    at_path = paths.join(host, "host")
     above = {t: F.col(f"host_{t}") for t in TARGETS}
     k_path = strength(at_path, above)
-    return at_path.select("host", "path", "n", *[world[t].alias(f"world_{t}") for t in TARGETS], *above.values(), *[shrunk(t, k_path, above).alias(f"path_{t}") for t in TARGETS])
+    return at_path.select(
+        "host", "path", "n", "host_n", *[F.col(t).alias(f"sum_{t}") for t in TARGETS], *[f"host_sum_{t}" for t in TARGETS], *[world[t].alias(f"world_{t}") for t in TARGETS], *above.values(),
+        *[shrunk(t, k_path, above).alias(f"path_{t}") for t in TARGETS], *[k_host[t].alias(f"k_host_{t}") for t in TARGETS], *[k_path[t].alias(f"k_path_{t}") for t in TARGETS],
+    )
+
+
+def others_rate(t: str) -> F.Column:
+    """Posterior rate of a row's path from all documents but the row itself, through host and global rate."""
+    own = _rate(F.col(t))
+    host = (F.greatest(F.col(f"host_sum_{t}") - own, F.lit(0.0)) + F.col(f"k_host_{t}") * F.col(f"world_{t}")) / (F.col("host_n") - 1 + F.col(f"k_host_{t}"))
+    return (F.greatest(F.col(f"sum_{t}") - own, F.lit(0.0)) + F.col(f"k_path_{t}") * host) / (F.col("n") - 1 + F.col(f"k_path_{t}"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
@@ -214,14 +225,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
     ``low`` and ``toxic`` are the text's rates, ``site_*`` those of its path,
     ``p_*`` both together; ``keep`` wants both under a half. Empty and null
     texts are low quality. Null hosts and paths are sites of their own;
-    repeated rows stay; without labels every text counts as undecided and stays.
+    repeated rows stay, and each is a document of its site; without labels every
+    text counts as undecided and stays. Whole texts are read, however long; ties
+    at a half are rejected. Other columns are not read or returned.
     """
     model = fit(docs, labels)
     scored = cut(evidence(docs, model, host, path))
     sites = site_posteriors(scored)
-    joined = scored.join(sites.select("host", "path", *[F.col(f"{level}_{t}") for t in TARGETS for level in ("world", "path")]), ["host", "path"])
-    limit = lambda c: F.least(F.greatest(c, F.lit(-SITE_WEIGHT)), F.lit(SITE_WEIGHT))
-    both = {t: _rate(F.col(t) + limit(_logit(F.col(f"path_{t}")) - _logit(F.col(f"world_{t}")))) for t in TARGETS}
+    joined = scored.join(sites, ["host", "path"])
+    both = {t: _rate(F.col(t) + _logit(others_rate(t)) - _logit(F.col(f"world_{t}"))) for t in TARGETS}
     undecided = F.lit(model is None)
     return joined.select(
         "doc_id", "digest", *[F.round(_rate(F.col(t)), 6).alias(t) for t in TARGETS], *[F.round(f"path_{t}", 6).alias(f"site_{t}") for t in TARGETS],
@@ -231,6 +243,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """``docs`` without the rows that are rejected; all columns stay."""
-    bad = score_documents(docs, labels, host, path).filter("not keep").select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct()
-    own = docs.withColumn("_own_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["_bad_id"]) & (own["_own_digest"] == bad["_bad_digest"]), "left_anti").drop("_own_digest")
+    bad_id, bad_digest, digest = hidden("bad_id", "bad_digest", "digest")
+    bad = score_documents(docs, labels, host, path).filter("not keep").select(F.col("doc_id").alias(bad_id), F.col("digest").alias(bad_digest)).distinct()
+    own = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return own.join(bad, own["doc_id"].eqNullSafe(bad[bad_id]) & (own[digest] == bad[bad_digest]), "left_anti").drop(digest)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.exprs import let
+from factloom.llm.common import hidden
 
 WINDOW = 20
 #: Fixed values of the contract: base kinds and their patterns.
@@ -26,11 +27,10 @@ CLASSES = {
     "entropy_hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 3.05),
     "entropy_base64": (r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.85),
 }
-#: Candidates that are known to be no secrets.
-ALLOW = (
-    r"^[0-9]+$|(?i:example|sample|dummy|placeholder|changeme|lorem|test)|(?i:abcdefghij|0123456789|1234567890)"
-    r"|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^sha(1|256|384|512)-"
-)
+#: Candidates that are known to be no secrets as a whole.
+ALLOW = r"^[0-9]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^sha(1|256|384|512)-"
+#: Runs that are known to be none: a word that fills a segment between separators, or a plain sequence.
+ALLOW_RUN = r"(?:^|[+/_=-])(?i:example|sample|dummy|placeholder|changeme|lorem|test)(?:[+/_=-]|$)|(?i:abcdefghij|0123456789|1234567890)"
 SPAN = "struct<start:bigint,rank:int,end:bigint>"
 REDACTED = "[REDACTED]"
 
@@ -112,9 +112,15 @@ def hot_windows(candidate: Column, alphabet: str, bound: float, window: int = WI
 
 def entropy_spans(text: Column) -> dict[str, Column]:
     def located(rank: int, alphabet: str, bound: float):
+        def allowed(found: Column, r: Column) -> Column:
+            """The run, out to the separators around it, is on the allow list."""
+            before, after = F.substr(found, F.lit(1), r["start"].cast("int")), F.substr(found, r["end"].cast("int") + 1)
+            inside = F.substr(found, r["start"].cast("int") + 1, (r["end"] - r["start"]).cast("int"))
+            return F.concat(F.regexp_extract(before, "[A-Za-z0-9]*$", 0), inside, F.regexp_extract(after, "^[A-Za-z0-9]*", 0)).rlike(ALLOW_RUN)
+
         def spans(m: Column) -> Column:
             move = lambda r: F.struct((m["start"] + r["start"]).alias("start"), F.lit(rank).alias("rank"), (m["start"] + r["end"]).alias("end"))
-            return F.transform(hot_windows(m["found"], alphabet, bound), move)
+            return F.transform(F.filter(hot_windows(m["found"], alphabet, bound), lambda r: ~allowed(m["found"], r)), move)
 
         return spans
 
@@ -125,20 +131,24 @@ def entropy_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: sorted spans (start, rank, end) in code points.
+def find_secrets(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
+    """``docs`` with spans (start, rank, end) in code points, and the names of the new columns.
 
+    Those are one per base kind, then all base spans and all spans, sorted.
     Ranks number the base kinds, then the entropy classes. An entropy span that
     lies within a base span adds nothing and is left out. Null texts are empty
-    and have no spans; repeated rows stay.
+    and have no spans; repeated rows stay; texts of any length are read whole.
+    No column of the caller is touched, whatever its name.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = {**base_spans(text), **entropy_spans(text)}
-    rows = docs.select("*", *[c.alias(f"_{k}") for k, c in kinds.items()])
-    rows = rows.withColumn("_base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE_KINDS])))
-    inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    added = F.filter(F.concat(*[F.col(f"_{k}") for k in CLASSES]), lambda s: ~inside(s))
-    return rows.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop(*[f"_{k}" for k in CLASSES])
+    *names, base, spans = hidden(*kinds, "base", "spans")
+    rows = docs.select("*", *[c.alias(n) for n, c in zip(names, kinds.values(), strict=True)])
+    own = names[: len(BASE_KINDS)]
+    rows = rows.withColumn(base, F.array_sort(F.concat(*own)))
+    inside = lambda s: F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    added = F.filter(F.concat(*names[len(own) :]), lambda s: ~inside(s))
+    return rows.withColumn(spans, F.array_sort(F.concat(base, added))).drop(*names[len(own) :]), own, base, spans
 
 
 def span_text(spans: Column) -> Column:
@@ -149,10 +159,10 @@ def span_text(spans: Column) -> Column:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row."""
-    found = find_secrets(docs.select("doc_id", "text"))
+    found, kinds, base, spans = find_secrets(docs.select("doc_id", "text"))
     return found.select(
-        "doc_id", *[F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
-        F.sha2(span_text(F.col("_base")), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"),
+        "doc_id", *[F.size(c).cast("bigint").alias(f"n_{k}") for k, c in zip(BASE_KINDS, kinds, strict=True)],
+        F.sha2(span_text(F.col(base)), 256).alias("base_sha256"), span_text(F.col(spans)).alias("spans"),
     )
 
 
@@ -162,15 +172,15 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced once. Texts without a span, nulls included,
     stay as they are, and so do all other columns.
     """
-    found = find_secrets(docs)
+    found, _, _, spans = find_secrets(docs)
     zero = F.struct(F.array().cast("array<string>").alias("parts"), _long(0).alias("at"))
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
         F.concat(acc["parts"], F.when(s["start"] < acc["at"], F.array().cast("array<string>")).otherwise(
             F.array(F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(REDACTED)))).alias("parts"),
         s["end"].alias("at"),
     ))
-    text = let(F.aggregate("_spans", zero, step), lambda a: F.concat(F.array_join(a["parts"], ""), F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
-    hit = F.size("_spans") > 0
+    text = let(F.aggregate(spans, zero, step), lambda a: F.concat(F.array_join(a["parts"], ""), F.col("text").substr((a["at"] + 1).cast("int"), F.length("text"))))
+    hit = F.size(spans) > 0
     out = found.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

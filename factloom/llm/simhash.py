@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_batches, settled, strings
+from factloom.llm.common import hidden, map_batches, settled, strings
 from factloom.operators.graph import components
 from factloom.session import cut
 
@@ -495,10 +495,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rooted = distinct.withColumn("root", F.col("n")) if roots is None else distinct.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     times = prints.groupBy("doc_id", "digest").count()
+    kept_id, kept_digest, often, digest = hidden("kept_id", "kept_digest", "often", "digest")
     kept = kept.join(times, F.col("first.doc_id").eqNullSafe(times["doc_id"]) & (F.col("first.digest") == times["digest"])).select(
-        F.col("first.doc_id").alias("_kept_id"), F.col("first.digest").alias("_kept_digest"), (F.col("count") > 1).alias("_kept_often")
+        F.col("first.doc_id").alias(kept_id), F.col("first.digest").alias(kept_digest), (F.col("count") > 1).alias(often)
     ).distinct()
-    own = docs.withColumn("_own_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    stay = own.join(kept, own["doc_id"].eqNullSafe(kept["_kept_id"]) & (own["_own_digest"] == kept["_kept_digest"]))
-    once = stay.filter("not _kept_often").unionByName(stay.filter("_kept_often").dropDuplicates(["_kept_id", "_kept_digest"]))
-    return once.drop("_own_digest", "_kept_id", "_kept_digest", "_kept_often")
+    own = docs.withColumn(digest, F.xxhash64(F.coalesce("text", F.lit(""))))
+    stay = own.join(kept, own["doc_id"].eqNullSafe(kept[kept_id]) & (own[digest] == kept[kept_digest]))
+    once = stay.filter(~F.col(often)).unionByName(stay.filter(often).dropDuplicates([kept_id, kept_digest]))
+    return once.drop(digest, kept_id, kept_digest, often)
