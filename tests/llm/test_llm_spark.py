@@ -325,6 +325,8 @@ def entropy_by_hand(t):
                         runs[-1][1] = i + 20
                     else:
                         runs.append([i, i + 20])
+            whole = lambda a, b: re.search("[A-Za-z0-9]*$", m[0][:a])[0] + m[0][a:b] + re.match("[A-Za-z0-9]*", m[0][b:])[0]  # noqa: B023, E731
+            runs = [r for r in runs if not re.search(secret_scan.ALLOW_RUN, whole(*r))]
             found += [(m.start() + a, 3 + rank, m.start() + b) for a, b in runs]
     base = spans_by_hand(t)
     return sorted(base + [s for s in found if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)])
