@@ -183,12 +183,14 @@ def _count_windows(scan: Scan) -> Callable:
         known = scan.of(lang)
         if known is None:
             return
-        (word, phrase), get, longest = known, tally.get, scan.longest
+        get, longest, head, bits, mask = tally.get, scan.longest, lang.encode() + b"\0", scan.inner.data, scan.inner.mask
         words = _words(data)
-        flags = bytes(map(word.__getitem__, words)) + b"\0"
+        flags = bytes(map(known[0].__getitem__, words)) + b"\0"
         for at in STARTS.finditer(flags):
             i = at.start()
-            if phrase[words[i] + b" " + words[i + 1]] & 1:
+            # Most pairs are rare and differ, so each is looked up in the bits, not remembered.
+            slot = xxhash.xxh64_intdigest(b"%b%b %b" % (head, words[i], words[i + 1]), SEED) & mask
+            if bits[slot >> 3] >> (slot & 7) & 1:
                 end = flags.find(0, i + 2, i + longest)
                 left = words[i - 1] if i else STOP
                 key = (b"" if left == STOP else left) + b"\n" + b" ".join(words[i : end if end >= 0 else i + longest])
