@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as model_pb
@@ -34,7 +35,9 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words of a generation whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: Bytes of text, or of ids, that are worked on and handed on at once.
+SLICE = 2 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -86,8 +89,55 @@ class CharacterMap:
         return found
 
 
-class Codec:
-    """Encoder and decoder of one model file."""
+class Decoder:
+    """Texts of the ids of one model file."""
+
+    def __init__(self, blob: bytes):
+        model = model_pb.ModelProto()
+        model.ParseFromString(blob)
+        spec, trainer = model.normalizer_spec, model.trainer_spec
+        self.dummy, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
+        shown = {NORMAL: lambda p: p.piece.replace(MARK, " "), CONTROL: lambda p: "", UNKNOWN: lambda p: trainer.unk_surface or " ⁇ "}
+        self.shown = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else shown.get(p.type, shown[NORMAL])(p).encode() for p in model.pieces]
+        self.is_byte = np.array([p.type == BYTE for p in model.pieces])
+        self.is_control = np.array([p.type == CONTROL for p in model.pieces])
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of the ids: marks are spaces, the one in front goes, byte pieces that make no UTF-8 become U+FFFD each."""
+        shown = self.shown
+        listed = ids.tolist()
+        parts = [shown[i] for i in listed]
+        if self.dummy or self.squeeze:
+            # The mark in front is the dummy prefix. With space squeezed out, pieces that are only a mark go too.
+            for k, i in enumerate(listed):
+                if self.is_control[i]:
+                    continue
+                if not self.is_byte[i] and i != self.unknown:
+                    parts[k] = parts[k].removeprefix(b" ")
+                if not self.squeeze or parts[k]:
+                    break
+        out = b"".join(parts)
+        try:
+            return out.decode()
+        except UnicodeDecodeError:
+            return self._mended(listed, parts)
+
+    def _mended(self, ids: list[int], parts: list[bytes]) -> str:
+        """Runs of byte pieces on their own, as bytes of other pieces never complete them."""
+        out, run = [], bytearray()
+        for i, part in zip(ids, parts, strict=True):
+            if self.is_byte[i]:
+                run += part
+                continue
+            out.append(_utf8(bytes(run)))
+            run.clear()
+            out.append(part.decode("utf-8", "replace"))
+        return "".join(out) + _utf8(bytes(run))
+
+
+class Encoder:
+    """Pieces of texts under one model file, with the source bytes of each."""
 
     def __init__(self, blob: bytes):
         model = model_pb.ModelProto()
@@ -104,16 +154,13 @@ class Codec:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.sizes = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in model.pieces], dtype=np.int64)
-        shown = {NORMAL: lambda p: p.piece.replace(MARK, " "), CONTROL: lambda p: "", UNKNOWN: lambda p: trainer.unk_surface or " ⁇ "}
-        self.shown = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else shown[p.type](p).encode() for p in model.pieces]
-        self.is_byte = np.array([p.type == BYTE for p in model.pieces])
-        self.is_control = np.array([p.type == CONTROL for p in model.pieces])
         # Characters of no longer piece never merge: words end before and after them.
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
         inner = "".join(map(re.escape, sorted(joined))) or MARK
         self.words = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|[^{inner}{MARK}]+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self._rank_pieces()
 
     # --- normalisation ---
 
@@ -212,11 +259,38 @@ class Codec:
                 out.append(self.unknown)
         return out
 
+    def _rank_pieces(self) -> None:
+        """The same merges by a compiled library for words of one-byte (Latin-1) characters.
+
+        Pieces are ranked by score and the mark is a space, one byte per
+        character, so merging the lowest rank first, leftmost of equals, is the
+        same rule. The library takes a word that is a piece as a whole; pieces
+        whose own merges end elsewhere are listed.
+        """
+        single = sorted((p for p in self.ids if all(c == MARK or c != " " and ord(c) < 256 for c in p) and p.count(MARK) < 2), key=lambda p: (-self.ids[p][1], self.ids[p][0]))
+        ranks = {p.replace(MARK, " ").encode("latin-1"): n for n, p in enumerate(single)}
+        shown = [np.array([self.ids[p][0]], dtype="<i4").tobytes() for p in single]
+        for b in range(256):
+            if bytes([b]) not in ranks:
+                ranks[bytes([b])] = len(ranks)
+                shown.append(np.array(self.merge(chr(b)), dtype="<i4").tobytes())
+        self._fast = tiktoken.Encoding("own", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self._shown = shown
+        self._elsewhere = {p for p in single if self.merge(p) != [self.ids[p][0]]}
+
+    def _merged(self, word: str) -> bytes:
+        if word not in self._elsewhere and MARK not in word[1:]:
+            try:
+                return b"".join([self._shown[r] for r in self._fast(word.replace(MARK, " ").encode("latin-1"))])
+            except UnicodeEncodeError:
+                pass
+        return np.array(self.merge(word), dtype="<i4").tobytes()
+
     def _ids_of(self, word: str) -> bytes:
         """Ids as bytes; the table has two generations, and words in use move on to the next."""
         got = self.older.get(word)
         if got is None:
-            got = np.array(self.merge(word), dtype="<i4").tobytes()
+            got = self._merged(word)
         if len(word) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
@@ -259,40 +333,6 @@ class Codec:
                 ends.append(at)
         return np.array(out, dtype=np.int32), np.array(ends, dtype=np.int64)
 
-    # --- decoding ---
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids: marks are spaces, the one in front goes, byte pieces that make no UTF-8 become U+FFFD each."""
-        shown = self.shown
-        listed = ids.tolist()
-        parts = [shown[i] for i in listed]
-        if self.dummy or self.squeeze:
-            # The mark in front is the dummy prefix. With space squeezed out, pieces that are only a mark go too.
-            for k, i in enumerate(listed):
-                if self.is_control[i]:
-                    continue
-                if not self.is_byte[i] and i != self.unknown:
-                    parts[k] = parts[k].removeprefix(b" ")
-                if not self.squeeze or parts[k]:
-                    break
-        out = b"".join(parts)
-        try:
-            return out.decode()
-        except UnicodeDecodeError:
-            return self._mended(listed, parts)
-
-    def _mended(self, ids: list[int], parts: list[bytes]) -> str:
-        """Runs of byte pieces on their own, as bytes of other pieces never complete them."""
-        out, run = [], bytearray()
-        for i, part in zip(ids, parts, strict=True):
-            if self.is_byte[i]:
-                run += part
-                continue
-            out.append(_utf8(bytes(run)))
-            run.clear()
-            out.append(part.decode("utf-8", "replace"))
-        return "".join(out) + _utf8(bytes(run))
-
 
 def _utf8(run: bytes) -> str:
     """UTF-8 with one U+FFFD for every byte that starts no character."""
@@ -312,12 +352,28 @@ def _utf8(run: bytes) -> str:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def encoder(path: str) -> Encoder:
     with open(path, "rb") as f:
-        return Codec(f.read())
+        return Encoder(f.read())
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    with open(path, "rb") as f:
+        return Decoder(f.read())
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of about ``SLICE`` bytes of one column; a longer value comes alone."""
+    sizes = np.cumsum([0, *(x.as_buffer().size if isinstance(x, pa.StringScalar) and x.is_valid else 4 * len(x) if x.is_valid else 0 for x in batch.column(at))])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + SLICE, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
-def _with_columns(df: DataFrame, added: dict[str, DataType], fn, left_out: tuple[str, ...] = ()) -> DataFrame:
+def _with_columns(df: DataFrame, at: int, added: dict[str, DataType], fn, left_out: tuple[str, ...] = ()) -> DataFrame:
     """The rows with columns that ``fn`` gives for a batch, in place of any of that name."""
     places = [i for i, c in enumerate(df.columns) if c.lower() not in added and c not in left_out]
     source = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -326,8 +382,8 @@ def _with_columns(df: DataFrame, added: dict[str, DataType], fn, left_out: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.record_batch([batch.column(i) for i in places] + fn(batch), names=names)
+            for part in _slices(batch, at):
+                yield pa.record_batch([part.column(i) for i in places] + fn(part), names=names)
 
     return source.mapInArrow(run, schema).toDF(*[df.columns[i] for i in places], *added)
 
@@ -345,11 +401,11 @@ def encode_texts(df: DataFrame, text: str = "text", path: str | None = None, kee
     at = df.columns.index(text)
 
     def encode(batch: pa.RecordBatch) -> list[pa.Array]:
-        coder = codec(path)
+        coder = encoder(path)
         found = [coder.encode(t or "") for t in batch.column(at).to_pylist()]
         return [_lists([f[k] for f in found]) for k in range(3)]
 
-    return _with_columns(df, dict.fromkeys(("ids", "begins", "ends"), ArrayType(IntegerType())), encode, () if keep_text else (text,))
+    return _with_columns(df, at, dict.fromkeys(("ids", "begins", "ends"), ArrayType(IntegerType())), encode, () if keep_text else (text,))
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -358,7 +414,7 @@ def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None) -> Data
     at = df.columns.index(ids)
 
     def decode(batch: pa.RecordBatch) -> list[pa.Array]:
-        coder = codec(path)
+        coder = decoder(path)
         return [pa.array([coder.decode(np.asarray(x.values)) if x.is_valid else "" for x in batch.column(at)], type=pa.string())]
 
-    return _with_columns(df, {"decoded": StringType()}, decode)
+    return _with_columns(df, at, {"decoded": StringType()}, decode)
