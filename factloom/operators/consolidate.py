@@ -10,39 +10,75 @@ from factloom.operators import relate
 from factloom.operators.communities import protection
 from factloom.operators.graph import components
 from factloom.operators.scans import top_per
-from factloom.operators.vectors import vector_top_k
+from factloom.operators.vectors import near_pairs
 from factloom.session import cut
 
 SIMILARITY = 0.9
 
 
-def candidate_pairs(memories: DataFrame, embeddings: DataFrame, now, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (entity_id, a, b, similarity), a < b, of close live memories.
+def guard_classes(memories: DataFrame, embeddings: DataFrame, now, edges: DataFrame | None = None, facts: DataFrame | None = None, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Live memories by class, and near vectors.
 
-    Memories of one entity, type and vector are a group of copies; its head is
-    the member that would stand for it (most trusted, newest, smallest id).
-    Distinct vectors at or above the threshold make their groups neighbours.
-    A memory is paired with the head of its own group and of each neighbour
-    group, so any number of copies costs their count and not their pairs, and
-    whoever stands for a merged group has a pair with every member close to it.
-    Retired memories take no part.
+    Members of a class agree in all that a verdict reads: vector, type, text and
+    protection; a memory with an UPDATES edge to a close one is a class of its
+    own. So a class has one verdict against any other and one within. Returns
+    (entity_id, id, vector, class, head), head being the member that would stand
+    for the class (most trusted, newest, smallest id), and (entity_id, vector,
+    other, score) of close vectors, each with itself included.
     """
-    live = memories.filter("is_latest").select("entity_id", "id", "memory_type", "created_at", X.trust(now).alias("trust"))
+    live = memories.filter("is_latest").select("entity_id", "id", "memory_type", "created_at", "content", X.trust(now).alias("trust"))
+    live = protection(live, facts) if facts is not None else live.withColumn("protected", F.lit(False))
     vectors = embeddings.filter(F.col("document_id").isNull()).select("entity_id", F.col("chunk_id").alias("id"), "embedding")
-    rows = live.join(vectors, ["entity_id", "id"]).withColumn("vector", F.sha2(F.to_json("embedding"), 256))
-    first = F.struct((-F.col("trust")).alias("t"), (-F.unix_micros("created_at")).alias("c"), F.col("id").alias("id"))
-    rows = cut(rows)
-    groups = cut(rows.groupBy("entity_id", "vector", "memory_type").agg(F.min(first)["id"].alias("head")))
-    distinct = rows.groupBy("entity_id", F.col("vector").alias("chunk_id")).agg(F.first("embedding").alias("embedding"))
-    near = vector_top_k(distinct.withColumnRenamed("chunk_id", "query_id"), distinct, None, similarity).select("entity_id", F.col("query_id").alias("vector"), F.col("chunk_id").alias("other"), "score")
-    # Zero vectors are close to nothing, not even to themselves; copies are close by being equal.
-    same = groups.select("entity_id", "vector", F.col("vector").alias("other"), F.lit(1.0).alias("score")).distinct()
-    near = near.filter("vector <> other").unionByName(same)
-    heads = near.join(groups.select("entity_id", F.col("vector").alias("other"), "head"), ["entity_id", "other"]).select("entity_id", "vector", "head", "score")
-    met = rows.select("entity_id", "vector", "id").join(heads, ["entity_id", "vector"]).filter("id <> head")
+    rows = cut(live.join(vectors, ["entity_id", "id"]).withColumn("vector", F.sha2(F.to_json("embedding"), 256)).withColumn("text", F.sha2("content", 256)).drop("content"))
+    distinct = rows.groupBy("entity_id", F.col("vector").alias("vid")).agg(F.first("embedding").alias("vec"))
+    pairs = near_pairs(distinct, similarity)
+    there = pairs.select("entity_id", F.col("a").alias("vector"), F.col("b").alias("other"), "score")
+    back = pairs.select("entity_id", F.col("b").alias("vector"), F.col("a").alias("other"), "score")
+    # Zero vectors are close to nothing else; copies are close by being equal.
+    same = distinct.select("entity_id", F.col("vid").alias("vector"), F.col("vid").alias("other"), F.lit(1.0).alias("score"))
+    near = cut(there.unionByName(back).unionByName(same))
+    if edges is not None:
+        ends = edges.filter("rel_type = 'UPDATES' AND from_id <> to_id").select("entity_id", "from_id", "to_id")
+        at = lambda end, v: rows.select("entity_id", F.col("id").alias(end), F.col("vector").alias(v))
+        close = ends.join(at("from_id", "vector"), ["entity_id", "from_id"]).join(at("to_id", "other"), ["entity_id", "to_id"]).join(near, ["entity_id", "vector", "other"], "left_semi")
+        linked = close.select("entity_id", F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+        rows = rows.join(linked.withColumn("own", F.col("id")), ["entity_id", "id"], "left")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("string"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("vector", "memory_type", "protected", "text", "own")]
+    rows = rows.withColumn("class", F.sha2(F.concat_ws("\x1f", *parts), 256))
+    first = F.struct((-F.col("trust")).alias("t"), F.coalesce(-F.unix_micros("created_at"), F.lit(1 << 62)).alias("c"), F.col("id").alias("id"))
+    heads = rows.groupBy("entity_id", "class").agg(F.min(first)["id"].alias("head"))
+    return cut(rows.select("entity_id", "id", "vector", "class").join(heads, ["entity_id", "class"])), near
+
+
+def class_pairs(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (entity_id, a, b, similarity), a < b, of every memory with the heads of its own and of each near class.
+
+    Any number of copies costs their count and not their pairs. As a class has
+    one verdict, these pairs connect what all pairs connect; and whoever stands
+    for a merged group is the head of its class, so it has a pair with every member close to it.
+    """
+    heads = classes.select("entity_id", F.col("vector").alias("other"), "head").distinct()
+    met = classes.select("entity_id", "vector", "id").join(near, ["entity_id", "vector"]).join(heads, ["entity_id", "other"]).filter("id <> head")
     return met.groupBy("entity_id", F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).agg(F.max("score").alias("similarity"))
 
 
+def candidate_pairs(memories: DataFrame, embeddings: DataFrame, now, similarity: float = SIMILARITY, edges: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Pairs of close live memories that decide all merges; retired memories take no part."""
+    return class_pairs(*guard_classes(memories, embeddings, now, edges, facts, similarity))
+
+
+def every_pair(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of close memories, each as the pairs of its two classes: as many rows as there are pairs of copies."""
+    side = lambda x: classes.select("entity_id", F.col("id").alias(x), F.col("class").alias(f"_{x}"))
+    rest = [c for c in pairs.columns if c not in ("entity_id", "a", "b")]
+    between = pairs.join(side("a"), ["entity_id", "a"]).join(side("b"), ["entity_id", "b"])
+    between = between.groupBy("entity_id", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).agg(*[F.first(c).alias(c) for c in rest])
+    out = between.join(side("a"), ["entity_id", "_a"]).join(side("b"), ["entity_id", "_b"]).filter("a <> b")
+    return out.select("entity_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest).distinct()
+
+
 def judge_pairs(pairs: DataFrame, memories: DataFrame, edges: DataFrame, facts: DataFrame, now) -> DataFrame:
     """Add action and reason; the first guard that applies decides."""
     ids = pairs.select("entity_id", F.col("a").alias("id")).unionByName(pairs.select("entity_id", F.col("b").alias("id"))).distinct()

@@ -76,7 +76,7 @@ def forget_communities(base: MemoryBase, now) -> tuple[DataFrame, DataFrame]:
 def consolidate_duplicates(base: MemoryBase, now, similarity: float = consolidate.SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verdict per candidate pair, and the merges to land."""
     facts = profile_facts(base.memories, base.edges, now)
-    pairs = cut(consolidate.candidate_pairs(base.memories, base.embeddings, now, similarity))
+    pairs = cut(consolidate.candidate_pairs(base.memories, base.embeddings, now, similarity, base.edges, facts))
     judged = cut(consolidate.judge_pairs(pairs, base.memories, base.edges, facts, now))
     return judged, cut(consolidate.merges(judged, consolidate.representatives(judged)))
 

@@ -350,18 +350,18 @@ def _lang_sql(sql: str) -> str:
 
 
 SQL_PAIRS = _lang_sql(WITH_MEM) + ", tr AS (SELECT *, " + SQL_TRUST + f" AS trust FROM mem), e AS ({_lang_sql(SQL_EMB)}), ed AS ({_lang_sql(SQL_EDGE)}), {sql_profile()}" + """,
- pv AS (SELECT tr.entity_id, tr.id, tr.memory_type, e.embedding, first_value(tr.id) OVER (PARTITION BY tr.entity_id, e.embedding, tr.memory_type ORDER BY trust DESC, created_at DESC, tr.id) AS head
-  FROM tr JOIN e ON e.entity_id = tr.entity_id AND e.chunk_id = tr.id AND e.document_id IS NULL WHERE is_latest),
- hd AS (SELECT DISTINCT entity_id, embedding, head FROM pv), ve AS (SELECT DISTINCT entity_id, embedding FROM pv),
+ pv AS (SELECT tr.entity_id, tr.id, e.embedding FROM tr JOIN e ON e.entity_id = tr.entity_id AND e.chunk_id = tr.id AND e.document_id IS NULL WHERE is_latest),
+ ve AS (SELECT DISTINCT entity_id, embedding FROM pv),
  nn AS (SELECT * FROM (SELECT p.entity_id, p.embedding AS x, v.embedding AS y, CASE WHEN p.embedding = v.embedding THEN 1.0::double ELSE floor(coalesce(list_cosine_similarity(p.embedding::double[], v.embedding::double[]), 0.0) * 1000000000.0::double + 0.5) / 1000000000.0::double END AS score FROM ve p JOIN ve v USING (entity_id)) WHERE score >= 0.9),
- cp AS (SELECT entity_id, least(id, head) AS a, greatest(id, head) AS b, max(score) AS similarity FROM (SELECT pv.entity_id, pv.id, hd.head, nn.score FROM pv JOIN nn ON nn.entity_id = pv.entity_id AND nn.x = pv.embedding JOIN hd ON hd.entity_id = nn.entity_id AND hd.embedding = nn.y) WHERE id <> head GROUP BY ALL) """
+ cp AS (SELECT nn.entity_id, p.id AS a, q.id AS b, score AS similarity FROM nn JOIN pv p ON p.entity_id = nn.entity_id AND p.embedding = nn.x JOIN pv q ON q.entity_id = nn.entity_id AND q.embedding = nn.y WHERE p.id < q.id) """
 
 
 @query("f5_j8_duplicate_pairs", SQL_PAIRS + f"SELECT entity_id, a, b, {r6('similarity')} AS similarity FROM cp")
 def f5(spark, d):
-    """Close pairs of live memories."""
+    """All close pairs of live memories."""
     t = ByLanguage(spark, d)
-    return consolidate.candidate_pairs(t.memories, t.embeddings, NOW).withColumn("similarity", X.fixed(F.col("similarity"), 6))
+    classes, near = consolidate.guard_classes(t.memories, t.embeddings, NOW, t.edges, _facts(t))
+    return consolidate.every_pair(consolidate.class_pairs(classes, near), classes).withColumn("similarity", X.fixed(F.col("similarity"), 6))
 
 
 def _veto(n: str, o: str) -> str:
@@ -376,8 +376,12 @@ SQL_JUDGED = SQL_PAIRS + f""", f AS ({sql_features("(SELECT tr.*, fx.memory_id I
 
 @query("f6_pair_verdicts", SQL_JUDGED + "SELECT entity_id, a, b, action FROM jd")
 def f6(spark, d):
-    """verdict per close pair."""
-    return lifecycle.consolidate_duplicates(_base(ByLanguage(spark, d)), NOW)[0].select("entity_id", "a", "b", "action")
+    """verdict per close pair, judged once per pair of classes."""
+    t = ByLanguage(spark, d)
+    facts = _facts(t)
+    classes, near = consolidate.guard_classes(t.memories, t.embeddings, NOW, t.edges, facts)
+    judged = consolidate.judge_pairs(consolidate.class_pairs(classes, near), t.memories, t.edges, facts, NOW)
+    return consolidate.every_pair(judged.select("entity_id", "a", "b", "action"), classes)
 
 
 SQL_GROUPS = SQL_JUDGED.replace("WITH mem", "WITH RECURSIVE mem", 1) + """, good AS (SELECT * FROM jd WHERE action = 'consolidated'), lnk AS (SELECT a AS x, b AS y FROM good UNION SELECT b, a FROM good),

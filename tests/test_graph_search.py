@@ -2,12 +2,14 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import communities, consolidate, graph, mentions, profile, search, vectors
+from factloom.operators import communities, consolidate, graph, mentions, profile, relate, search, vectors
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -275,6 +277,73 @@ def test_more_copies_than_any_cap_consolidate(spark):
     assert sum("m00777" in (p.a, p.b) for p in pairs) == n and not any("y1" in (p.a, p.b) for p in pairs)
 
 
+def merges_by_hand(rows, near, protected, updates, contradicts):
+    """All pairs judged, components, and members whose own pair with the representative merges."""
+    good = set()
+    for i, x in enumerate(rows):
+        for y in rows[i + 1:]:
+            fine = near(x, y) and x[3] == y[3] and not {x[1], y[1]} & protected and not contradicts(x[2], y[2])
+            if fine and (x[1], y[1]) not in updates and (y[1], x[1]) not in updates:
+                good.add(frozenset((x[1], y[1])))
+    label = {r[1]: r[1] for r in rows}
+    for _ in rows:
+        for p in good:
+            low = min(label[i] for i in p)
+            label |= {k: low for k, v in label.items() if v in {label[i] for i in p}}
+    out = set()
+    for name in set(label.values()):
+        group = sorted((r for r in rows if label[r[1]] == name), key=lambda r: (-r[4], -r[6].timestamp(), r[1]))
+        out |= {(r[1], group[0][1]) for r in group[1:] if frozenset((r[1], group[0][1])) in good}
+    return out
+
+
+def consolidation_case(spark, rows, vec, protected, updates):
+    memories = spark.createDataFrame(rows, "entity_id string, id string, content string, memory_type string, confidence double, is_latest boolean, created_at timestamp").withColumns(
+        {"provenance": F.lit("explicit_statement"), "validation_count": F.lit(0), "contradiction_detected": F.lit(False)})
+    vecs = spark.createDataFrame([("e", r[1], None, vec(r)) for r in rows], "entity_id string, chunk_id string, document_id string, embedding array<float>")
+    facts = spark.createDataFrame([("e", i, 0.9) for i in protected], "entity_id string, memory_id string, importance double")
+    edges = spark.createDataFrame([("e", x, y, "UPDATES") for x, y in updates], "entity_id string, from_id string, to_id string, rel_type string")
+    now = "2024-02-01 00:00:00"
+    pairs = consolidate.candidate_pairs(memories, vecs, now, 0.9, edges, facts)
+    judged = consolidate.judge_pairs(pairs, memories, edges, facts, now)
+    return {(r.id, r.representative) for r in consolidate.merges(judged, consolidate.representatives(judged)).collect()}
+
+
+def test_copies_of_a_protected_head_merge(spark):
+    rows = [("e", f"m{i}", "Nora likes tea", "fact", 0.9 - i / 10, True, DAY) for i in range(4)]
+    assert consolidation_case(spark, rows, lambda r: [1.0, 0.0], {"m0"}, []) == {("m2", "m1"), ("m3", "m1")}
+    assert consolidation_case(spark, rows, lambda r: [1.0, 0.0], set(), [("m0", "m1")]) == {("m2", "m0"), ("m3", "m0")}
+
+
+def test_merges_equal_those_of_all_pairs(spark):
+    rng = random.Random(12)
+    texts = ["Nora likes tea", "Nora likes green tea", "Nora weighs 62kg", "Nora weighs 66kg", "用户不喜欢开会", "用户喜欢开会吗"]
+    rows = [("e", f"m{i:02d}", rng.choice(texts), rng.choice(["fact", "fact", "preference"]), round(rng.random(), 2), True, DAY + dt.timedelta(minutes=rng.randrange(5))) for i in range(60)]
+    angle = {r[1]: rng.choice([0.0, 0.0, 0.2, 0.4, 0.6, 2.0]) for r in rows}
+    vec = lambda r: [math.cos(angle[r[1]]), math.sin(angle[r[1]])]
+    near = lambda x, y: math.cos(angle[x[1]] - angle[y[1]]) >= 0.9
+    protected = {r[1] for r in rows if rng.random() < 0.15}
+    updates = {(a[1], b[1]) for a, b in (rng.sample(rows, 2) for _ in range(25))}
+    side = lambda p: relate.text_features(spark.createDataFrame([(t,) for t in texts], "content string")).select(F.col("content").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in relate._SIDE])
+    veto = {(r.n, r.o) for r in relate.contradicts(side("n").crossJoin(side("o")), "hit").filter("hit").select("n", "o").collect()}
+    contradicts = lambda x, y: (x, y) in veto or (y, x) in veto
+    assert consolidation_case(spark, rows, vec, protected, updates) == merges_by_hand(rows, near, protected, updates, contradicts)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_recall_of_near_pairs(spark, least):
+    """Of the pairs at or above the threshold, nine of ten and more are found, and no other."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    vecs = np.array([r.embedding for r in rows], dtype=np.float64)
+    rng = np.random.default_rng(1)
+    vecs = np.concatenate([vecs, vecs[:100] + rng.normal(0, 0.04, vecs[:100].shape)])
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= least, 1)), strict=True)}
+    df = spark.createDataFrame([("e", f"v{i:04d}", v.tolist()) for i, v in enumerate(vecs)] + [("e", "zero", [0.0] * vecs.shape[1]), ("e", "none", None)], "entity_id string, vid string, vec array<double>")
+    got = {(r.a, r.b) for r in vectors.near_pairs(df, least).collect()}
+    assert got <= want and len(want) >= 50 and len(got) >= 0.95 * len(want)
+
+
 def test_profiles_read_more_than_any_cap(spark):
     """The most important fact of an entity is found below 1,500 newer ones."""
     rows = [("e", f"m{i:05d}", f"fact {i}", "fact", 1.0 if i == 0 else 0.6, True, DAY + dt.timedelta(minutes=i)) for i in range(1500)]
