@@ -1,9 +1,10 @@
 """Communities of linked memories: detection, activity, verdicts.
 
 Memories that share a mention are neighbours. Mentions stay bipartite, so a
-common one costs its memberships and not the pairs among its members; only
-distinct sets of mentions are compared with each other, to count a neighbour
-once that shares several.
+common one costs its memberships and not the pairs among its members. To count
+a neighbour once that shares several, distinct sets of mentions are compared:
+sets that share a light mention one by one, sets that share a hub by the hubs
+they hold, of which there are few combinations.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from factloom.operators.scans import maintenance_candidates
 from factloom.session import cut
 
 SWEEPS = 50
+#: Distinct mention sets above which a mention is a hub.
+HUB = 200
 ACTIVITY_THRESHOLD = 0.5
 IMPORTANCE_THRESHOLD = 0.7
 
@@ -104,17 +107,64 @@ def propagate(linked: Links, sweeps: int = SWEEPS) -> tuple[DataFrame, bool]:
     return labels, settled
 
 
-def _around(linked: Links, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mention sets: (entity_id, id, set_id, mentions) of nodes, and (entity_id, set_id, label, n)
-    members of each label among all nodes that share a mention with the set."""
+@dataclass
+class Around:
+    """Who shares a mention with a node, by label, without a row per pair of nodes.
+
+    ``sets`` has (entity_id, id, set_id, mentions, hubs_id) of nodes, hubs_id null
+    where a set holds no hub. ``by_hubs`` (entity_id, hubs_id, label, n) counts all nodes that
+    share a hub with such a set, ``by_set`` (entity_id, set_id, label, n) those
+    that share a light mention and no hub. A node is in one of the two at most.
+    """
+
+    sets: DataFrame
+    by_hubs: DataFrame
+    by_set: DataFrame
+
+    def at(self, rows: DataFrame, set_id: str, hubs_id: str, label: str, out: str) -> DataFrame:
+        """``rows`` with the count of one label around a set."""
+        first = self.by_hubs.select("entity_id", F.col("hubs_id").alias(hubs_id), F.col("label").alias(label), F.col("n").alias("_nh"))
+        second = self.by_set.select("entity_id", F.col("set_id").alias(set_id), F.col("label").alias(label), F.col("n").alias("_ns"))
+        joined = rows.join(first, ["entity_id", hubs_id, label], "left").join(second, ["entity_id", set_id, label], "left")
+        return joined.withColumn(out, F.coalesce("_nh", F.lit(0)) + F.coalesce("_ns", F.lit(0))).drop("_nh", "_ns")
+
+    def totals(self) -> DataFrame:
+        """(entity_id, set_id, _all, _labels) of the distinct sets."""
+        hubs = self.by_hubs.groupBy("entity_id", "hubs_id").agg(F.sum("n").alias("_ha"), F.count(F.lit(1)).alias("_hl"))
+        distinct = self.sets.select("entity_id", "set_id", "hubs_id").distinct()
+        light = self.by_set.join(distinct, ["entity_id", "set_id"])
+        there = self.by_hubs.select("entity_id", "hubs_id", "label", F.lit(1).alias("_there"))
+        light = light.join(there, ["entity_id", "hubs_id", "label"], "left").groupBy("entity_id", "set_id").agg(F.sum("n").alias("_sa"), F.count(F.when(F.col("_there").isNull(), 1)).alias("_sl"))
+        both = distinct.join(hubs, ["entity_id", "hubs_id"], "left").join(light, ["entity_id", "set_id"], "left")
+        plus = lambda x, y: F.coalesce(F.col(x), F.lit(0)) + F.coalesce(F.col(y), F.lit(0))
+        return both.select("entity_id", "set_id", plus("_ha", "_sa").alias("_all"), plus("_hl", "_sl").alias("_labels"))
+
+
+def _around(linked: Links, labels: DataFrame, hub: int | None = None) -> Around:
+    hub = HUB if hub is None else hub
     sets = linked.members.groupBy("entity_id", "id").agg(F.sort_array(F.collect_set("mention_id")).alias("mentions"))
-    sets = sets.withColumn("set_id", F.sha2(F.array_join("mentions", ","), 256))
-    sizes = sets.join(labels, ["entity_id", "id"]).groupBy("entity_id", "set_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    opened = sets.select("entity_id", "set_id", "mentions").distinct().select("entity_id", "set_id", F.explode("mentions").alias("mention_id"))
-    other = opened.select("entity_id", "mention_id", F.col("set_id").alias("near_id"))
-    near = opened.join(other, ["entity_id", "mention_id"]).select("entity_id", "set_id", "near_id").distinct()
-    around = near.join(sizes.withColumnRenamed("set_id", "near_id"), ["entity_id", "near_id"]).groupBy("entity_id", "set_id", "label").agg(F.sum("n").alias("n"))
-    return sets, around
+    sets = cut(sets.withColumn("set_id", F.sha2(F.to_json("mentions"), 256)))
+    opened = cut(sets.select("entity_id", "set_id", "mentions").distinct().select("entity_id", "set_id", F.explode("mentions").alias("mention_id")))
+    hubs = cut(opened.groupBy("entity_id", "mention_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hub).drop("_n"))
+    held = opened.join(hubs, ["entity_id", "mention_id"]).groupBy("entity_id", "set_id").agg(F.sort_array(F.collect_set("mention_id")).alias("hubs"))
+    held = cut(held.withColumn("hubs_id", F.sha2(F.to_json("hubs"), 256)))
+    sets = cut(sets.join(held.select("entity_id", "set_id", "hubs_id"), ["entity_id", "set_id"], "left"))
+    placed = cut(sets.select("entity_id", "id", "set_id", "hubs_id").join(labels, ["entity_id", "id"]).groupBy("entity_id", "set_id", "hubs_id", "label").agg(F.count(F.lit(1)).alias("n")))
+
+    # Combinations of hubs that have one in common, and their nodes.
+    combined = held.select("entity_id", "hubs_id", "hubs").distinct().select("entity_id", "hubs_id", F.explode("hubs").alias("mention_id"))
+    near = combined.join(combined.withColumnRenamed("hubs_id", "near_id"), ["entity_id", "mention_id"]).select("entity_id", "hubs_id", "near_id").distinct()
+    of_hubs = placed.filter("hubs_id IS NOT NULL").groupBy("entity_id", F.col("hubs_id").alias("near_id"), "label").agg(F.sum("n").alias("n"))
+    by_hubs = near.join(of_hubs, ["entity_id", "near_id"]).groupBy("entity_id", "hubs_id", "label").agg(F.sum("n").alias("n"))
+
+    # Sets that share a light mention, unless they share a hub as well.
+    light = opened.join(hubs, ["entity_id", "mention_id"], "left_anti")
+    pairs = light.join(light.withColumnRenamed("set_id", "near_id"), ["entity_id", "mention_id"]).select("entity_id", "set_id", "near_id").distinct()
+    own = held.select("entity_id", "set_id", "hubs")
+    pairs = pairs.join(own, ["entity_id", "set_id"], "left").join(own.withColumnsRenamed({"set_id": "near_id", "hubs": "near_hubs"}), ["entity_id", "near_id"], "left")
+    pairs = pairs.filter(~F.coalesce(F.arrays_overlap("hubs", "near_hubs"), F.lit(False))).select("entity_id", "set_id", "near_id")
+    by_set = pairs.join(placed.select("entity_id", F.col("set_id").alias("near_id"), "label", "n"), ["entity_id", "near_id"]).groupBy("entity_id", "set_id", "label").agg(F.sum("n").alias("n"))
+    return Around(sets, cut(by_hubs), cut(by_set))
 
 
 def analyse(linked: Links, sweeps: int = SWEEPS) -> DataFrame:
@@ -131,18 +181,13 @@ def analyse(linked: Links, sweeps: int = SWEEPS) -> DataFrame:
         raw = propagate(linked, sweeps)[0]
         smallest = raw.groupBy("entity_id", "label").agg(F.min("id").alias("_name"))
         labels = cut(raw.join(smallest, ["entity_id", "label"]).select("entity_id", "id", F.col("_name").alias("label")))
-    sets, around = _around(linked, labels)
-    around = cut(around)
-    whole = around.groupBy("entity_id", "set_id").agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_labels"))
-    nodes = cut(
-        labels.join(sets, ["entity_id", "id"], "left").join(whole, ["entity_id", "set_id"], "left")
-        .join(around.withColumnRenamed("n", "_own"), ["entity_id", "set_id", "label"], "left")
-    )
+    around = _around(linked, labels)
+    placed = labels.join(around.sets, ["entity_id", "id"], "left").join(around.totals(), ["entity_id", "set_id"], "left")
+    nodes = cut(around.at(placed, "set_id", "hubs_id", "label", "_own"))
     # Relation neighbours that share no mention come on top.
-    side = lambda p: nodes.select("entity_id", F.col("id").alias(p), F.col("label").alias(f"_{p}"), F.col("mentions").alias(f"_m{p}"), F.col("set_id").alias(f"_s{p}"))
+    side = lambda p: nodes.select("entity_id", F.col("id").alias(p), F.col("label").alias(f"_{p}"), F.col("mentions").alias(f"_m{p}"), F.col("set_id").alias(f"_s{p}"), F.col("hubs_id").alias(f"_h{p}"))
     extra = linked.related.join(side("a"), ["entity_id", "a"]).join(side("b"), ["entity_id", "b"]).filter(~F.coalesce(F.arrays_overlap("_ma", "_mb"), F.lit(False)))
-    known = around.select("entity_id", F.col("set_id").alias("_sa"), F.col("label").alias("_b"), "n")
-    extra = extra.join(known, ["entity_id", "_sa", "_b"], "left")
+    extra = around.at(extra, "_sa", "_ha", "_b", "n")
     # The own label is reached by mentions only if another member holds it.
     fresh = F.when(F.coalesce(F.col("n"), F.lit(0)) <= F.when(F.col("_a") == F.col("_b"), 1).otherwise(0), F.col("_b"))
     more = extra.groupBy("entity_id", F.col("a").alias("id")).agg(

@@ -164,7 +164,9 @@ def frames(spark, nodes, edges, me):
     )
 
 
-def test_communities_equal_half_step_replay(spark):
+@pytest.mark.parametrize("hub", [200, 2, 0])
+def test_communities_equal_half_step_replay(spark, monkeypatch, hub):
+    monkeypatch.setattr(communities, "HUB", hub)
     mem, edges, me = random_graph(4, 12, 16)
     nodes = [(m[0], m[1]) for m in mem if m[2]]
     cliques = [(a, b) for o in (0, 5) for a in range(o, o + 5) for b in range(a + 1, o + 5)]
@@ -199,6 +201,19 @@ def test_communities_equal_half_step_replay(spark):
     assert [count(s) for s in ("pair", "chain", "star", "cycle", "alone", "cliques", "mention")] == [1, 1, 1, 1, 1, 2, 1]
 
 
+def test_a_hub_mention_costs_no_pairs(spark):
+    """20,000 memories share one mention and hold one of their own: linear rows, exact degrees."""
+    n = 20_000
+    nodes = spark.range(n).select(F.lit("e").alias("entity_id"), F.format_string("m%05d", "id").alias("id"), F.format_string("c%d", F.col("id") % 50).alias("part"))
+    me = nodes.select("entity_id", F.col("id").alias("memory_id"), F.explode(F.array(F.lit("hub"), F.concat(F.lit("own-"), "id"))).alias("mention_id"))
+    edges = spark.createDataFrame([("e", "m00000", "m00001", "EXTENDS", DAY)], "entity_id string, from_id string, to_id string, rel_type string, created_at timestamp")
+    linked = communities.links(nodes, edges, me, "part")
+    around = communities._around(linked, linked.nodes)
+    assert around.by_hubs.count() == 50 and around.by_set.count() == 0
+    found = communities.analyse(linked).groupBy("degree", "inner", "reached").count().collect()
+    assert [tuple(r) for r in found] == [(n - 1, n // 50 - 1, 50, n)]
+
+
 def test_communities_have_no_bound_per_entity(spark):
     """One entity above every earlier cap: 1,500 memories in a ring of cliques of five."""
     n = 1500
