@@ -40,7 +40,7 @@ BITS = 1 << 24
 SHARE, GROWTH = 0.125, 4.0
 #: Entries of a task's tally before it is handed on.
 TALLY = 1 << 18
-#: Words remembered with what is known of them.
+#: Words or phrases remembered with what is known of them.
 REMEMBERED = 1 << 19
 UPPER, BREAKS = bytes(range(65, 91)), b",;:!?\n\x0b\x0c\r"
 #: A break is a full stop, which no word holds.
@@ -77,6 +77,34 @@ class Known(dict):
         return found
 
 
+class Flags:
+    """Flags of a language's words (0: rare, 1: frequent, 2: frequent start), worked out once in bulk."""
+
+    def __init__(self, head: bytes, wide: Bits, start: Bits):
+        self.head, self.wide, self.start = head, wide, start
+        self.known: dict[bytes, int] = {STOP: 0}
+
+    def of(self, words: list[bytes]) -> bytes:
+        known = self.known
+        flags = list(map(known.get, words))
+        if None in flags:
+            if len(known) > REMEMBERED:
+                known.clear()
+                known[STOP] = 0
+            head, data, mask, digest, starts = self.head, self.wide.data, self.wide.mask, xxhash.xxh64_intdigest, self.start.has
+            for i, f in enumerate(flags):
+                if f is None:
+                    key = head + words[i]
+                    slot = digest(key, SEED) & mask
+                    found = 0
+                    if data[slot >> 3] >> (slot & 7) & 1:
+                        found = 2 if starts(key) else 1
+                    flags[i] = known[words[i]] = found
+            # A stop may have been forgotten and asked for again; it is never a word.
+            known[STOP] = 0
+        return bytes(flags)
+
+
 def _key(lang: str, phrase: str, mark: str = "\0") -> Column:
     return F.concat(F.col(lang), F.lit(mark), F.col(phrase))
 
@@ -144,7 +172,7 @@ class Scan:
 
     def __init__(self, wide: Bits, start: Bits, inner: Bits | None = None, longest: int = 5):
         self.wide, self.start, self.inner, self.longest = wide, start, inner, longest
-        self.langs: dict[str, tuple[Known, Known] | None] = {}
+        self.langs: dict[str, tuple[Flags, Known] | None] = {}
 
     def __getstate__(self):
         return self.wide, self.start, self.inner, self.longest
@@ -152,11 +180,11 @@ class Scan:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def of(self, lang: str) -> tuple[Known, Known] | None:
+    def of(self, lang: str) -> tuple[Flags, Known] | None:
         """Known words (0: rare, 1: frequent, 2: frequent start) and phrases of a language; None if it is settled."""
         if lang not in self.langs:
             raw, head = lang.encode(), lang.encode() + b"\0"
-            word = Known(lambda w: (2 if self.start.has(head + w) else 1) if w != STOP and self.wide.has(head + w) else 0)
+            word = Flags(head, self.wide, self.start)
             phrase = Known(lambda p: self.inner.has(head + p) | 2 * self.inner.has(raw + b"\1" + p))
             self.langs[lang] = (word, phrase) if self.start.has(raw + b"\2") else None
         return self.langs[lang]
@@ -170,7 +198,7 @@ def _count_pairs(scan: Scan) -> Callable:
         if known is None:
             return
         words = _words(data)
-        flags = bytes(map(known[0].__getitem__, words))
+        flags = known[0].of(words)
         tally.update([words[i := at.start()] + b" " + words[i + 1] for at in STARTS.finditer(flags)])
 
     return count
@@ -185,7 +213,7 @@ def _count_windows(scan: Scan) -> Callable:
             return
         get, longest, head, bits, mask = tally.get, scan.longest, lang.encode() + b"\0", scan.inner.data, scan.inner.mask
         words = _words(data)
-        flags = bytes(map(known[0].__getitem__, words)) + b"\0"
+        flags = known[0].of(words) + b"\0"
         for at in STARTS.finditer(flags):
             i = at.start()
             # Most pairs are rare and differ, so each is looked up in the bits, not remembered.
@@ -233,7 +261,7 @@ def _count_parts(scan: Scan) -> Callable:
             return
         (word, phrase), get, longest = known, tally.get, scan.longest
         words = _words(data)
-        flags = bytes(map(word.__getitem__, words)) + b"\0"
+        flags = word.of(words) + b"\0"
         for at in STARTS.finditer(flags):
             i = at.start()
             part = words[i] + b" " + words[i + 1]
