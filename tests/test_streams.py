@@ -1,6 +1,7 @@
 """Streams over several micro-batches."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -20,21 +21,54 @@ def run_batches(spark, tmp_path, schema, batches, build, mode="append"):
 
 
 def test_adds_are_idempotent_for_an_hour(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.TIMER_STORE)
     at = lambda m: T0 + dt.timedelta(minutes=m)
-    batches = [[("e", "k1", at(0)), ("e", "k2", at(5))], [("e", "k1", at(30))], [("e", "k3", at(300))], [("e", "k4", at(301))], [("e", "k1", at(310))]]
+    batches = [[("e", "k1", at(0)), ("e", "k2", at(5)), ("e", "k2", at(64)), ("e", "k2", at(65))], [("e", "k1", at(59)), ("e", "k1", at(60)), ("e", "k1", at(119))], [("e", "k3", at(300))], [("e", "k4", at(301))], [("e", "k1", at(310))]]
     out = run_batches(spark, tmp_path, "entity_id string, key string, ts timestamp", batches, lambda s: streams.idempotent_adds(s, ["entity_id", "key"]))
     got = sorted((r.key, r.ts) for r in out.collect())
-    assert got == [("k1", at(0)), ("k1", at(310)), ("k2", at(5)), ("k3", at(300)), ("k4", at(301))]
-
-
-def test_fast_lane_retires_by_index_or_age(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    at = lambda h: T0 + dt.timedelta(hours=h)
-    batches = [[("a", "raw", at(0)), ("b", "raw", at(1))], [("a", "indexed", at(2))], [("c", "raw", at(40))], [("d", "raw", at(41))]]
-    out = run_batches(spark, tmp_path, "document_id string, kind string, ts timestamp", batches, streams.fast_lane_changes)
-    got = {(r.document_id, r.change) for r in out.collect()}
-    assert {("a", "live"), ("b", "live"), ("c", "live"), ("a", "retired_indexed"), ("b", "retired_age")} <= got
-    assert ("a", "retired_age") not in got and ("c", "retired_age") not in got
+    assert got == [("k1", at(0)), ("k1", at(60)), ("k1", at(310)), ("k2", at(5)), ("k2", at(65)), ("k3", at(300)), ("k4", at(301))]
+
+
+def lane_by_hand(rows, hours=24):
+    """Marks of one document after another, event by event."""
+    out, newest = [], max(t for _, _, t in rows)
+    ms = lambda t: int(t.timestamp() * 1000)
+    for d in {r[0] for r in rows}:
+        born = None
+        for _, kind, t in sorted((r for r in rows if r[0] == d), key=lambda r: (r[2], r[1] == "indexed")):
+            if born is not None and t >= born + dt.timedelta(hours=hours):
+                out.append((d, "retired_age", ms(born + dt.timedelta(hours=hours))))
+                born = None
+            if kind == "indexed" and born is not None:
+                out.append((d, "retired_indexed", ms(t)))
+                born = None
+            elif kind == "raw" and born is None:
+                born = t
+                out.append((d, "live", ms(t)))
+        if born is not None and born + dt.timedelta(hours=hours) <= newest:
+            out.append((d, "retired_age", ms(born + dt.timedelta(hours=hours))))
+    return sorted(out)
+
+
+def test_streams_do_not_depend_on_batches(spark, tmp_path):
+    """One file and six files in order of time give the same rows."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.TIMER_STORE)
+    rng = random.Random(5)
+    rows = sorted(((f"d{rng.randrange(12)}", rng.choice(["raw", "raw", "indexed"]), T0 + dt.timedelta(minutes=rng.randrange(6000), milliseconds=i)) for i in range(400)), key=lambda r: r[2])
+    schema = "document_id string, kind string, ts timestamp"
+    per = [rows[i : i + 70] for i in range(0, 400, 70)]
+    want = []
+    for k in {r[:2] for r in rows}:
+        last = None
+        for _, _, t in (r for r in rows if r[:2] == k):
+            if last is None or t >= last + dt.timedelta(hours=1):
+                want.append((*k, t))
+                last = t
+    for name, batches in (("one", [rows]), ("many", per)):
+        adds = run_batches(spark, tmp_path / f"a{name}", schema, batches, lambda s: streams.idempotent_adds(s, ["document_id", "kind"]))
+        assert sorted(tuple(r) for r in adds.collect()) == sorted(want)
+        marks = run_batches(spark, tmp_path / f"l{name}", schema, batches, streams.fast_lane_changes)
+        assert sorted(tuple(r) for r in marks.collect()) == lane_by_hand(rows)
 
 
 def test_ingest_over_two_batches_and_replay(spark, tmp_path):
