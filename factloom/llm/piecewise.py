@@ -22,6 +22,8 @@ MULTIPLIER = 0x01000193
 PIECES = 64
 #: Documents of one sorted run; the next document is found within it.
 RUN = 2000
+#: Runs at most, as their bounds stand in the plan; beyond RUN times that, runs grow. A run is read as a stream.
+MOST_RUNS = 20_000
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -127,12 +129,13 @@ def runs_with_next(docs: DataFrame, size: int = RUN) -> DataFrame:
     Runs start at quantiles of doc_id. The document a run starts with also goes
     to the run before it (part 1), and the first document of all to the last
     run, so that every document's successor lies in its own run. Null ids come
-    first, equal ids in the order of their texts' hashes.
+    first, equal ids in the order of their texts' hashes. ``doc_id`` must be an
+    integer column.
     """
     least = -(1 << 63)
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("key"))
     stats = keyed.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).first()
-    count = max(1, -(-stats.n // size))
+    count = min(max(1, -(-stats.n // size)), MOST_RUNS)
     cuts = []
     if count > 1:
         at = [i / count for i in range(1, count)]
@@ -163,7 +166,9 @@ def edited_fingerprints(docs: DataFrame, size: int = RUN) -> DataFrame:
     The edited copy has its last quarter of code points (rounded down) replaced
     by the first as many of the next document in the order of doc_id; the last
     document is followed by the first, a single one by itself. Null texts are
-    empty; an empty table gives no rows.
+    empty; an empty table gives no rows. Repeated rows follow one another. Texts
+    of any length are read whole, one at a time beside their successor. Other
+    columns are not read or returned.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -11,7 +11,7 @@ import sentencepiece as spm
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from factloom.llm import centroids, langid, phrases, pieces, quality, secret_scan
+from factloom.llm import centroids, langid, phrases, pieces, piecewise, quality, secret_scan
 from factloom.llm.common import ready
 
 DOCS = "doc_id bigint, text string, lang string"
@@ -292,6 +292,53 @@ def test_allow_words_fill_whole_segments(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def fingerprint_by_hand(text):
+    """Rolling sums, cuts and piece hashes, one byte after another."""
+    data, full = text.encode(), 0xFFFFFFFF
+    if not data:
+        return "2::"
+    roll = []
+    for i in range(len(data)):
+        h = sum(data[i - b] * pow(0x01000193, b, 1 << 32) for b in range(min(7, i + 1))) & full
+        for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+            h = (h ^ h >> shift) * factor & full
+        roll.append(h ^ h >> 15)
+    cuts = lambda k: [i for i, h in enumerate(roll) if h % (1 << k) == (1 << k) - 1]
+    k = 1
+    while (64 << k) < len(data):
+        k += 1
+    low = max(1, k - 2)
+    while k > low and len(cuts(k)) < 32:
+        k -= 1
+
+    def signature(ends):
+        out, piece, letters = "", [], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        for i, h in enumerate(roll):
+            piece.append(h)
+            if i in ends or i == len(roll) - 1:
+                out += letters[(sum(piece) * 0x9E3779B1 & full) >> 26]
+                piece = []
+        return out
+
+    return f"{1 << k}:{signature(set(cuts(k)))}:{signature(set(cuts(k + 1)))}"
+
+
+def test_fingerprints_equal_a_plain_rolling_hash():
+    rng = random.Random(51)
+    for n in (0, 1, 2, 6, 7, 8, 50, 129, 700, 3000, 9000):
+        text = "".join(rng.choice("abcdé ü\n") for _ in range(n))
+        assert piecewise.fingerprint(text) == fingerprint_by_hand(text), n
+
+
+def test_runs_stay_below_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(piecewise, "MOST_RUNS", 3)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert piecewise.runs_with_next(docs, 5).agg(F.max("run")).first()[0] <= 2
+    whole = sorted(tuple(r) for r in piecewise.edited_fingerprints(docs, 5).collect())
+    monkeypatch.undo()
+    assert whole == sorted(tuple(r) for r in piecewise.edited_fingerprints(docs, 5).collect()) and len(whole) == 100
+
+
 def test_inner_names_never_clash(spark):
     import corpus_pipeline
 
