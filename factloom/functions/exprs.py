@@ -254,12 +254,6 @@ def tokens(text: Column) -> Column:
     )
 
 
-def keyword_score(content: Column, terms: Column) -> Column:
-    """Share of the terms the content contains; repeated terms count again."""
-    hits = let(F.lower(content), lambda lowered: F.size(F.filter(terms, lambda t: F.contains(lowered, t))))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(hits / F.size(terms))
-
-
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of words padded by two blanks before and one after."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)

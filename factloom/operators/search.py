@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,36 +218,55 @@ def merge_results(results: DataFrame, queries: DataFrame, truncate: bool = True)
     return ranked.filter((F.col("_stopped") == 0) & (F.col("rank") <= F.col("k"))).select(*RESULT, "rank")
 
 
-def hybrid_search(queries: DataFrame, memories: DataFrame, embeddings: DataFrame, edges: DataFrame, mention_edges: DataFrame, fast_lane: DataFrame, now, *,
+def hybrid_search(queries: DataFrame, memories: DataFrame, embeddings: DataFrame | None, edges: DataFrame, mention_edges: DataFrame, fast_lane: DataFrame, now, *,
                   mode: str = "hybrid", depth: int = 0, filters: dict | None = None, min_confidence: float | None = None, truncate: bool = True,
-                  about: bool = False) -> DataFrame:
+                  about: bool = False, rewrite: bool = False, rerank: bool = False, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """The whole retrieval for a table of queries in one go.
 
     Modes are hybrid, memory and rag. With ``about`` queries carry an
-    ``about`` column and only memories mentioning it are returned.
+    ``about`` column and only memories mentioning it are returned. Without
+    ``embeddings`` memories are found by keywords, documents and the fast lane
+    give nothing, and the list is not cut at a gap. ``rewrite`` expands the query
+    text by its patterns first, which needs ``embed`` (a text column to a vector
+    column) where vectors are searched. ``rerank`` orders the result anew, by
+    embedding where there is one, else by shared terms.
     """
     if mode not in ("hybrid", "memory", "rag"):
         raise ValueError(f"unknown mode {mode}")
+    by_keywords = embeddings is None
+    if rewrite:
+        queries = queries.withColumn("q", X.expand_query(F.col("q")))
+        if not by_keywords:
+            if embed is None:
+                raise ValueError("rewritten queries need an embedding of their own")
+            queries = queries.withColumn("embedding", embed(F.col("q")))
     parts = []
     if about:
         memory = about_search(queries, memories, mention_edges, now, filters, min_confidence)
     elif mode in ("hybrid", "memory"):
-        memory = cut(vector_search(queries, memories, embeddings, now, filters, min_confidence))
-        memory = expand_relations(memory, memories, edges, queries, now, filters)
+        memory = keyword_search(queries, memories, now, filters, min_confidence) if by_keywords else vector_search(queries, memories, embeddings, now, filters, min_confidence)
+        memory = expand_relations(cut(memory), memories, edges, queries, now, filters)
     else:
         memory = None
     if memory is not None:
         if depth > 0:
             memory = expand_hops(cut(memory), memories, edges, mention_edges, now, depth, filters)
         parts.append(memory)
-    if not about and mode in ("hybrid", "rag"):
+    if not about and not by_keywords and mode in ("hybrid", "rag"):
         parts.append(document_search(queries, embeddings))
-    if not about and mode in ("hybrid", "memory"):
+    if not about and not by_keywords and mode in ("hybrid", "memory"):
         parts.append(fast_lane_search(queries, fast_lane, now))
+    if not parts:
+        parts.append(keyword_search(queries, memories, now).limit(0))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    return merge_results(merged, queries, truncate and not about)
+    merged = merge_results(merged, queries, truncate and not about and not by_keywords)
+    if not rerank:
+        return merged
+    if embed is not None and not by_keywords:
+        return rerank_by_embedding(merged.drop("rank"), queries, embed)
+    return rerank_by_keywords(merged.drop("rank"), queries)
 
 
 def rerank_by_embedding(results: DataFrame, queries: DataFrame, embed) -> DataFrame:

@@ -336,6 +336,38 @@ def r8(spark, d):
     return search.rerank_by_keywords(out.drop("rank"), t.queries).select("query_id", "id", "rank", X.fixed(F.col("score"), 6).alias("score"))
 
 
+SQL_FACTS = "memory_type IN ('fact', 'preference')"
+SQL_KEYWORD = SQL_BASE + f""", {SQL_NB}, qt AS (SELECT query_id, entity_id, k, list_concat(regexp_extract_all(lower(q), '[a-zA-Z0-9]+'), regexp_extract_all(q, '[\\x{{4e00}}-\\x{{9fff}}]')) AS terms FROM q),
+ s AS (SELECT query_id, qt.entity_id, k, t.id, t.content, len(list_filter(terms, lambda x: contains(lower(t.content), x)))::double / len(terms) AS m, trust FROM qt JOIN tr t USING (entity_id) WHERE {LIVE} AND {SQL_FACTS} AND confidence >= 0.3 AND len(terms) > 0),
+ kw AS (SELECT query_id, entity_id, id, content, m * trust AS score, 'memory' AS source, 0 AS depth, true AS is_latest FROM s WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m * trust DESC, id) <= any_value(k) OVER (PARTITION BY query_id)),
+ {sql_expand('r13', 'kw').replace('t.id = f.other) u', f't.id = f.other AND t.{SQL_FACTS}) u')}, """ + sql_merge("SELECT * FROM r13", False)
+SQL_BOOSTED = ("SELECT x.query_id, x.id, x.source, row_number() OVER (PARTITION BY x.query_id ORDER BY y DESC, x.id)::int AS rank, " + r6("score") + " AS score FROM (SELECT m4.query_id, m4.id, m4.source, m4.score, m4.score * (1.0::double + 0.15::double * len(list_intersect("
+               + SQL_TOK.format("q.q") + ", " + SQL_TOK.format("m4.content") + ")) / len(" + SQL_TOK.format("q.q") + ")) AS y FROM m4 JOIN q USING (query_id) WHERE stopped = 0 AND rank <= m4.k) x --")
+
+
+@query("r6_keyword_path", SQL_KEYWORD.replace("SELECT query_id, id, source, depth, " + r6("score"), SQL_BOOSTED))
+def r6k(spark, d):
+    """The path without an embedder, filtered, with relations and re-rank."""
+    t = Tables(spark, d)
+    facts = {"$or": [{"memory_type": "fact"}, {"memory_type": "preference"}]}
+    out = search.hybrid_search(t.queries, t.memories, None, t.edges, t.mention_edges, t.fast_lane, NOW, filters=facts, min_confidence=0.3, rerank=True)
+    return out.select("query_id", "id", "source", "rank", X.fixed(F.col("score"), 6).alias("score"))
+
+
+SQL_SHORT = "CASE item_id % 3 WHEN 0 THEN trim('如何' || text) || ' 方法 步骤' WHEN 1 THEN trim(substr(text, 1, 8)) || ' 相关信息' ELSE trim(text) END AS q"
+
+
+@query("r6_rewritten_search", SQL_HYBRID.replace("text AS q, least(", SQL_SHORT + ", least(").replace("SELECT query_id, id, source, depth, " + r6("score"), "SELECT x.query_id, x.id, row_number() OVER (PARTITION BY x.query_id ORDER BY y DESC, x.id)::int AS rank, " + r6("y") + " AS score FROM (SELECT m4.query_id, m4.id, 0.7::double * "
+       + seed.sql_cosine("q.embedding", seed.sql_hash_embedding("m4.content")) + " + 0.3::double * m4.score AS y FROM m4 JOIN q USING (query_id) WHERE stopped = 0 AND rank <= m4.k) x --"))
+def r6w(spark, d):
+    """Queries expanded by their patterns, results re-ranked by embedding."""
+    t = Tables(spark, d)
+    n = F.regexp_extract("query_id", r"(\d+)", 1).cast("int") % 3
+    asked = t.queries.withColumn("q", F.when(n == 0, F.concat(F.lit("如何"), "q")).when(n == 1, F.substring("q", 1, 8)).otherwise(F.col("q")))
+    out = search.hybrid_search(asked, t.memories, t.embeddings, t.edges, t.mention_edges, t.fast_lane, NOW, rewrite=True, rerank=True, embed=lambda c: X.hash_embedding(c, seed.DIMS))
+    return out.select("query_id", "id", "rank", X.fixed(F.col("score"), 6).alias("score"))
+
+
 # ---------------------------------------------------------------- graph reads
 
 
