@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom.session import cut, prepare
 
 #: Arrow batches are bounded by bytes as well as rows, so long texts come alone.
-BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
