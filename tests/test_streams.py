@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from factloom.operators import lifecycle, profile, relate
 from factloom.streaming import streams
+from factloom.streaming.store import FactStore
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -76,15 +78,43 @@ def test_ingest_over_two_batches_and_replay(spark, tmp_path):
     row = lambda i, text: ("e", f"m{i}", text, T0 + dt.timedelta(hours=i), None, "fact", None, 0.9, True, "explicit_statement", 0, False)
     texts = ["Nina 住在 北京", "Nina 喜欢喝茶", "Nina 住在 上海", "Nina 住在 杭州", "Nina 喜欢喝绿茶"]
     rows = [row(i, t) for i, t in enumerate(texts)]
-    sink = streams.ingest_sink(str(tmp_path / "store"), str(tmp_path / "facts"), "2024-01-02 00:00:00")
-    sink(spark.createDataFrame(rows[:3], schema), 0)
-    for _ in range(2):  # the second call is a replay
-        sink(spark.createDataFrame(rows[2:], schema), 1)
-    stored = {r.id: r.replaced_by for r in spark.read.parquet(str(tmp_path / "store/version=1/memories")).collect()}
-    whole = {r.id: r.replaced_by for r in relate.infer(spark.createDataFrame(rows, schema)).superseded.collect()}
-    assert stored == {f"m{i}": whole.get(f"m{i}") for i in range(5)} and stored["m0"] == "m2" and stored["m2"] == "m3"
-    facts = {r.memory_id for r in spark.read.parquet(str(tmp_path / "facts/version=1")).collect()}
-    assert facts == {"m1", "m3", "m4"} - set(whole)
+    frame = lambda part: spark.createDataFrame(part, schema)
+    sink = streams.ingest_sink(str(tmp_path / "store"), "2024-01-02 00:00:00", buckets=4)
+    store = FactStore(spark, str(tmp_path / "store"), frame([]).schema, buckets=4)
+    sink(frame(rows[:3]), 0)
+    whole = {r.id: r.replaced_by for r in relate.infer(frame(rows)).superseded.collect()}
+    for folded in (-1, 1):  # the second call is a replay of a batch that a base already holds
+        if folded >= 0:
+            store.compact(folded)
+        sink(frame(rows[2:]), 1)
+        stored = {r.id: (r.is_latest, r.replaced_by) for r in store.memories(1).collect()}
+        assert stored == {f"m{i}": (f"m{i}" not in whole, whole.get(f"m{i}")) for i in range(5)} and whole["m0"] == "m2" and whole["m2"] == "m3"
+        assert sorted(r.memory_id for r in store.facts(1).collect()) == sorted({"m1", "m3", "m4"} - set(whole))
+        assert sorted(map(tuple, store.edges(1).drop("created_at").collect())) == sorted(map(tuple, relate.infer(frame(rows)).edges.drop("created_at").collect()))
+
+
+def test_a_batch_writes_and_reads_what_it_touches(spark, tmp_path):
+    schema = "entity_id string, id string, content string, created_at timestamp, valid_until timestamp, memory_type string, internal_type string, confidence double, is_latest boolean, provenance string, validation_count int, contradiction_detected boolean"
+    row = lambda e, i: (f"e{e}", f"m{e}-{i}", f"note {e} on item {i}", T0 + dt.timedelta(hours=i), None, "fact", None, 0.9, True, "explicit_statement", 0, False)
+    frame = lambda part: spark.createDataFrame(part, schema)
+    sink = streams.ingest_sink(str(tmp_path / "store"), "2024-01-02 00:00:00", buckets=8)
+    sink(frame([row(e, i) for e in range(40) for i in range(10)]), 0)
+    sink(frame([row(3, 11)]), 1)
+    size = lambda table, batch: sum(f.stat().st_size for f in (tmp_path / "store/log" / table / f"store_batch={batch}").rglob("*.parquet"))
+    folders = lambda table, batch: len(list((tmp_path / "store/log" / table / f"store_batch={batch}").glob("store_bucket=*")))
+    assert folders("memories", 0) > 1 and folders("memories", 1) == folders("facts", 1) == 1
+    assert size("facts", 1) < size("facts", 0)
+    store = FactStore(spark, str(tmp_path / "store"), frame([]).schema, buckets=8)
+    mine = frame([row(3, 0)]).select(store.bucket()).first()[0]
+    plan = store.log("memories", -1, 1, [mine])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*store_bucket", plan)
+    before = sorted(map(str, store.memories(1).collect())), sorted(map(str, store.facts(1).collect()))
+    store.compact(1)
+    assert store.base(1) == 1 and store.base(0) == -1
+    assert before == (sorted(map(str, store.memories(1).collect())), sorted(map(str, store.facts(1).collect())))
+    sink(frame([row(41, 0), row(3, 11)]), 2)  # a new entity, and an id that is known
+    assert store.memories(2).count() == 402 and store.facts(2).filter("entity_id = 'e41'").count() == 1
+    assert sorted(map(str, store.facts(2).filter("entity_id <> 'e41'").collect())) == before[1]
 
 
 def test_maintenance_forgets_a_stale_clique_and_keeps_the_rest(spark):
