@@ -368,3 +368,23 @@ def test_profiles_read_more_than_any_cap(spark):
     assert facts.filter("rank = 1").first().memory_id == "m00000"
     assert profile.profile_summary(memories, facts, "2024-02-01 00:00:00").first().memory_count == 1500
     assert "Total memories: 1500" in profile.digest(facts, memories, "2024-02-01 00:00:00").first().digest
+
+
+def test_near_pairs_are_exact(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((600, 16))
+    far = np.tan(np.arccos(0.9001))
+    for n, v in enumerate(base):
+        v /= np.linalg.norm(v)
+        if n % 2:  # right at the threshold of its predecessor
+            w = v - (v @ base[n - 1]) * base[n - 1]
+            base[n] = base[n - 1] + far * w / np.linalg.norm(w)
+    rows = [("e", f"v{n:04d}", [float(x) for x in v]) for n, v in enumerate(base)] + [("e", "zero", [0.0] * 16), ("e", "short", [1.0, 2.0]), ("f", "v0000", [float(x) for x in base[0]])]
+    df = spark.createDataFrame(rows, "entity_id string, vid string, vec array<float>")
+    unit = base.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {(f"v{a:04d}", f"v{b:04d}") for a, b in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 9) >= 0.9, 1)))}
+    assert len(want) >= 300
+    for size in (vectors.NEAR_BLOCK, 70):
+        got = [(r.a, r.b) for r in vectors.near_pairs(df, 0.9, block=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
