@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as X
 from factloom.operators import ordering, relate
 from factloom.operators.overlap import Overlaps, contained_pairs
+from factloom.session import cut, prepare
 
 DAY = dt.datetime(2024, 1, 1)
 CJK = "[一-鿿]"
@@ -337,3 +338,13 @@ def test_containment_equals_all_pairs(spark):
         got = {(r.n_key, r.o_key): round(r.ratio, 9) for r in contained_pairs(features, share).collect()}
         want = {(n, o): round(ratio(n, o), 9) for n in set(texts) for o in set(texts) if n != o and ratio(n, o) >= share}
         assert got == want
+
+
+def test_compressed_tables_are_not_broadcast_unmeasured(spark):
+    """A million rows may be a few hundred kilobytes of files; joins must not take them for a small table."""
+    n = F.col("id")
+    rows = cut(prepare(spark).range(1_000_000).select(F.lit("source").alias("entity_id"), F.floor(n / 97).alias("seq"), (n % 97).alias("code"), (n % 3 == 0).alias("heavy")))
+    plan = rows.join(rows.withColumnRenamed("heavy", "other"), ["entity_id", "seq", "code"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    tiny = cut(spark.range(20).select(n.alias("code"), F.lit("x").alias("name")))
+    assert "BroadcastHashJoin" in rows.join(tiny, "code")._jdf.queryExecution().sparkPlan().toString()
