@@ -348,3 +348,15 @@ def test_compressed_tables_are_not_broadcast_unmeasured(spark):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     tiny = cut(spark.range(20).select(n.alias("code"), F.lit("x").alias("name")))
     assert "BroadcastHashJoin" in rows.join(tiny, "code")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_memories_without_a_common_rule_never_meet(spark, monkeypatch):
+    """Finished things retire planned ones only, so hundreds of finished ones are not compared with each other."""
+    texts = ["明天有考试1"] * 3 + [f"考试{n % 7}结束" for n in range(300)] + ["考试预算是 12 万", "考试预算是 14 万"]
+    rows = [("e", f"m{n:04d}", t, DAY + dt.timedelta(minutes=n), None, True, "fact", None, 0.5) for n, t in enumerate(texts)]
+    memories = spark.createDataFrame(rows, "entity_id string, id string, content string, created_at timestamp, valid_until timestamp, is_latest boolean, memory_type string, internal_type string, confidence double")
+    met, judge = [], relate.judge
+    monkeypatch.setattr(relate, "judge", lambda pairs, *rest: met.append(pairs.count()) or judge(pairs, *rest))
+    found = {(r.id, r.replaced_by) for r in relate.infer(memories).superseded.collect()}
+    assert found == {("m0000", "m0004"), ("m0001", "m0004"), ("m0002", "m0004"), ("m0303", "m0304")}
+    assert sum(met) < 1000
