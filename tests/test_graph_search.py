@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,3 +389,20 @@ def test_near_pairs_are_exact(spark):
     for size in (vectors.NEAR_BLOCK, 70):
         got = [(r.a, r.b) for r in vectors.near_pairs(df, 0.9, block=size).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_that_meet_the_same_queries_pass_on_k_hits_together():
+    rng = np.random.default_rng(5)
+    queries, vecs = rng.standard_normal((7, 4)), rng.standard_normal((60, 4))
+    vecs[40:] = vecs[:20]  # equal scores go by id
+    names = [f"q{n}" for n in range(7)]
+    rows = [("e", names, queries.ravel(), [f"v{n:02d}" for n in range(at, at + 12)], vecs[at : at + 12].ravel()) for at in range(0, 60, 12)]
+    batches = [pd.DataFrame(part, columns=["entity_id", "q_ids", "q_vecs", "v_ids", "v_vecs"]) for part in (rows[:2], rows[2:])]
+    out = pd.concat(vectors._compare(5, None)(iter(batches)))
+    assert len(out) == 7 * 5
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(queries) @ unit(vecs).T, 9)
+    for n, name in enumerate(names):
+        want = sorted(((-scores[n, m], f"v{m:02d}") for m in range(60)))[:5]
+        got = out[out["query_id"] == name]
+        assert [c for _, c in want] == list(got["chunk_id"]) and np.allclose([-x for x, _ in want], got["score"])
