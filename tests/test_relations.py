@@ -360,3 +360,17 @@ def test_memories_without_a_common_rule_never_meet(spark, monkeypatch):
     found = {(r.id, r.replaced_by) for r in relate.infer(memories).superseded.collect()}
     assert found == {("m0000", "m0004"), ("m0001", "m0004"), ("m0002", "m0004"), ("m0303", "m0304")}
     assert sum(met) < 1000
+
+
+def test_texts_that_are_not_contained_stay_in_their_blocks(spark):
+    """Long texts overlap nearly all; only contained pairs may leave the comparison, and a block is sent to few others."""
+    rng = random.Random(47)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(150)) for _ in range(1500)]
+    texts += [t + "zz" for t in texts[::100]]
+    features = relate.text_features(spark.createDataFrame([("e", t) for t in texts], "entity_id string, content string")).withColumn("key", F.col("content"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = written()
+    got = {(r.n_key, r.o_key) for r in contained_pairs(features, 0.95).collect()}
+    assert got >= {(t, t + "zz") for t in texts[:1500:100]}
+    assert written() - before < 25_000_000
