@@ -274,6 +274,8 @@ def simhash_components(docs: DataFrame, shingle_words: int = 4, distance: int =
 
 # --- one document of each group --------------------------------------------
 
+#: Bits in which SimHash fingerprints of near copies may differ to be candidates at once; the bands find those farther apart.
+DISTANCE = 4
 #: Near copies share NEAR of the distinct runs of NEAR_WORDS words they have together.
 NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
 #: MinHash sketch of a document: a pair shares a band if its ROWS values agree. At a
@@ -325,22 +327,27 @@ def worth_comparing(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
 
 
 def near_sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, runs, bands) of every row of docs(doc_id, text); n is the hash of the whole set of runs."""
+    """(doc_id, digest, n, fp, runs, bands) of every row of docs(doc_id, text).
+
+    n is the hash of the whole set of runs, fp its SimHash fingerprint.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, sizes, bands = [], [], []
+        n, fps, sizes, bands = [], [], [], []
         for t in strings(batch, "text"):
             own = shingle_set(t)
             n.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+            fps.append(vote(own))
             sizes.append(len(own))
             bands.append(min_bands(own))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(n, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], ["doc_id", "digest", "n", "runs", "bands"]
+            [batch.column("doc_id"), batch.column("digest"), *[pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (n, fps)], pa.array(sizes, pa.int64()), lists],
+            ["doc_id", "digest", "n", "fp", "runs", "bands"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(_with_digest(docs).select("doc_id", "digest", "text"), run, f"doc_id {kind}, digest bigint, n bigint, runs bigint, bands array<bigint>")
+    return map_batches(_with_digest(docs).select("doc_id", "digest", "text"), run, f"doc_id {kind}, digest bigint, n bigint, fp bigint, runs bigint, bands array<bigint>")
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:
@@ -377,9 +384,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(met, run, "a bigint, b bigint")
 
 
-def open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, key, n, root) of members(band, key, n) in buckets that hold several components."""
-    named = members.withColumn("root", F.col("n")) if roots is None else members.join(roots, "n", "left").select("band", "key", "n", F.coalesce("root", "n").alias("root"))
+    named = members.join(roots, "n", "left").select("band", "key", "n", F.coalesce("root", "n").alias("root"))
     several = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
     return named.join(several, ["band", "key"])
 
@@ -450,20 +457,23 @@ def bucket_links(open_: DataFrame, sketches: DataFrame, sets: DataFrame) -> Data
     return map_batches(meetings, compare, "a bigint, b bigint")
 
 
-def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
-    """(n, root): components of near copies among sketches(n, first, runs, bands); only linked numbers.
+def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(n, root): components of near copies among sketches(n, first, fp, runs, bands); only linked numbers.
 
-    Documents that share a band are candidates. In a few rounds each meets one
-    drawn head of its buckets in another component, which links most of a large
-    group; what is still apart in a bucket is then compared pair by pair. Every
-    link is a pair whose sets of runs were compared.
+    Fingerprints that meet by the generalised pigeonhole principle are the first
+    candidates. As near copies may differ in more bits, documents that share a
+    band are the next: in a few rounds each meets one drawn head of its buckets in
+    another component, which links most of a large group; what is still apart in
+    a bucket is then compared pair by pair. Every link is a pair whose sets of
+    runs were compared.
     """
+    close = settled(links(sketches.select("n", "fp"), DISTANCE))
     every = sketches.select("n", F.posexplode("bands").alias("band", "key"))
     members = settled(every.join(every.groupBy("band", "key").count().filter("count > 1").select("band", "key"), ["band", "key"]).select("band", "key", "n"))
-    if members.isEmpty():
-        return None
-    sets = settled(near_sets(docs, sketches.join(members.select("n").distinct(), "n").select("n", "first")))
-    found = roots = None
+    wanted = members.select("n").unionByName(close.select(F.explode(F.array("a", "b")).alias("n"))).distinct()
+    sets = settled(near_sets(docs, sketches.join(wanted, "n").select("n", "first")))
+    found = cut(verified(close, sets))
+    roots = link_components(found)
     for salt in range(HEAD_ROUNDS + 1):
         open_ = settled(open_members(members, roots))
         if open_.isEmpty():
@@ -474,7 +484,7 @@ def near_links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
             more = verified(asked.select(F.col("n").alias("a"), F.col("head.n").alias("b")), sets)
         else:
             more = bucket_links(open_, sketches, sets)
-        found = cut(more if found is None else found.unionByName(more))
+        found = cut(found.unionByName(more))
         roots = link_components(found)
     return roots
 
@@ -490,9 +500,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     prints = cut(near_sketches(docs))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    distinct = cut(prints.groupBy("n").agg(F.min(rank).alias("first"), F.first("runs").alias("runs"), F.first("bands").alias("bands")))
+    distinct = cut(prints.groupBy("n").agg(F.min(rank).alias("first"), F.first("fp").alias("fp"), F.first("runs").alias("runs"), F.first("bands").alias("bands")))
     roots = near_links(docs, distinct)
-    rooted = distinct.withColumn("root", F.col("n")) if roots is None else distinct.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n"))
+    rooted = distinct.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     times = prints.groupBy("doc_id", "digest").count()
     kept_id, kept_digest, often, digest = hidden("kept_id", "kept_digest", "often", "digest")

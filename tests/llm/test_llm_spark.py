@@ -227,6 +227,15 @@ def kept_of(spark, texts):
     return sorted(r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
 
 
+def test_fingerprints_alone_propose_close_copies(spark, monkeypatch):
+    """Without the bands, SimHash links still bring copies together; what they bring is compared exactly."""
+    monkeypatch.setattr(simhash, "open_members", lambda members, roots: members.limit(0))
+    rng = random.Random(24)
+    texts = [words(rng, 1500) for _ in range(5)]
+    texts += [t + " tail" for t in texts] + ["one two three four", "one two three five"]
+    assert kept_of(spark, texts) == [0, 1, 2, 3, 4, 10, 11]
+
+
 @pytest.mark.parametrize("kind", ["appended", "replaced", "scattered"])
 def test_near_copies_of_every_kind_are_found(spark, kind):
     rng = random.Random(21)
