@@ -30,26 +30,40 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+def _holds_text(part: Column) -> Column:
+    """Whether ``strip`` leaves something."""
+    return part.rlike(r"(?U)\S")
+
+
 def _not_blank(parts: Column) -> Column:
-    return F.filter(parts, lambda p: strip(p) != "")
+    return F.filter(parts, _holds_text)
 
 
-def greedy_pack(parts: Column, fits: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column]) -> Column:
-    """Append parts to the open chunk while they fit, else close it."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+def greedy_pack(parts: Column, fits: Callable[[Column, Column], Column], separator: str) -> Column:
+    """Append parts to the open chunk while they fit, else close it.
 
-    def step(acc: Column, part: Column) -> Column:
-        opened = acc["open"]
-        goes_in = opened.isNull() | fits(opened, part)
-        return F.struct(
-            F.when(goes_in, acc["done"]).otherwise(F.concat(acc["done"], F.array(opened))).alias("done"),
-            F.when(opened.isNull(), part).when(goes_in, join(opened, part)).otherwise(part).alias("open"),
-        )
+    ``fits`` compares lengths, of the open chunk and the part. The fold carries
+    places and lengths only, so each part's text is copied once, into its chunk.
+    """
+    run = "struct<first:int,n:int>"
+
+    def runs(held: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<{run}>").alias("done"), *[F.lit(0).alias(c) for c in ("first", "n", "size")])
+
+        def step(acc: Column, size: Column) -> Column:
+            goes_in = (acc["n"] == 0) | fits(acc["size"], size)
+            return F.struct(
+                F.when(goes_in, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n"))))).alias("done"),
+                F.when(goes_in, acc["first"]).otherwise(acc["first"] + acc["n"]).alias("first"), F.when(goes_in, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
+                F.when(acc["n"] == 0, size).when(goes_in, acc["size"] + F.lit(len(separator)) + size).otherwise(size).alias("size"),
+            )
+
+        def finish(acc: Column) -> Column:
+            return F.when(acc["n"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n")))))
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        return F.aggregate(F.transform(held, F.length), start, step, finish)
 
-    return F.aggregate(parts, start, step, finish)
+    return let(parts, lambda held: F.transform(runs(held), lambda r: F.array_join(F.slice(held, r["first"] + 1, r["n"]), separator)))
 
 
 def paragraphs(text: Column) -> Column:
@@ -64,17 +78,15 @@ def sentences(text: Column) -> Column:
 def text_chunks(text: Column, target: int = TARGET_CHARS, minimum: int = MIN_CHARS) -> Column:
     """Paragraphs, long ones packed from sentences, short neighbours merged."""
     packed = lambda p: F.transform(
-        greedy_pack(sentences(p), lambda buf, s: F.length(buf) + F.length(s) <= target, lambda buf, s: F.concat(buf, F.lit(" "), s)), strip
+        greedy_pack(sentences(p), lambda buf, s: buf + s <= target, " "), strip
     )
     pieces = F.flatten(F.transform(paragraphs(text), lambda p: F.when(F.length(p) > target, packed(p)).otherwise(F.array(p))))
-    return greedy_pack(
-        pieces, lambda buf, c: (F.length(buf) < minimum) & (F.length(buf) + F.length(c) <= target), lambda buf, c: F.concat(buf, F.lit("\n\n"), c)
-    )
+    return greedy_pack(pieces, lambda buf, c: (buf < minimum) & (buf + c <= target), "\n\n")
 
 
 def paragraph_chunks(text: Column, target: int = TARGET_CHARS) -> Column:
     """Paragraphs packed up to the target, as for extracted page layouts."""
-    return greedy_pack(paragraphs(text), lambda buf, p: F.length(buf) + F.length(p) <= target, lambda buf, p: F.concat(buf, F.lit("\n\n"), p))
+    return greedy_pack(paragraphs(text), lambda buf, p: buf + p <= target, "\n\n")
 
 
 def chunk_table(df: DataFrame, chunks: Column, keys: list[str]) -> DataFrame:
@@ -108,7 +120,7 @@ def transcript_turns(text: Column) -> Column:
 def size_chunks(text: Column, target: int = TARGET_CHARS) -> Column:
     """Sentences packed by size, for transcripts without speaker labels."""
     parts = _not_blank(F.split(F.regexp_replace(text, r"(?U)(?<=[.!?。！？\n])\s*", MARK), MARK))
-    packed = greedy_pack(parts, lambda buf, s: F.length(buf) + 1 + F.length(s) <= target, lambda buf, s: F.concat(buf, F.lit(" "), s))
+    packed = greedy_pack(parts, lambda buf, s: buf + 1 + s <= target, " ")
     return F.filter(F.transform(packed, strip), lambda c: c != "")
 
 
@@ -168,50 +180,68 @@ LANGUAGE_STARTS = [
 
 
 def code_language(text: Column) -> Column:
-    line = F.substring_index(strip(text), "\n", 1)
-    starts = [(name, reduce(or_, [line.startswith(p) for p in prefixes])) for name, prefixes in LANGUAGE_STARTS]
-    return F.coalesce(*[F.when(hit, name) for name, hit in starts], F.when(line.startswith("import ") & line.contains("from "), "python"), F.lit("unknown"))
+    def named(line: Column) -> Column:
+        starts = [(name, reduce(or_, [line.startswith(p) for p in prefixes])) for name, prefixes in LANGUAGE_STARTS]
+        return F.coalesce(*[F.when(hit, name) for name, hit in starts], F.when(line.startswith("import ") & line.contains("from "), "python"), F.lit("unknown"))
+
+    return let(F.substring_index(strip(text), "\n", 1), named)
 
 
 def code_blocks(text: Column) -> Column:
     """Array of (index, text, name, lines): blocks between blank lines."""
     blocks = F.transform(F.split(text, r"\n\s*\n"), lambda b, i: F.struct(i.alias("index"), strip(b).alias("text")))
 
-    def describe(b: Column) -> Column:
-        first = strip(F.substring_index(b["text"], "\n", 1))
+    def called(first: Column) -> Column:
         word = F.regexp_replace(F.regexp_extract(F.substring_index(first, "(", 1), r"(?U)(\S+)\s*\z", 1), ":+$", "")
-        name = F.when(~b["text"].rlike(rf"(?m)^\s*({DEFINITIONS})"), "module").when(word == "", F.substring(first, 1, 40)).otherwise(word)
+        return let(word, lambda w: F.when(w == "", F.substring(first, 1, 40)).otherwise(w))
+
+    def describe(b: Column) -> Column:
+        name = F.when(~b["text"].rlike(rf"(?m)^\s*({DEFINITIONS})"), "module").otherwise(let(strip(F.substring_index(b["text"], "\n", 1)), called))
         return F.struct(b["index"].alias("index"), b["text"].alias("text"), name.alias("name"), F.size(F.split(b["text"], "\n")).alias("lines"))
 
     return F.transform(F.filter(blocks, lambda b: b["text"] != ""), describe)
 
 
+def code_table(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """One row per block: keys, text, name, lines, language of its document.
+
+    The language is found before blocks are unnested; beside the generator the
+    whole text would be read once per block.
+    """
+    found = df.select(*keys, F.col(text).alias("_code"), code_language(F.col(text)).alias("language"))
+    return found.select(*keys, "language", F.explode(code_blocks(F.col("_code"))).alias("_b")).select(*keys, "_b.text", "_b.name", "_b.lines", "language")
+
+
 # ---------------------------------------------------------------- tables in text
 
 
+def _lines(text: Column) -> Column:
+    """Parts between line ends of any kind."""
+    return F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+
+
 def csv_batches(text: Column, budget: int = TARGET_CHARS) -> Column:
     """Rows packed under a repeated header; text chunks where fields differ."""
-    unquoted = F.filter(F.split(F.regexp_replace(text, r'"(?:[^"]|"")*"', "q"), r"\r\n|\r|\n"), lambda ln: ln != "")
-    widths = F.array_distinct(F.transform(unquoted, lambda ln: F.size(F.split(ln, ","))))
+    unquoted = F.filter(_lines(F.regexp_replace(text, r'"[^"]*+(?:""[^"]*+)*"', "q")), lambda ln: ln != "")
+    widths = F.array_distinct(F.transform(unquoted, lambda ln: F.length(ln) - F.length(F.replace(ln, F.lit(","), F.lit("")))))
 
     def packed(lines: Column) -> Column:
         def under(header: Column) -> Column:
-            room = lambda buf, r: F.length(header) + F.length(buf) + F.length(r) + 2 <= budget
-            batches = greedy_pack(F.slice(lines, F.lit(2), F.size(lines)), room, lambda buf, r: F.concat(buf, F.lit("\n"), r))
+            room = lambda buf, r: F.length(header) + buf + r + 2 <= budget
+            batches = greedy_pack(F.slice(lines, F.lit(2), F.size(lines)), room, "\n")
             return F.when(F.size(lines) == 1, F.array(header)).otherwise(F.transform(batches, lambda b: F.concat(header, F.lit("\n"), b)))
 
         return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(let(F.get(lines, F.lit(0)), under))
 
-    rows = let(F.filter(F.split(text, r"\r\n|\r|\n"), lambda ln: strip(ln) != ""), packed)
+    rows = let(_not_blank(_lines(text)), packed)
     return F.when(F.size(widths) > 1, text_chunks(text)).otherwise(rows)
 
 
 def _spaced(json: Column) -> Column:
     """Compact JSON with a blank after commas and colons outside strings."""
-    string = r'"(?:[^"\\]|\\.)*"'
-    between = F.transform(F.split(json, string), lambda s: F.replace(F.replace(s, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": ")))
-    quoted = F.concat(F.regexp_extract_all(json, F.lit(f"({string})"), 1), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, quoted, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    # From separator to separator, strings passed over whole; possessive, so no long string deepens the stack.
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    return F.regexp_replace(json, rf'\G([^",:]*+(?:{string}[^",:]*+)*+)([,:])', "$1$2 ")
 
 
 def _element(raw: Column, value: Column) -> Column:
@@ -221,28 +251,26 @@ def _element(raw: Column, value: Column) -> Column:
 
 def json_batches(text: Column, budget: int = TARGET_CHARS) -> Column:
     """Array records in bounded batches, objects one chunk per key, else text chunks."""
-    body = strip(text)
-
-    def listed(parsed: Column) -> Column:
+    def listed(body: Column, parsed: Column) -> Column:
         items = F.zip_with(F.from_json(body, "array<string>"), parsed.cast("array<variant>"), _element)
-        packed = greedy_pack(items, lambda buf, x: F.length(buf) + 2 + F.length(x) + 2 <= budget, lambda buf, x: F.concat(buf, F.lit(", "), x))
+        packed = greedy_pack(items, lambda buf, x: buf + 2 + x + 2 <= budget, ", ")
         return F.transform(packed, lambda b: F.concat(F.lit("["), b, F.lit("]")))
 
-    def keyed(parsed: Column) -> Column:
+    def keyed(body: Column, parsed: Column) -> Column:
         pairs = F.map_entries(F.from_json(body, "map<string,string>"))
         chunk = lambda values: F.transform(
             pairs, lambda e: F.concat(F.lit('{"'), e["key"], F.lit('": '), _element(e["value"], F.element_at(values, e["key"])), F.lit("}"))
         )
         return let(parsed.cast("map<string,variant>"), chunk)
 
-    def split(parsed: Column) -> Column:
+    def split(body: Column, parsed: Column) -> Column:
         return (
-            F.when(parsed.isNotNull() & body.startswith("["), listed(parsed))
-            .when(parsed.isNotNull() & body.startswith("{"), keyed(parsed))
+            F.when(parsed.isNotNull() & body.startswith("["), listed(body, parsed))
+            .when(parsed.isNotNull() & body.startswith("{"), keyed(body, parsed))
             .otherwise(text_chunks(text))
         )
 
-    return let(F.try_parse_json(body), split)
+    return let(strip(text), lambda body: let(F.try_parse_json(body), lambda parsed: split(body, parsed)))
 
 
 # ---------------------------------------------------------------- fast lane

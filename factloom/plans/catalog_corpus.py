@@ -127,8 +127,8 @@ def t3(spark, d):
 def _csv(spark, d):
     """Each document as a CSV text of its words."""
     words = F.filter(F.split(F.regexp_replace("text", r'[",\r\n]', " "), " "), lambda w: w != "")
-    rows = F.transform(words, lambda w, i: F.concat(i.cast("string"), F.lit(","), w))
-    return _docs(spark, d).select("doc_id", F.concat(F.lit("place,word"), F.when(F.size(rows) > 0, F.concat(F.lit("\n"), F.array_join(rows, "\n"))).otherwise("")).alias("text"))
+    rows = F.transform(words, lambda w, i: F.concat(F.lit("\n"), i.cast("string"), F.lit(","), w))
+    return _docs(spark, d).select("doc_id", F.concat(F.lit("place,word"), F.array_join(rows, "")).alias("text"))
 
 
 @query("t4_csv_batches", f"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[",\\r\\n]', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents), r AS (SELECT doc_id, list_filter(list_transform(range(1, len(ws) + 1), lambda i: (i - 1)::varchar || ',' || ws[i]), lambda x: true) AS rows FROM w),
@@ -169,8 +169,7 @@ SELECT doc_id, text, CASE i % 3 WHEN 0 THEN 'f' || i::varchar WHEN 1 THEN 'K' ||
 def t7(spark, d):
     """Cleaned code in blocks with name and language."""
     docs = _code(spark, d).select("doc_id", corpus.clean_code(F.col("text")).alias("text"))
-    rows = docs.select("doc_id", corpus.code_language(F.col("text")).alias("language"), F.explode(corpus.code_blocks(F.col("text"))).alias("b"))
-    return rows.select("doc_id", "b.text", "b.name", "b.lines", "language")
+    return corpus.code_table(docs, "text", ["doc_id"])
 
 
 def _sql_mask(text: str) -> str:

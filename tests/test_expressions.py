@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,22 @@ def test_structured_payloads(spark):
     assert one(spark, 'h1,h2\n"a, b",c', corpus.csv_batches) == ['h1,h2\n"a, b",c']
 
 
+def test_long_strings_inside_records(spark):
+    long = 'x, \\"y: ' * 20_000
+    assert one(spark, '[{"a":"%s","b":1}]' % long, corpus.json_batches) == ['[{"a": "%s", "b": 1}]' % long]
+    row = '"' + "a, b\n" * 20_000 + '",c'
+    assert one(spark, "h1,h2\n" + row, lambda c: F.get(corpus.csv_batches(c), F.lit(0)).startswith("h1,h2\n")) is True
+
+
+def test_splitters_read_a_text_once(spark):
+    """The language is not found anew for each block, and packing folds lengths instead of texts."""
+    plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan("t7_t12_code_blocks").split("Generate explode")[0]
+    assert "substring_index" not in above and "regexp_replace" not in above
+    for name in ("t4_csv_batches", "t5_json_batches", "t6_paragraph_chunks"):
+        assert "[[],null]" not in plan(name)
+
+
 def test_transcript_and_masking(spark):
     turns = one(spark, "User: hi there\n**Assistant**: yes\nmore\nBOT : ok", corpus.transcript_turns)
     assert [(t.speaker, t.text) for t in turns] == [("User", "hi there"), ("Assistant", "yes\nmore"), ("BOT", "ok")]
