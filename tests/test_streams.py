@@ -148,6 +148,30 @@ def test_maintenance_forgets_a_stale_clique_and_keeps_the_rest(spark):
     assert profile.profile_facts(after.memories, edges, "2024-06-01 00:00:00").filter("kind = 'static'").count() == 3
 
 
+def test_maintenance_writes_texts_once(spark):
+    """Texts of 1.2 MB that do not compress: between the steps their digests stand for them."""
+    import hashlib
+    import os
+
+    from factloom.plans import catalog_lifecycle
+    from factloom.plans.catalog_search import Tables
+    from factloom.session import shared_dir
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    long = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(100))
+    base = catalog_lifecycle._base(t)
+    base.memories = base.memories.withColumn("content", F.concat("id", F.sha2("id", 512), F.lit(long))).filter("is_latest").limit(90).localCheckpoint()
+    folder = shared_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(r, f)) for r, _, names in os.walk(folder) for f in names)
+    whole = spark.createDataFrame([(x.id, x.content) for x in base.memories.select("id", "content").collect()], "id string, content string")
+    start = size()
+    lifecycle.cut(whole)
+    once = size() - start
+    after, _ = lifecycle.maintain(base, "2024-02-01 00:00:00")
+    assert sorted(x.content for x in after.memories.collect()) == sorted(x.content for x in whole.collect())
+    assert size() - start - once < 2 * once + 1_000_000
+
+
 def test_a_folder_of_parts_streams_like_one_file(spark, tmp_path):
     from factloom.plans import catalog
 
