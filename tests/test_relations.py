@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import exprs as X
 from factloom.operators import ordering, relate
-from factloom.operators.overlap import Overlaps, contained_pairs
+from factloom.operators.overlap import Blocks, Overlaps, contained_pairs
 from factloom.session import cut, prepare
 
 DAY = dt.datetime(2024, 1, 1)
@@ -241,6 +241,33 @@ def test_index_finds_all_overlapping_pairs(spark):
     assert got == want
 
 
+def test_blocks_find_all_overlapping_pairs(spark):
+    rows = corpus(22, 4, 60) + [("long", f"m{i:03d}", "".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(400 + i)) + WORDS[i % 5], DAY + dt.timedelta(hours=i), None) for i in range(300)]
+    rows += [("long", f"n{i:03d}", WORDS[i % len(WORDS)], DAY + dt.timedelta(hours=i), None) for i in range(40)]
+    features = relate.prepare_features(frame(spark, rows))
+    names = {(r.entity_id, r.id): r.seq for r in features.select("entity_id", "seq", "id").collect()}
+    asks = features.select("entity_id", "seq", (F.col("seq") + 1).alias("first"), (F.col("seq") + 90).alias("last"))
+    posts = features.filter("seq % 3 > 0").select("entity_id", "seq")
+    found = [tuple(r) for r in Blocks(features, ["id"]).pairs(asks, posts, ["n_id", "o_id", "shared"]).collect()]
+    want = []
+    for e in {r[0] for r in rows}:
+        mine = [(names[e, r[1]], r[1], r[2]) for r in rows if r[0] == e]
+        want += [(e, n, o, len(bigrams(x) & bigrams(y))) for a, n, x in mine for b, o, y in mine if 0 < a - b <= 90 and a % 3 and overlaps(x, y)]
+    assert sorted(found) == sorted(want)
+
+
+def test_listed_pairs_leave_their_blocks_unshuffled(spark):
+    """Pairs are as many as the square of an entity: nothing may deal them out again."""
+    rows = corpus(34, 3, 30)
+    df = frame(spark, rows).withColumns({"internal_type": F.lit("decision"), "confidence": F.lit(0.95)})
+    sure = relate.infer(df, confirm_high_impact=True)
+    decided = relate.resolve_conflicts(sure.pending, F.lit("keep_new"))
+    assert decided[2].count() == sure.pending.count() > 0
+    for listed in (sure.extends, sure.pending, *decided):
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
 def check_whole(spark, rows):
     found = relate.infer(frame(spark, rows))
     gone = {(r.entity_id, r.id): r.replaced_by for r in found.superseded.collect()}
