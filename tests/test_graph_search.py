@@ -4,12 +4,14 @@ import datetime as dt
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import exprs as X
 from factloom.operators import communities, consolidate, graph, mentions, profile, relate, search, vectors
 
 DAY = dt.datetime(2024, 1, 1)
@@ -406,3 +408,21 @@ def test_blocks_that_meet_the_same_queries_pass_on_k_hits_together():
         want = sorted(((-scores[n, m], f"v{m:02d}") for m in range(60)))[:5]
         got = out[out["query_id"] == name]
         assert [c for _, c in want] == list(got["chunk_id"]) and np.allclose([-x for x, _ in want], got["score"])
+
+
+def test_terms_meet_words_on_few_pieces(spark):
+    """A word is listed under three characters in a row, and short terms are asked of texts."""
+    texts = ["the Cat sat, cats!", "a x9 concat 北京", "catapult über", "", None]
+    memories = spark.createDataFrame([("e", f"m{i}", t) for i, t in enumerate(texts)], "entity_id string, id string, content string")
+    terms = ["a", "t", "x9", "at", "cat", "cats", "the", "京", "apul", "zzz"]
+    hits = search._term_hits(spark.createDataFrame([("e", t) for t in terms], "entity_id string, term string"), memories)
+    assert sorted((r.term, r.id) for r in hits.collect()) == sorted((t, f"m{i}") for t in terms for i, x in enumerate(texts) if t in (x or "").lower())
+    assert memories.limit(1).select(search._pieces(F.lit("catapults"))).first()[0] == ["cat", "ata", "tap", "apu", "pul", "ult", "lts"]
+
+
+def test_trigrams_of_padded_words(spark):
+    texts = ["The cat; the CAT sat on a mat", "a", "!!", "über 北京 x9", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.trigrams(F.col("t")).alias("g")).collect()
+    for r in got:
+        words = re.findall(r"[^\W_]+", r.t.lower())
+        assert len(r.g) == len(set(r.g)) and set(r.g) == {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
