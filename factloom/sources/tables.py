@@ -87,12 +87,13 @@ def content_type_of(text: Column) -> Column:
     return F.when(body == "", "text").when(is_json, "json").when(csv, "csv").otherwise("text")
 
 
-def build_memories(chunks: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+def build_memories(chunks: DataFrame, now, keep_blank: bool = False) -> tuple[DataFrame, DataFrame]:
     """Memory rows from chunk rows, and the rows that could not become one.
 
     Precedence per field: argument column ``arg_x``, then ``metadata['x']``,
     then the chunk's own column, then the default. A row without entity or
-    text goes to the error frame and stops nobody else.
+    text goes to the error frame and stops nobody else. With ``keep_blank``
+    a text of nothing but spaces is a text, and only a null one is missing.
     """
     has = set(chunks.columns)
 
@@ -106,10 +107,8 @@ def build_memories(chunks: DataFrame, now) -> tuple[DataFrame, DataFrame]:
             options.append(F.col(field).cast(dtype))
         return F.coalesce(*options, F.lit(default).cast(dtype))
 
-    problem = (
-        F.when(F.trim(F.coalesce("entity_id", F.lit(""))) == "", "missing entity")
-        .when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty content")
-    )
+    no_text = F.col("text").isNull() if keep_blank else F.trim(F.coalesce("text", F.lit(""))) == ""
+    problem = F.when(F.trim(F.coalesce("entity_id", F.lit(""))) == "", "missing entity").when(no_text, "empty content")
     marked = chunks.withColumn("_problem", problem)
     moment = X.at(now)
     created = F.coalesce(F.col("created_at"), moment) if "created_at" in has else moment
