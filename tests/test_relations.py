@@ -401,3 +401,31 @@ def test_texts_that_are_not_contained_stay_in_their_blocks(spark):
     got = {(r.n_key, r.o_key) for r in contained_pairs(features, 0.95).collect()}
     assert got >= {(t, t + "zz") for t in texts[:1500:100]}
     assert written() - before < 25_000_000
+
+
+@pytest.mark.parametrize("seconds", [None, 900])
+def test_texts_that_all_match_are_listed_with_leaders_only(spark, monkeypatch, seconds):
+    """Preferences that nearly all match each other follow a few of them; no table of all pairs is written."""
+    rng, sizes, plain = random.Random(53), [], relate.cut
+    texts = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(60, 140))) for _ in range(1500)]
+    ends = [DAY + dt.timedelta(seconds=seconds) if seconds and n < 40 else None for n in range(len(texts))]
+    rows = [("e", f"m{n:04d}", t, DAY + dt.timedelta(seconds=n), ends[n], True, "preference", None, 0.5) for n, t in enumerate(texts)]
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(relate, "cut", counted)
+    memories = spark.createDataFrame(rows, "entity_id string, id string, content string, created_at timestamp, valid_until timestamp, is_latest boolean, memory_type string, internal_type string, confidence double")
+    got = {r.id: (r.replaced_by, round(r.overlap, 9)) for r in relate.strengthen_preferences(memories)[0].collect()}
+    grams, leaders, want = [{t[i : i + 2] for i in range(len(t) - 1)} for t in texts], [], {}
+    for n in range(len(texts)):
+        hits = [(len(grams[n] & grams[o]) / len(grams[n]), o) for o in leaders if ends[o] is None or n < seconds]
+        hits = [h for h in hits if h[0] >= 0.3]
+        if hits:
+            want[f"m{n:04d}"] = (f"m{max(hits)[1]:04d}", round(max(hits)[0], 9))
+        else:
+            leaders.append(n)
+    assert got == want and len(leaders) < 100
+    assert max(sizes) < 600_000
