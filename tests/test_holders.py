@@ -53,3 +53,37 @@ def test_sources_are_found_without_listing_bigrams(spark, monkeypatch):
             want |= {(f"m{n:04d}", f"m{o:04d}") for o in [o for o in range(n - 1, -1, -1) if grams[n] & grams[o]][:3]}
     assert got == want
     assert max(sizes) < 20_000
+
+
+def test_blocks_are_sent_by_groups(spark, monkeypatch):
+    """A block goes once to a group of those it meets, not to each of them."""
+    from factloom.operators import overlap
+
+    monkeypatch.setattr(overlap, "DENSE", 8)
+    monkeypatch.setattr(overlap, "SHORTEST", 8)
+    rows = [("e", n, [n % 7, 100 + n % 5, 200 + n % 3]) for n in range(1, 801)]
+    texts = spark.createDataFrame(rows, "entity_id string, seq bigint, codes array<bigint>")
+    for name, kind in (("singles", "bigint"), ("pairs", "bigint"), ("subjects", "string")):
+        texts = texts.selectExpr("*", f"CAST(array() AS array<{kind}>) AS {name}")
+    asks = spark.range(1, 801).selectExpr("'e' AS entity_id", "id AS seq", "id + 1 AS first", "800L AS last")
+    blocks, sent, frame = overlap.Blocks(texts, ["seq"]), [], type(texts)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, real=frame.mapInArrow: (sent.append(self.count()), real(self, *a))[1])
+    found = blocks.pairs(asks, None, ["n_seq", "o_seq", "shared"])
+    common = lambda n, o: len(set(n[2]) & set(o[2]))
+    want = {(n[1], o[1], common(n, o)) for n in rows for o in rows if o[1] < n[1] and common(n, o) >= 2}
+    assert {(r.n_seq, r.o_seq, r.shared) for r in found.collect()} == want
+    assert sum(sent) < 2500
+
+
+def test_edges_that_lie_by_entity_are_not_shuffled(spark, tmp_path):
+    from factloom.streaming.store import FactStore
+
+    store = FactStore(spark, str(tmp_path), spark.createDataFrame([], "entity_id string, id string").schema)
+    store.create()
+    edges = spark.range(0, 300_000, 1, 4).selectExpr("'e' AS entity_id", "md5(CAST(id AS string)) AS from_id", "md5(CAST(id + 1 AS string)) AS to_id", "'EXTENDS' AS rel_type", "timestamp '2024-01-01' AS created_at")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(status.executorList(False).apply(i).totalShuffleWrite() for i in range(status.executorList(False).size()))
+    before = written()
+    store.append(edges.limit(5), "edges", 0, lying=edges)
+    assert store.log("edges", -1, 0).count() == 300_005
+    assert written() - before < 1_000_000
